@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
     """Batches cut so that ``column`` holds about ``most_bytes`` at most; a longer single row comes alone."""
     for batch in batches:
         start, held = 0, 0
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and held + (n or 0) > most_bytes:
                 yield batch.slice(start, i - start)
