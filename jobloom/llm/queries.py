@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import exact_dedup, mixing, sharding
+from jobloom.llm import exact_dedup, jaccard_join, mixing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +25,19 @@ def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_documents(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_water_filling": op4_water_filling,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_stratified_shards": op9_stratified_shards,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op4_water_filling": mixing.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
