@@ -6,7 +6,7 @@ bin patterns with multiplicities, bounded by the capacity as well. Rows then fin
 r-th piece of its length goes to the pattern whose range of that length holds r. Ranks come from counts of hash
 ranges summed ahead and row numbers inside a range, so no length is ranked in one task.
 
-Reduction, in falling order of length l with the largest fitting partner p:
+Reduction, in falling order of length l with the largest fitting partner p among all that is not fixed:
 - nothing fits: l alone; l + p is the capacity exactly: the pair;
 - no two of the smallest fit beside l: the pair dominates every other set;
 - two but no three fit: the pair, if p is at least the best sum of two; or the best two (p, q), if they fill l up
@@ -85,40 +85,39 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[Counter[
     """Bins that some best packing has, by pattern, and the counts that remain."""
     fixed: Counter[Pattern] = Counter()
     left = _Left(counts)
-    remain: dict[int, int] = {}
+    passed: set[int] = set()
 
     def fix(items: list[int], n: int) -> None:
         fixed[tuple(sorted(Counter(items).items(), reverse=True))] += n
         for length, k in Counter(items).items():
             left.take(length, n * k)
 
-    while left.sorted:
-        large = left.sorted[-1]
-        n, room = left.counts[large], capacity - large
-        partner = left.at_most(room)
-        if partner is None or (partner == large and n == 1 and left.at_most(min(room, large - 1)) is None):
-            fix([large], n if partner is None else 1)
-            continue
-        if partner == large and n == 1:
-            partner = left.at_most(large - 1)
-        times = n // 2 if partner == large else min(n, left.counts[partner])
-        small = left.smallest(3)
-        if large + partner == capacity or len(small) < 3 or sum(small[:2]) > room:
-            fix([large, partner], times)
-            continue
-        if sum(small) > room and partner != large and n == 1:
-            two = _best_two(left, room)
-            if two is None or partner >= sum(two):
-                fix([large, partner], 1)
+    for large in sorted(left.counts, reverse=True):
+        # Partners come from all that is not fixed, lengths that were passed over included.
+        while large in left.counts and large not in passed:
+            n, room = left.counts[large], capacity - large
+            partner = left.at_most(room)
+            if partner == large and n == 1:
+                partner = left.at_most(large - 1)
+            if partner is None:
+                fix([large], n if room < large else 1)
                 continue
-            above = left.smallest(2, two[1])
-            if sum(two) == room and two[0] == partner and large not in two and (len(above) < 2 or sum(above) > room):
-                fix([large, *two], 1)
+            times = n // 2 if partner == large else min(n, left.counts[partner])
+            small = left.smallest(3)
+            if large + partner == capacity or len(small) < 3 or sum(small[:2]) > room:
+                fix([large, partner], times)
                 continue
-        # not settled: this length waits for best-fit, and is out of the others' way as they can't contain it
-        remain[large] = n
-        left.take(large, n)
-    return fixed, remain
+            if sum(small) > room and partner != large:
+                two = _best_two(left, room)
+                if two is None or partner >= sum(two):
+                    fix([large, partner], 1)
+                    continue
+                above = left.smallest(2, two[1])
+                if sum(two) == room and two[0] == partner and large not in two and (len(above) < 2 or sum(above) > room):
+                    fix([large, *two], 1)
+                    continue
+            passed.add(large)
+    return fixed, dict(left.counts)
 
 
 def best_fit_falling(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
