@@ -1,7 +1,8 @@
 """MPEG audio columns: building, resynchronising, and indexing elementary streams.
 
 ``parse_stream`` reads any MPEG-1/2/2.5 stream, Layer I to III: it skips ID3v2 tags, finds frame headers and, after
-damage, the next header that is followed by an agreeing one; it reads Xing/Info and VBRI tables, verifies the
+damage, the next header that is followed by an agreeing one (a frame whose checksum is wrong and whose end meets no
+agreeing header is damage too); it reads Xing/Info and VBRI tables, verifies the
 checksum of protected Layer III frames, and returns the exact duration and each frame's byte offset and sample.
 
 Payloads are stored losslessly in the main-data area of protected MPEG-2 Layer III mono frames of 576 samples
@@ -148,6 +149,10 @@ def _tag(data: memoryview) -> tuple[int, str]:
     return min(10 + size + 10 * bool(data[5] & 0x10), len(data)), title
 
 
+def _agrees(other: Header | None, h: Header) -> bool:
+    return other is not None and (other.version, other.layer, other.hertz) == (h.version, h.layer, h.hertz)
+
+
 def _next_header(data: memoryview, whole: bytes, at: int) -> int:
     """The next place with a header whose frame ends at another header of its kind or at the end; len if none."""
     while (at := whole.find(b"\xff", at)) >= 0:
@@ -155,7 +160,7 @@ def _next_header(data: memoryview, whole: bytes, at: int) -> int:
         if h and h.length:
             after = at + h.length
             other = read_header(whole[after : after + 4]) if after < len(whole) else h
-            if after <= len(whole) and (other and (other.version, other.layer, other.hertz) == (h.version, h.layer, h.hertz) or whole[after : after + 3] == b"TAG"):
+            if after <= len(whole) and (_agrees(other, h) or whole[after : after + 3] == b"TAG"):
                 return at
         at += 1
     return len(whole)
@@ -200,8 +205,15 @@ def parse_stream(whole: bytes) -> Stream:
                 at += h.length
                 continue
         if h.protected and h.layer == 3:
+            wrong = checksum(whole[at + 2 : at + 4] + whole[at + 6 : at + 6 + h.side]) != int.from_bytes(whole[at + 4 : at + 6], "big")
+            after = at + h.length
+            if wrong and after < end and not _agrees(read_header(whole[after : after + 4]), h):
+                to = _next_header(data, whole, at + 1)  # neither its checksum nor what follows speaks for a frame
+                found.skipped += to - at
+                at = to
+                continue
             found.checked += 1
-            found.broken += checksum(whole[at + 2 : at + 4] + whole[at + 6 : at + 6 + h.side]) != int.from_bytes(whole[at + 4 : at + 6], "big")
+            found.broken += wrong
         found.offsets.append(at)
         found.lengths.append(h.length)
         found.samples += h.samples
