@@ -11,7 +11,8 @@ The work is kept linear where groups are large:
 1. Classes of frequency come from counts over all documents, kept in bitmaps of fixed size. (Each task counts its
    own documents and passes on shingles it met twice; a shingle's class only affects speed, never the result.)
 2. Documents with equal sets become one representative.
-3. Shingles that only one representative has in its prefix go before anything is shuffled for pairs.
+3. Shingles that only one representative has in its prefix go before anything is shuffled for pairs, and texts are
+   shuffled for verification only if a pair names them.
 4. Rounds of stars: in each shingle's list the member most like the rest is verified against every other member.
    Verified links make components; lists whose members are all in one component are done.
 5. What is left is exact: every pair of members of different components in a list that shares enough prefix
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import settled, slices
+from jobloom.llm.common import settled, slices, small_or_joined
 
 WIDTH = 5
 #: Document counts from which a shingle is of class 1, 2 and 3. They double while more shingles than an eighth of
@@ -132,11 +133,11 @@ def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             often = n > 1
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often], pa.int64())], ["token", "n"])
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             for s in shingle_sets(batch.column(0)):
                 waiting.append(s)
                 held += len(s)
-            if held > 5_000_000:
+            if held > 3_000_000:
                 yield counts()
                 waiting, held = [], 0
         if held:
@@ -196,7 +197,7 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             n, signature, common, matches, prefix = [], [], [], [], []
             for tokens in shingle_sets(batch.column(1)):
                 n.append(len(tokens))
@@ -238,15 +239,11 @@ def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> Data
     return representatives.select("id", "n", "common", "prefix", "matches").mapInArrow(spread, "token long, id long, n long, common int, matches int")
 
 
-def _shared_tokens(representatives: DataFrame) -> np.ndarray:
-    """A bitmap (4 MB) of prefix shingles that two representatives have, and of some others."""
-    bit = F.pmod(F.col("token"), F.lit(MAP_BITS)) + 1
+def _bitmap(numbers: DataFrame) -> np.ndarray:
+    """A bitmap (4 MB) with the bits of the one column's numbers set."""
+    bit = F.pmod(F.col(numbers.columns[0]), F.lit(MAP_BITS)) + 1
     rows = (
-        _entries(representatives)
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select(bit.alias("bit"))
+        numbers.select(bit.alias("bit"))
         .groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
         .toLocalIterator()
@@ -258,6 +255,30 @@ def _shared_tokens(representatives: DataFrame) -> np.ndarray:
     return found
 
 
+def _shared_tokens(representatives: DataFrame) -> np.ndarray:
+    """A bitmap of prefix shingles that two representatives have, and of some others."""
+    return _bitmap(_entries(representatives).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"))
+
+
+def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts (id, text) that ``pairs`` name, so that only they are shuffled.
+
+    Few ids are broadcast; more go through a bitmap of their hashes, whose false bits leave some texts too many.
+    """
+    ids = settled(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    side = small_or_joined(ids)
+    if side is not ids:
+        return texts.join(side, "id", "left_semi")
+    sent = texts.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id"))))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(_is_set(sent.value, np.asarray(batch.column(2)))))
+            yield kept.select([0, 1])
+
+    return texts.select("id", "text", F.xxhash64("id").alias("slot")).mapInArrow(only, "id long, text string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
@@ -276,6 +297,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), b.filter(mask)], ["a", "b"])
 
+    pairs = settled(pairs)
+    texts = _texts_of(texts, pairs)
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
