@@ -2,9 +2,9 @@
 
 A document's set is its distinct five-word shingles, as 64-bit hashes. Under one order of all shingles (rarer
 classes first, then by hash), two sets of Jaccard similarity t or more share at least k of their first
-n - ceil(t*n) + k shingles, for every k. A document whose short prefix holds only rare shingles is indexed with
-k = 1; one whose prefix would meet many others gets a longer prefix, by the candidates its shingles are estimated
-to bring, and then needs min(k, k') shared shingles before a pair is verified.
+n - ceil(t*n) + k shingles, for every k up to ceil(t*n). Each document's k grows with the estimated cost of its
+candidates (how many its prefix would meet, times its size); a pair needs min(k, k') shared prefix shingles before it
+is verified.
 
 The work is kept linear where groups are large:
 
@@ -41,8 +41,8 @@ WIDTH = 5
 CLASSES = (32, 512, 8192)
 #: Bits of each bitmap (4 MB each); a bitmap's false bits only put a shingle in a higher class.
 MAP_BITS = 1 << 25
-#: Most shared prefix shingles asked for, and candidates that a prefix may bring before it is lengthened.
-MOST_MATCHES, CHEAP = 4, 64
+#: Most shared prefix shingles asked for.
+MOST_MATCHES = 12
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -180,11 +180,11 @@ def _prefix(tokens: np.ndarray, maps: list[np.ndarray], percent: int) -> tuple[n
     n = len(tokens)
     need = least_shared(n, percent)
     shortest = n - need + 1
-    # What a prefix is estimated to bring: the lower bound of each shingle's class.
-    bring = np.array([1, *CLASSES])[level[order[:shortest]]].sum() - shortest
-    most = min(MOST_MATCHES, need)
+    # Candidates that the prefix is estimated to bring, by the lower bound of each shingle's class, times the cost of
+    # verifying one. One more match costs one more shingle and is taken to leave a quarter of the candidates.
+    cost = n * int(np.array([1, *CLASSES])[level[order[:shortest]]].sum() - shortest + 1)
     matches = 1
-    while matches < most and bring > CHEAP * 4**matches:
+    while matches < min(MOST_MATCHES, need) and cost > 4**matches:
         matches += 1
     return tokens[order[: shortest + matches - 1]], matches, int((level > 0).sum())
 
@@ -339,13 +339,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, id
         of = entries if labels is None else entries.join(labels, "id", "left")
         label = F.col("id") if labels is None else F.coalesce("label", F.col("id"))
         of = of.withColumn("component", label)
-        centre = of.groupBy("token").agg(F.max(F.struct("common", -F.col("n"), -F.col("id"), "n", "id", "component")).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        centre = of.groupBy("token").agg(F.max(F.struct("common", -F.col("n"), -F.col("id"), "n", "id", "component", "matches")).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         pairs = (
             of.join(centre, "token")
             .filter(F.col("component") != F.col("c.component"))
             .filter((F.col("n") * 100 >= F.col("c.n") * percent) & (F.col("c.n") * 100 >= F.col("n") * percent))
-            .select(F.col("c.id").alias("a"), F.col("id").alias("b"))
-            .distinct()
+            .groupBy(F.col("c.id").alias("a"), F.col("id").alias("b"))
+            .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches", "c.matches")).alias("asked"))
+            .filter("shared >= asked")
+            .select("a", "b")
         )
         found = settled(_verified(pairs, texts, percent))
         if links is not None and not found.head(1):

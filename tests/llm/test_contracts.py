@@ -414,7 +414,6 @@ def test_jaccard_join_hot_group_and_low_threshold(spark, monkeypatch):
     from jobloom.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "CLASSES", (3, 9, 27))
-    monkeypatch.setattr(jaccard_join, "CHEAP", 1)
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(80)]
     rows = []
