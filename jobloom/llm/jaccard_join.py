@@ -13,10 +13,11 @@ The work is kept linear where groups are large:
 2. Documents with equal sets become one representative.
 3. Shingles that only one representative has in its prefix go before anything is shuffled for pairs, and texts are
    shuffled for verification only if a pair names them.
-4. Rounds of stars: in each shingle's list the member most like the rest is verified against every other member.
-   Verified links make components; lists whose members are all in one component are done.
+4. Rounds of stars: each member of a shingle's list is verified against one centre, a member most like the rest of
+   some list they share, that of most shared lists. Verified links make components; lists whose members are all in
+   one component are done.
 5. What is left is exact: every pair of members of different components in a list that shares enough prefix
-   shingles is verified. Pairs inside a component can't change it. No link between components is lost.
+   shingles, and whose places in the prefixes leave room for enough more, is verified. Pairs inside a component can't change it. No link between components is lost.
 
 Edge cases: a null, empty or blank text has an empty set and stays alone; with fewer than five words the whole
 sequence is the one shingle; repeated rows are equal sets; an id stands for one text. A row with a null id belongs
@@ -221,7 +222,8 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
 
 
 def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """One row a prefix shingle: token, id, n, common, matches; with ``only``, shingles of that bitmap."""
+    """One row a prefix shingle: token, id, n, common, matches, pos (its place), lone (shingles before it that no
+    other prefix has); with ``only``, shingles of that bitmap."""
     sent = representatives.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +231,47 @@ def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> Data
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 prefixes = part.column(3).to_pylist()
                 tokens = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
-                row = np.repeat(np.arange(part.num_rows), [len(p) // 8 for p in prefixes])
-                if sent is not None:
-                    keep = _is_set(sent.value, tokens)
-                    tokens, row = tokens[keep], row[keep]
-                taken = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), *(part.column(i).take(taken) for i in (0, 1, 2, 4))], ["token", "id", "n", "common", "matches"])
+                lengths = np.array([len(p) // 8 for p in prefixes], dtype=np.int64)
+                row = np.repeat(np.arange(part.num_rows), lengths)
+                begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+                place = np.arange(len(tokens)) - begin
+                keep = _is_set(sent.value, tokens) if sent is not None else np.ones(len(tokens), bool)
+                alone = np.concatenate([[0], np.cumsum(~keep)])
+                lone = alone[:-1] - alone[begin] if len(tokens) else place
+                taken = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[keep].view(np.int64)), *(part.column(i).take(taken) for i in (0, 1, 2, 4)), pa.array(place[keep].astype(np.int32)), pa.array(lone[keep].astype(np.int32))],
+                    ["token", "id", "n", "common", "matches", "pos", "lone"],
+                )
+
+    return representatives.select("id", "n", "common", "prefix", "matches").mapInArrow(spread, "token long, id long, n long, common int, matches int, pos int, lone int")
+
+
+def _reachable(x: str, y: str, percent: int):
+    """Whether two sets that share the shingle at these places can still be similar enough.
+
+    What they share up to there is at most what either has before it that another prefix has as well, and that one;
+    behind it, at most what the shorter rest holds.
+    """
+    most = F.least(F.col(f"{x}pos") - F.col(f"{x}lone"), F.col(f"{y}pos") - F.col(f"{y}lone")) + 1 + F.least(F.col(f"{x}n") - F.col(f"{x}pos"), F.col(f"{y}n") - F.col(f"{y}pos")) - 1
+    return _enough(most, x, y, percent)
+
+
+def _enough(shared, x: str, y: str, percent: int):
+    return shared * (100 + percent) >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
 
-    return representatives.select("id", "n", "common", "prefix", "matches").mapInArrow(spread, "token long, id long, n long, common int, matches int")
+
+def _paired(joined: DataFrame, x: str, y: str, percent: int) -> DataFrame:
+    """a, b, shared: pairs of rows joined by a shingle that share enough of their prefixes and can be similar enough."""
+    sums = joined.filter(_reachable(x, y, percent)).groupBy(F.col(f"{x}id").alias("a"), F.col(f"{y}id").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"),
+        F.first(F.least(f"{x}matches", f"{y}matches")).alias("asked"),
+        F.first(f"{x}n").alias("xn"),
+        F.first(f"{y}n").alias("yn"),
+        F.max(f"{x}pos").alias("xlast"),
+        F.max(f"{y}pos").alias("ylast"),
+    )
+    return sums.filter((F.col("shared") >= F.col("asked")) & _enough(F.col("shared") + F.least(F.col("xn") - F.col("xlast"), F.col("yn") - F.col("ylast")) - 1, "x", "y", percent)).select("a", "b", "shared")
 
 
 def _bitmap(numbers: DataFrame) -> np.ndarray:
@@ -339,16 +374,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, id
         of = entries if labels is None else entries.join(labels, "id", "left")
         label = F.col("id") if labels is None else F.coalesce("label", F.col("id"))
         of = of.withColumn("component", label)
-        centre = of.groupBy("token").agg(F.max(F.struct("common", -F.col("n"), -F.col("id"), "n", "id", "component", "matches")).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        pairs = (
-            of.join(centre, "token")
-            .filter(F.col("component") != F.col("c.component"))
-            .filter((F.col("n") * 100 >= F.col("c.n") * percent) & (F.col("c.n") * 100 >= F.col("n") * percent))
-            .groupBy(F.col("c.id").alias("a"), F.col("id").alias("b"))
-            .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches", "c.matches")).alias("asked"))
-            .filter("shared >= asked")
-            .select("a", "b")
-        )
+        best = F.max(F.struct("common", -F.col("n"), -F.col("id"), "n", "id", "component", "matches", "pos", "lone"))
+        centre = of.groupBy("token").agg(best.alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        centre = centre.select("token", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "n", "component", "matches", "pos", "lone")))
+        met = of.select("token", *(F.col(c).alias(f"m_{c}") for c in ("id", "n", "component", "matches", "pos", "lone"))).join(centre, "token").filter("m_component != c_component")
+        pairs = _paired(met, "c_", "m_", percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         found = settled(_verified(pairs, texts, percent))
         if links is not None and not found.head(1):
             break
@@ -361,17 +391,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, id
     # The component with most members of a list meets the others' members, never its own.
     main = rest.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rest = settled(rest.join(main, "token"))
-    left = rest.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("component").alias("ca"), (F.col("component") == F.col("main")).alias("of_main"))
-    right = rest.filter("component != main").select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("component").alias("cb"))
-    pairs = (
-        left.join(right, "token")
-        .filter("ca != cb and (of_main or a < b)")
-        .filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("ma", "mb")).alias("asked"))
-        .filter("shared >= asked")
-        .select("a", "b")
+    left = rest.select("token", *(F.col(c).alias(f"l_{c}") for c in ("id", "n", "component", "matches", "pos", "lone")), (F.col("component") == F.col("main")).alias("of_main"))
+    right = rest.filter("component != main").select("token", *(F.col(c).alias(f"r_{c}") for c in ("id", "n", "component", "matches", "pos", "lone")))
+    # A pair meets in one orientation or, where the list's main component changes, in both.
+    met = left.join(right, "token").filter("l_component != r_component and (of_main or l_id < r_id)")
+    turned = met.withColumn("turn", F.col("l_id") > F.col("r_id")).select(
+        *(F.when(F.col("turn"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{to}_{c}") for to, a, b in (("x", "l", "r"), ("y", "r", "l")) for c in ("id", "n", "matches", "pos", "lone"))
     )
+    pairs = _paired(turned, "x_", "y_", percent).select("a", "b")
     links = links.union(settled(_verified(pairs, texts, percent)))
     labels = components(links)
 
