@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import seeded_key, slices, whole_text
+from jobloom.llm.common import seeded_key, settled, slices, whole_text
 from jobloom.llm.tokens import WordEncoder, encoder
 
 MAGIC = b"TKS1"
@@ -44,7 +44,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
     import zstandard
 
     short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    rows = short.orderBy(seeded_key(seed, F.col("id")), "id").limit(SAMPLE_DOCS).select("text").collect()
+    # Ids are chosen before any text moves.
+    chosen = settled(short.select("id", seeded_key(seed, F.col("id")).alias("key")).orderBy("key", "id").limit(SAMPLE_DOCS).select("id").distinct())
+    rows = short.join(F.broadcast(chosen), "id", "left_semi").select("text").take(SAMPLE_DOCS)
     encode = encoder(WordEncoder, vocabulary)
     end = struct.pack("<I", end_id)
     samples = [encode(r["text"]) + end for r in rows]
