@@ -1,9 +1,338 @@
-"""Queries for the posting operators."""
+"""Queries for the posting operators, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from jobloom.functions import text as t
+from jobloom.functions import urls as u
+from jobloom.operators import lifecycle as life
+from jobloom.operators import ranking as rank
+
+POSITIVE, NEGATIVE, BLOCKED = ("the", "tion", "ing", "ment"), ("clown", "disgusting"), ("idiot", "clown", "pathetic")
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def flagship(spark, sf_dir):
-    """The documents of one scale factor."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def title(column: str = "text"):
+    """The first line."""
+    return F.regexp_extract(F.col(column), "^[^\\n]*", 0)
+
+
+SQL_TITLE = "regexp_extract(text, '^[^\\n]*')"
+_FOLD_COLLECTOR = "trim(regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace(lower({0}),'ä','ae'),'ö','oe'),'ü','ue'),'ß','ss')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_FOLD_STATE = "trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_FOLD_DEDUPE = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))"
+_PARTS = "'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)'"
+_STATE_URL = f"lower(regexp_extract(url, {_PARTS}, 1)) || '://' || lower(regexp_extract(url, {_PARTS}, 2)) || CASE WHEN regexp_extract(url, {_PARTS}, 3) <> '/' THEN regexp_replace(regexp_extract(url, {_PARTS}, 3), '/$', '') ELSE '/' END"
+
+
+@query(f"SELECT doc_id, md5({_FOLD_COLLECTOR.format('text')}) AS normal FROM documents")
+def norm_collector(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.norm_collector(F.col("text"))).alias("normal"))
+
+
+@query(f"SELECT doc_id, md5({_FOLD_STATE.format('text')}) AS normal FROM documents")
+def norm_state(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.norm_state(F.col("text"))).alias("normal"))
+
+
+@query(f"SELECT doc_id, md5({_FOLD_DEDUPE.format('text')}) AS normal FROM documents")
+def norm_dedupe(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.norm_dedupe(F.col("text"))).alias("normal"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g')) AS normal FROM documents")
+def norm_topic(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.norm_topic(F.col("text"))).alias("normal"))
+
+
+@query(f"SELECT page_id, {_STATE_URL} AS canonical, left(sha256('url|web|' || {_STATE_URL}), 16) AS uid FROM pages")
+def url_state_canon_uid(spark, sf_dir):
+    none = F.lit("")
+    return table(spark, sf_dir, "pages").select("page_id", u.state_canonical(F.col("url")).alias("canonical"), u.job_uid(F.lit("web"), F.col("url"), none, none, none).alias("uid"))
+
+
+_DEDUPE_BARE = "regexp_replace(url, '#.*$', '')"
+for _name in u.TRACKING:
+    _DEDUPE_BARE = f"regexp_replace({_DEDUPE_BARE}, '[?&]{_name}=[^&]*', '', 'g')"
+_DEDUPE_BARE = f"regexp_replace({_DEDUPE_BARE}, '[?&]+$', '')"
+
+
+@query(f"SELECT page_id, lower(regexp_extract(b, {_PARTS}, 1)) || '://' || lower(regexp_extract(b, {_PARTS}, 2)) || regexp_replace(regexp_extract(b, {_PARTS}, 3), '/+$', '') || regexp_extract(b, '([?].*)$', 1) AS canonical FROM (SELECT page_id, {_DEDUPE_BARE} AS b FROM pages)")
+def url_dedupe_canon(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", u.dedupe_canonical(F.col("url")).alias("canonical"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS link FROM pages")
+def url_bare(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", u.bare_link(F.col("url")).alias("link"))
+
+
+@query(f"SELECT page_id, CASE WHEN regexp_matches(last, '^[0-9A-Za-z_-]{{4,}}$') THEN last ELSE '' END AS job_id FROM (SELECT page_id, regexp_extract(regexp_replace(regexp_extract(url, {_PARTS}, 3), '/+$', ''), '([^/]*)$', 1) AS last FROM pages)")
+def source_job_id(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", u.source_job_id(F.col("url")).alias("job_id"))
+
+
+@query(f"SELECT page_id, upper(left(h, 1)) || lower(substr(h, 2)) AS company FROM (SELECT page_id, string_split(regexp_replace(lower(regexp_extract(url, {_PARTS}, 2)), '^www[.]', ''), '.')[-2] AS h FROM pages)")
+def company_from_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", u.company_from_host(F.col("url")).alias("company"))
+
+
+_ANY = lambda col, words: "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+_CLASS = lambda classes, default: "CASE " + " ".join(f"WHEN {_ANY('low', words)} THEN '{name}'" for name, words in classes) + f" ELSE '{default}' END"
+
+
+@query(f"SELECT doc_id, {_CLASS(t.EMPLOYMENT, '')} AS employment, {_CLASS(t.LANGUAGES, 'de')} AS language, regexp_extract(text, '([0-9]{{2,3}})\\s*[-–]\\s*([0-9]{{2,3}})\\s*%|([0-9]{{2,3}})\\s*%') AS workload FROM (SELECT doc_id, text, lower(text) AS low FROM documents)")
+def posting_labels(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", t.employment_type(text).alias("employment"), t.language_hint(text).alias("language"), t.workload(text).alias("workload"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d1, strftime(o_orderdate, '%Y-%m-%d') AS d2 FROM orders")
+def date_unify(spark, sf_dir):
+    day = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.unified_date(F.date_format(day, "yyyy-MM-dd HH:mm")).alias("d1"), t.unified_date(F.date_format(day, "d.M.yyyy")).alias("d2"))
+
+
+_HITS = lambda words: " + ".join(f"contains(low, '{w}')::INT" for w in sorted(words))
+
+
+@query(f"SELECT doc_id, 10 * p - 20 * n AS score, CASE WHEN p >= 2 AND n = 0 THEN 'exact' WHEN p >= 1 AND n = 0 THEN 'good' ELSE 'weak' END AS label FROM (SELECT doc_id, {_HITS(POSITIVE)} AS p, {_HITS(NEGATIVE)} AS n FROM (SELECT doc_id, lower({SQL_TITLE}) AS low FROM documents))")
+def title_score_match(spark, sf_dir):
+    score, label = rank.title_score(title(), POSITIVE, NEGATIVE)
+    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"), label.alias("label"))
+
+
+_FIRST = lambda col, words: "CASE " + " ".join(f"WHEN contains({col}, '{w}') THEN '{w}'" for w in words) + " END"
+_REASON = f"coalesce('blacklist_company:' || {_FIRST('source', ('src3', 'src7'))}, 'blacklist_keyword:' || {_FIRST('head', BLOCKED)}, 'requirements_blocklist:' || {_FIRST('low', ('api_key', 'password'))})"
+_REASONS = f"SELECT doc_id, source, {_REASON} AS reason FROM (SELECT doc_id, source, lower({SQL_TITLE}) AS head, lower(text) AS low FROM documents)"
+
+
+def _reasons(spark, sf_dir):
+    reason = rank.hard_reason(title(), F.col("source"), F.col("text"), companies=("src3", "src7"), keywords=BLOCKED, requirements=("api_key", "password"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", reason.alias("reason"))
+
+
+@query(_REASONS)
+def hard_filter_reason(spark, sf_dir):
+    return _reasons(spark, sf_dir)
+
+
+@query(f"SELECT coalesce(string_split(reason, ':')[1], 'kept') AS category, count(*) AS n FROM ({_REASONS}) GROUP BY 1")
+def hard_filter_split_counts(spark, sf_dir):
+    return _reasons(spark, sf_dir).groupBy(F.coalesce(F.split_part("reason", F.lit(":"), F.lit(1)), F.lit("kept")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT source, coalesce(string_split(reason, ':')[1], 'kept') AS category, count(*) AS n FROM ({_REASONS}) GROUP BY ROLLUP (1, 2)")
+def rollup_reason_source(spark, sf_dir):
+    own = _reasons(spark, sf_dir).select("source", F.coalesce(F.split_part("reason", F.lit(":"), F.lit(1)), F.lit("kept")).alias("category"))
+    return own.rollup("source", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, regexp_matches(n, '(^| )the (.* )?of( |$)') AS blocked FROM (SELECT doc_id, {_FOLD_COLLECTOR.format('text')} AS n FROM documents)")
+def blocked_terms_in_order(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.in_order(t.norm_collector(F.col("text")), "the of").alias("blocked"))
+
+
+@query(f"SELECT doc_id, contains(' ' || n || ' ', ' of ') OR contains(n, 'ment') AS kept FROM (SELECT doc_id, {_FOLD_COLLECTOR.format('text')} AS n FROM documents)")
+def include_terms_token_or_substr(spark, sf_dir):
+    read = table(spark, sf_dir, "documents").select("doc_id", t.norm_collector(F.col("text")).alias("n"))
+    return read.select("doc_id", (F.array_contains(F.split("n", " "), "of") | F.contains("n", F.lit("ment"))).alias("kept"))
+
+
+@query("SELECT c_custkey, arg_max(n_name, length(n_name)) AS place FROM customer LEFT JOIN nation ON contains('NATION_' || c_nationkey || 'x', n_name) GROUP BY c_custkey")
+def place_lookup_longest(spark, sf_dir):
+    places = table(spark, sf_dir, "nation").select("n_name")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("NATION_"), "c_nationkey", F.lit("x")).alias("spot"))
+    longest = sorted((r["n_name"] for r in places.limit(1000).collect()), key=lambda n: (-len(n), n))  # places are a configured list
+    return cust.select("c_custkey", F.coalesce(*(F.when(F.contains("spot", F.lit(n)), n) for n in longest)).alias("place"))
+
+
+_VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, length(v) AS n_chars, md5(v) AS digest, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href')) AS n_links FROM (SELECT page_id, html, {_VISIBLE} AS v FROM pages)")
+def html_visible_text_links(spark, sf_dir):
+    seen = table(spark, sf_dir, "pages").select("page_id", "html", t.visible(F.col("html")).alias("v"))
+    return seen.select("page_id", F.length("v").alias("n_chars"), F.md5("v").alias("digest"), F.size(F.regexp_extract_all("html", F.lit("(?i)<a\\s[^>]*href"), 0)).alias("n_links"))
+
+
+@query(f"SELECT page_id, hit, CASE WHEN hit THEN sum(hit::INT) OVER (ORDER BY page_id) <= 50 ELSE false END AS allowed FROM (SELECT page_id, contains(lower({_VISIBLE}), 'the') AS hit FROM pages)")
+def capped_fetch_budget(spark, sf_dir):
+    need = table(spark, sf_dir, "pages").select("page_id", F.contains(F.lower(t.visible(F.col("html"))), F.lit("the")).alias("hit"))
+    return rank.within_budget(need, "hit", "page_id", 50)
+
+
+@query("SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+'), lambda x: lower(x)))[1] AS email FROM documents WHERE contains(text, '@') AND len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+'))) = 1")
+def contact_email_pick(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@"))).select("doc_id", F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"), 0), lambda e: F.lower(e))).alias("found"))
+    return found.filter(F.size("found") == 1).select("doc_id", F.get("found", F.lit(0)).alias("email"))
+
+
+_REVIEW = "SELECT d.doc_id, l.doc_id IS NULL AS fallback, (coalesce(l.quality, 0) * 70 + 15)::DOUBLE AS review, length(d.text) % 130 - 40 AS rule FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+
+
+def _reviews(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality")
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(labels, docs["doc_id"] == F.col("_id"), "left").select("doc_id", F.col("_id").isNull().alias("fallback"), (F.coalesce("quality", F.lit(0)) * 70 + 15).cast("double").alias("review"), (F.length("text") % 130 - 40).alias("rule"))
+
+
+@query(_REVIEW)
+def review_left_join_fallback(spark, sf_dir):
+    return _reviews(spark, sf_dir)
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY rule DESC, doc_id) <= 30 AS reviewed FROM ({_REVIEW})")
+def review_top30(spark, sf_dir):
+    own = _reviews(spark, sf_dir).select("doc_id", "rule")
+    top = own.orderBy(F.desc("rule"), "doc_id").limit(30).select("doc_id", F.lit(True).alias("hit"))
+    return own.join(F.broadcast(top), "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("reviewed"))
+
+
+@query(f"SELECT doc_id, CASE WHEN fallback THEN round_even(scaled, 1) ELSE round_even(0.6::DOUBLE * review + 0.4::DOUBLE * scaled, 1) END AS score_final FROM (SELECT *, (greatest(-30.0::DOUBLE, least(80.0::DOUBLE, rule::DOUBLE)) + 30) / 110 * 100 AS scaled FROM ({_REVIEW}))")
+def final_rank_blend(spark, sf_dir):
+    return _reviews(spark, sf_dir).select("doc_id", rank.final_score(F.col("rule"), F.col("review"), F.col("fallback")).alias("score_final"))
+
+
+_NOISE = "['" + "','".join((*rank.NOISE, "")) + "']"
+_PRINT = lambda col, n: f"array_to_string(list_sort(list_filter(list_distinct(string_split({_FOLD_DEDUPE.format(col)}, ' ')), lambda x: NOT list_contains({_NOISE}, x)))[1:{n}], ' ')"
+
+
+@query(f"SELECT fp, count(*) - 1 AS removed, arg_max(p_partkey, p_retailprice * 1000000 - p_partkey) AS best FROM (SELECT *, {_PRINT('p_name', 4)} || '|' || {_PRINT('p_brand', 2)} AS fp FROM part) GROUP BY fp")
+def dedupe_by_fingerprint(spark, sf_dir):
+    own = table(spark, sf_dir, "part").withColumn("fp", rank.fingerprint(F.col("p_name"), F.col("p_brand")))
+    return own.groupBy("fp").agg((F.count(F.lit(1)) - 1).alias("removed"), F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("best"))
+
+
+@query(f"SELECT c AS url, min(page_id) AS first_page, count(*) - 1 AS removed FROM (SELECT page_id, {_STATE_URL} AS c FROM pages) GROUP BY c")
+def dedupe_by_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(u.state_canonical(F.col("url")).alias("url")).agg(F.min("page_id").alias("first_page"), (F.count(F.lit(1)) - 1).alias("removed"))
+
+
+@query()
+def dedupe_greedy_clusters(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), u.source_job_id(F.col("url")).alias("source_id"), u.dedupe_canonical(F.col("url")).alias("url"), rank.fingerprint(F.left(t.visible(F.col("html")), F.lit(40)), F.lit("")).alias("print"))
+    return rank.greedy_clusters(own).select("ord", "cluster")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, p_size >= 45 AS ok, row_number() OVER (ORDER BY p_partkey) AS n, max((p_size >= 45)::INT) OVER () AS any_ok FROM part) WHERE ok OR (any_ok = 0 AND n <= 10)")
+def min_score_fallback(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    some = own.filter("p_size >= 45")
+    return some.select("p_partkey") if some.head(1) else own.orderBy("p_partkey").limit(10).select("p_partkey")
+
+
+_STATE = "SELECT user_id::VARCHAR AS uid, CASE user_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'notified' WHEN 2 THEN 'applied' WHEN 3 THEN 'ignored' ELSE 'closed' END AS status, min(ts) AS first_seen, max(ts) AS last_seen, CASE WHEN user_id % 2 = 1 THEN max(ts) END AS last_sent, (user_id % 4)::INT AS missing_runs FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY user_id"
+_BATCH = "SELECT DISTINCT user_id::VARCHAR AS uid FROM events WHERE ts >= TIMESTAMP '2024-01-25' AND user_id % 3 <> 0"
+_NOW = "TIMESTAMP '2024-01-26 00:00:00'"
+_MERGED = f"""SELECT coalesce(s.uid, b.uid) AS uid,
+  CASE WHEN s.uid IS NULL THEN 'new'
+       WHEN b.uid IS NOT NULL AND s.status = 'closed' THEN CASE WHEN s.last_sent IS NOT NULL THEN 'notified' ELSE 'new' END
+       WHEN b.uid IS NOT NULL OR s.status IN ('applied', 'ignored', 'closed') THEN s.status
+       WHEN s.missing_runs + 1 >= 3 OR floor((epoch({_NOW}) - floor(epoch(s.last_seen))) / 86400) >= 7 THEN 'closed' ELSE s.status END AS status,
+  CASE WHEN s.uid IS NULL THEN {_NOW} ELSE s.first_seen END AS first_seen,
+  CASE WHEN b.uid IS NOT NULL THEN {_NOW} ELSE s.last_seen END AS last_seen, s.last_sent,
+  CASE WHEN b.uid IS NOT NULL THEN 0 WHEN s.status IN ('applied', 'ignored', 'closed') THEN s.missing_runs ELSE s.missing_runs + 1 END AS missing_runs
+FROM ({_STATE}) s FULL JOIN ({_BATCH}) b ON s.uid = b.uid"""
+_STAMPS = "* REPLACE (strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, strftime(last_sent, '%Y-%m-%d %H:%M:%S') AS last_sent)"
+
+
+def _stamp():
+    return F.lit("2024-01-26 00:00:00").cast("timestamp")
+
+
+def _state(spark, sf_dir):
+    own = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kinds = F.array(*(F.lit(x) for x in ("new", "notified", "applied", "ignored", "closed")))
+    return own.filter("ts < timestamp '2024-01-20 00:00:00'").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).select(
+        F.col("user_id").cast("string").alias("uid"), F.get(kinds, (F.col("user_id") % 5).cast("int")).alias("status"), "first_seen", "last_seen", F.when(F.col("user_id") % 2 == 1, F.col("last_seen")).alias("last_sent"), (F.col("user_id") % 4).cast("int").alias("missing_runs")
+    )
+
+
+def _batch(spark, sf_dir):
+    own = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return own.filter("ts >= timestamp '2024-01-25 00:00:00' and user_id % 3 <> 0").select(F.col("user_id").cast("string").alias("uid")).distinct()
+
+
+def _as_text(frame):
+    return frame.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen", "last_sent")})
+
+
+@query(f"SELECT {_STAMPS} FROM ({_MERGED})")
+def state_merge_full_outer(spark, sf_dir):
+    return _as_text(life.merge(_state(spark, sf_dir), _batch(spark, sf_dir), _stamp()))
+
+
+@query(f"SELECT uid, CASE WHEN last_seen <> {_NOW} OR status IN ('applied', 'ignored', 'closed') THEN '' WHEN last_sent IS NULL THEN 'new' WHEN floor((epoch({_NOW}) - floor(epoch(last_sent))) / 86400) >= 2 THEN 'reminder' ELSE 'open' END AS section FROM ({_MERGED})")
+def classify_new_reminder_open(spark, sf_dir):
+    return life.classified(life.merge(_state(spark, sf_dir), _batch(spark, sf_dir), _stamp()), _stamp()).select("uid", "section")
+
+
+@query(f"SELECT count(*) FILTER (status IN ('new', 'notified')) AS n_open, count(*) FILTER (status = 'applied') AS n_applied, count(*) FILTER (status = 'ignored') AS n_ignored, count(*) FILTER (status = 'closed') AS n_closed, count(*) AS n_total FROM ({_STATE})")
+def state_counts(spark, sf_dir):
+    return life.counts(_state(spark, sf_dir))
+
+
+@query(f"SELECT s.uid, CASE WHEN s.uid::INT % 7 = 0 THEN 'ignored' WHEN s.uid::INT % 11 = 0 THEN 'applied' ELSE s.status END AS status FROM ({_STATE}) s")
+def tracker_marks_apply(spark, sf_dir):
+    own = _state(spark, sf_dir)
+    marks = own.filter("cast(uid as int) % 7 = 0 or cast(uid as int) % 11 = 0").select("uid", F.when(F.expr("cast(uid as int) % 7 = 0"), "Ignored").alias("action"), F.lit(True).alias("done"))
+    return life.marked(own, marks).select("uid", "status")
+
+
+@query("SELECT p_type AS source, n_name AS place FROM (SELECT DISTINCT p_type FROM part), nation WHERE NOT (length(p_type) % 2 = 0 AND n_nationkey % 2 = 0)")
+def task_cache_antijoin(spark, sf_dir):
+    tasks = table(spark, sf_dir, "part").select(F.col("p_type").alias("source")).distinct().crossJoin(F.broadcast(table(spark, sf_dir, "nation").select("n_name", "n_nationkey")))
+    return tasks.filter(~((F.length("source") % 2 == 0) & (F.col("n_nationkey") % 2 == 0))).select("source", F.col("n_name").alias("place"))
+
+
+@query("SELECT (n - 1) // 3 AS batch, string_agg(n_name, ' OR ' ORDER BY n) AS terms FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation) GROUP BY 1")
+def term_batches(spark, sf_dir):
+    own = table(spark, sf_dir, "nation").withColumn("n", F.row_number().over(Window.orderBy("n_nationkey")))
+    return own.groupBy(F.expr("(n - 1) div 3").alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "n_name"))), lambda x: x["n_name"]), " OR ").alias("terms"))
+
+
+@query("SELECT c_nationkey AS key FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
+def sets_union_except_intersect(spark, sf_dir):
+    key = lambda name, c: table(spark, sf_dir, name).select(F.col(c).alias("key"))
+    return key("customer", "c_nationkey").intersect(key("supplier", "s_nationkey")).subtract(table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("key")))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) <= 10 AS allowed FROM events")
+def rate_limit_window(spark, sf_dir):
+    recent = Window.partitionBy("user_id").orderBy(F.unix_timestamp(F.col("ts").cast("timestamp"))).rangeBetween(-3600, 0)
+    return table(spark, sf_dir, "events").select("event_id", (F.count(F.lit(1)).over(recent) <= 10).alias("allowed"))
+
+
+@query(f"SELECT doc_id, section, place FROM (SELECT doc_id, CASE WHEN fallback THEN 'new' ELSE 'reminder' END AS section, row_number() OVER (ORDER BY fallback DESC, rule DESC, doc_id) AS place FROM ({_REVIEW})) WHERE place <= 200")
+def digest_cap_sections(spark, sf_dir):
+    top = _reviews(spark, sf_dir).orderBy(F.desc("fallback"), F.desc("rule"), "doc_id").limit(200)
+    place = F.row_number().over(Window.orderBy(F.desc("fallback"), F.desc("rule"), "doc_id"))
+    return top.select("doc_id", F.when(F.col("fallback"), "new").otherwise("reminder").alias("section"), place.alias("place"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised titles with score, label and reason of the postings that stay, best first."""
+    score, label = rank.title_score(title(), POSITIVE, NEGATIVE)
+    reason = rank.hard_reason(title(), F.col("source"), F.col("text"), companies=("src3",), keywords=BLOCKED)
+    own = table(spark, sf_dir, "documents").select("doc_id", "source", t.norm_collector(title()).alias("title"), score.alias("score"), rank.match_label(label, score).alias("match"), reason.alias("reason"))
+    return own.filter("reason is null").drop("reason").orderBy(F.desc("score"), "doc_id").limit(100)
