@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only below this many rows of a few words each.
 BROADCAST_ROWS = 20_000
+#: Rows of an Arrow batch that carries whole texts.
+ARROW_ROWS = "500"
 #: Bits of a seeded key.
 KEY_BITS = 60
 
@@ -23,6 +25,11 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def small_batches(frame: DataFrame) -> None:
+    """Keeps Arrow batches of whole texts small on both sides of the pipe to Python, for what runs later in this session."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

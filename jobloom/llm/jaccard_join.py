@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import settled, slices, small_or_joined
+from jobloom.llm.common import settled, slices, small_batches, small_or_joined
 
 WIDTH = 5
 #: Document counts from which a shingle is of class 1, 2 and 3. They double while more shingles than an eighth of
@@ -138,7 +138,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in shingle_sets(batch.column(0)):
                 waiting.append(s)
                 held += len(s)
-            if held > 3_000_000:
+            if held > 1_500_000:
                 yield counts()
                 waiting, held = [], 0
         if held:
@@ -360,6 +360,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+    small_batches(docs)
     maps = frequency_maps(docs, id_col, text_col)
     prefixes = settled(_prefixes(docs, maps, id_col, text_col, percent))
     sets = settled(prefixes.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("id")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import seeded_key, settled, slices
+from jobloom.llm.common import seeded_key, settled, slices, small_batches
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 12, (2, 3, 4, 5)
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 2, 6, 64, 0.004
@@ -132,6 +132,7 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 3) -> Network | None:
     """Trains on the bounded sample; None without labelled rows."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    small_batches(docs)
     labelled = own.filter(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     # Ids are chosen before any text moves.
     chosen = settled(labelled.select("id", seeded_key(seed, F.col("id")).alias("key")).orderBy("key", "id").limit(SAMPLE_DOCS).select("id").distinct())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import slices, whole_text
+from jobloom.llm.common import slices, small_batches, whole_text
 
 #: Phrases that count as base matches, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -210,6 +210,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE, id_col: str = "doc_
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
     names = [c.split()[0] for c in schema.split(", ")]
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, phrases)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import slices, whole_text
+from jobloom.llm.common import slices, small_batches, whole_text
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1?, layer), Hz by version
 KBITS = {
@@ -253,6 +253,7 @@ def read_payload(media: bytes, stream: Stream | None = None) -> bytes:
 
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a stream."""
+    small_batches(docs)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import settled, slices, whole_text
+from jobloom.llm.common import settled, slices, small_batches, whole_text
 from jobloom.llm.tokens import ByteEncoder, encoder
 
 #: Ranges of the hash in which pieces of one length are ranked.
@@ -166,6 +166,7 @@ def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, in
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian u32)."""
+    small_batches(docs)
     end = struct.pack("<I", end_id)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 

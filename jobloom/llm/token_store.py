@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import seeded_key, settled, slices, whole_text
+from jobloom.llm.common import seeded_key, settled, slices, small_batches, whole_text
 from jobloom.llm.tokens import WordEncoder, encoder
 
 MAGIC = b"TKS1"
@@ -104,6 +104,7 @@ class Segment:
 def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the documents in ascending order of their ids."""
     spark = docs.sparkSession
+    small_batches(docs)
     dictionary = train_dictionary(docs, vocabulary, end_id, id_col, text_col)
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, body binary").coalesce(1).write.parquet(f"{path}/dictionary")
