@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: Rows of an Arrow batch that carries whole texts.
 ARROW_ROWS = "500"
+#: Bytes of such a batch; a longer single row comes alone.
+ARROW_BYTES = "4m"
 #: Bits of a seeded key.
 KEY_BITS = 60
 
@@ -28,6 +30,7 @@ def settled(frame: DataFrame) -> DataFrame:
 def small_batches(frame: DataFrame) -> None:
     """Keeps Arrow batches of whole texts small on both sides of the pipe to Python, for what runs later in this session."""
     frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def whole_text(column: str = "text") -> Column:

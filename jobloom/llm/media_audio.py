@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import slices, small_batches, whole_text
+from jobloom.llm.token_store import shared_path
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1?, layer), Hz by version
 KBITS = {
@@ -267,6 +268,18 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(build, "doc_id long, n_bytes long, media binary")
 
 
+def stored_media(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes each whole text's stream to a Parquet folder and gives the rows read back from it.
+
+    Storing and reading are separate stages, so a task holds one Python worker; row groups are kept small because
+    every task buffers one of streams.
+    """
+    spark = docs.sparkSession
+    path = path or shared_path(spark, "media")
+    with_media(docs, id_col, text_col).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+    return spark.read.parquet(path)
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Reads stored streams back: payload digests, stream digests and structure."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, frame_offsets array<long>"

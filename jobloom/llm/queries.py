@@ -56,7 +56,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_audio.media_features(media_audio.with_media(_documents(spark, sf_dir))).drop("frame_offsets")
+    return media_audio.media_features(media_audio.stored_media(_documents(spark, sf_dir))).drop("frame_offsets")
 
 
 def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
