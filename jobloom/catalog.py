@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.plans import parity
+from jobloom.plans import collect, parity  # noqa: F401 - collect registers its queries with parity's
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = parity.QUERIES
 ORACLES: dict[str, str] = parity.ORACLES
