@@ -53,7 +53,7 @@ _WHOLE = "title || ' ' || raw_title || ' ' || company || ' ' || location || ' '
 _NORMAL = f"SELECT *, {_FOLD_COLLECTOR.format('location')} AS nl, {_FOLD_COLLECTOR.format('title')} AS nt, {_FOLD_COLLECTOR.format('raw_title')} AS nr, {_FOLD_COLLECTOR.format(_WHOLE)} AS na FROM ({_FILLED})"
 _ANY = lambda words: " OR ".join(f"contains(nl, '{w}') OR contains(nt, '{w}') OR contains(nr, '{w}')" for w in words)
 _EARLY = f"""SELECT *, CASE WHEN {_ANY(RULES.remote)} THEN 'remote_blocked' WHEN NOT ({_ANY(RULES.search_places)}) THEN 'local_mismatch'
-  WHEN NOT (contains(na, 'ment') OR len(list_intersect(string_split(na, ' '), ['of', 'und', 'de'])) > 0) THEN 'include_keywords'
+  WHEN NOT (contains(na, 'ment') OR contains(na, 'und') OR len(list_intersect(string_split(na, ' '), ['of', 'de'])) > 0) THEN 'include_keywords'
   WHEN lower(company) = 'src3' THEN 'company_blacklist'
   WHEN contains(b, 'the of') OR contains(b, 'idiot') OR regexp_matches(b, '(^| )the (.* )?of( |$)') THEN 'blocked_keywords'
   WHEN source = 'src1' AND NOT regexp_matches(link, '[0-9]') THEN 'category_link' END AS early,
