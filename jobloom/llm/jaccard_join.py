@@ -17,7 +17,7 @@ The work is kept linear where groups are large:
    some list they share, that of most shared lists. Verified links make components; lists whose members are all in
    one component are done.
 5. What is left is exact: every pair of members of different components in a list that shares enough prefix
-   shingles, and whose places in the prefixes leave room for enough more, is verified. Pairs inside a component can't change it. No link between components is lost.
+   shingles, and whose places in the prefixes and parity marks leave room for enough more, is verified. Pairs inside a component can't change it. No link between components is lost.
 
 Edge cases: a null, empty or blank text has an empty set and stays alone; with fewer than five words the whole
 sequence is the one shingle; repeated rows are equal sets; an id stands for one text. A row with a null id belongs
@@ -44,6 +44,10 @@ CLASSES = (32, 512, 8192)
 MAP_BITS = 1 << 25
 #: Most shared prefix shingles asked for.
 MOST_MATCHES = 12
+#: 64-bit words of a set's marks.
+MARK_WORDS = 4
+#: Sets of more shingles carry no marks: these would be too full to tell anything.
+MARKED = 500
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -190,8 +194,14 @@ def _prefix(tokens: np.ndarray, maps: list[np.ndarray], percent: int) -> tuple[n
     return tokens[order[: shortest + matches - 1]], matches, int((level > 0).sum())
 
 
+def _marks(tokens: np.ndarray) -> np.ndarray:
+    """Parities of a set over 256 slots; two sets differ in at least as many shingles as their marks do in bits."""
+    slots = (tokens >> np.uint64(20)).astype(np.int64) % (64 * MARK_WORDS)
+    return np.packbits((np.bincount(slots, minlength=64 * MARK_WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, n, signature (of the set), common (per mille of frequent shingles), matches, prefix (binary)."""
+    """doc_id, n, signature (of the set), common (per mille of frequent shingles), matches, prefix (binary), marks."""
     import hashlib
 
     sent = docs.sparkSession.sparkContext.broadcast(maps)
@@ -199,9 +209,10 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in slices(batches, "text", 1 << 20):
-            n, signature, common, matches, prefix = [], [], [], [], []
+            n, signature, common, matches, prefix, marks = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column(1)):
                 n.append(len(tokens))
+                marks.append(_marks(tokens))
                 signature.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 if len(tokens):
                     p, k, often = _prefix(tokens, own, percent)
@@ -213,12 +224,12 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
                     matches.append(0)
                     prefix.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary())],
-                ["doc_id", "n", "signature", "common", "matches", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "n", "signature", "common", "matches", "prefix", "marks"],
             )
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(build, "doc_id long, n long, signature binary, common int, matches int, prefix binary")
+    return read.mapInArrow(build, "doc_id long, n long, signature binary, common int, matches int, prefix binary, marks array<long>")
 
 
 def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> DataFrame:
@@ -261,6 +272,13 @@ def _enough(shared, x: str, y: str, percent: int):
     return shared * (100 + percent) >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
+def _alike(x: str, y: str, percent: int):
+    """Whether two sets can be similar enough as far as their marks tell how many shingles they differ in."""
+    differ = sum(F.bit_count(F.get(f"{x}marks", F.lit(i)).bitwiseXOR(F.get(f"{y}marks", F.lit(i)))) for i in range(MARK_WORDS))
+    both = F.col(f"{x}n") + F.col(f"{y}n")
+    return differ.isNull() | ((both - differ) * (100 + percent) >= 2 * percent * both)
+
+
 def _paired(joined: DataFrame, x: str, y: str, percent: int) -> DataFrame:
     """a, b, shared: pairs of rows joined by a shingle that share enough of their prefixes and can be similar enough."""
     sums = joined.filter(_reachable(x, y, percent)).groupBy(F.col(f"{x}id").alias("a"), F.col(f"{y}id").alias("b")).agg(
@@ -358,6 +376,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open(entries: DataFrame, side: DataFrame) -> DataFrame:
+    """Entries of shingles that several components share, with marks and ``component`` from ``side`` (id, label, marks).
+
+    ``main`` is the component of most members of a list; its members meet the others', never their own.
+    """
+    of = entries.join(side, "id").withColumn("component", F.coalesce("label", "id")).drop("label")
+    sizes = of.groupBy("token", "component").count().groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main"))
+    return of.join(sizes.filter("parts > 1").drop("parts"), "token")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     small_batches(docs)
@@ -365,7 +393,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
     prefixes = settled(_prefixes(docs, maps, id_col, text_col, percent))
     sets = settled(prefixes.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("id")))
     chosen = prefixes.join(sets.select(F.col("signature").alias("of_set"), "id"), (F.col("signature") == F.col("of_set")) & (F.col("doc_id") == F.col("id")))
-    representatives = settled(chosen.select("id", "n", "common", "matches", "prefix"))
+    representatives = settled(chosen.select("id", "n", "common", "matches", "prefix", "marks"))
 
     entries = settled(_entries(representatives, _shared_tokens(representatives)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
@@ -386,16 +414,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
         links = found if links is None else links.union(found)
         labels = components(links)
 
-    of = entries.join(labels, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
-    open_tokens = of.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-    rest = settled(of.join(open_tokens, "token"))
-    # The component with most members of a list meets the others' members, never its own.
-    main = rest.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = settled(rest.join(main, "token"))
-    left = rest.select("token", *(F.col(c).alias(f"l_{c}") for c in ("id", "n", "component", "matches", "pos", "lone")), (F.col("component") == F.col("main")).alias("of_main"))
-    right = rest.filter("component != main").select("token", *(F.col(c).alias(f"r_{c}") for c in ("id", "n", "component", "matches", "pos", "lone")))
+    side = representatives.select("id", F.when(F.col("n") <= MARKED, F.col("marks")).alias("marks")).join(labels, "id", "left")
+    rest = settled(_open(entries, side))
+    sides = ("id", "n", "component", "matches", "pos", "lone", "marks")
+    left = rest.select("token", *(F.col(c).alias(f"l_{c}") for c in sides), (F.col("component") == F.col("main")).alias("of_main"))
+    right = rest.filter("component != main").select("token", *(F.col(c).alias(f"r_{c}") for c in sides))
     # A pair meets in one orientation or, where the list's main component changes, in both.
-    met = left.join(right, "token").filter("l_component != r_component and (of_main or l_id < r_id)")
+    met = left.join(right, "token").filter("l_component != r_component and (of_main or l_id < r_id)").filter(_alike("l_", "r_", percent))
     turned = met.withColumn("turn", F.col("l_id") > F.col("r_id")).select(
         *(F.when(F.col("turn"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{to}_{c}") for to, a, b in (("x", "l", "r"), ("y", "r", "l")) for c in ("id", "n", "matches", "pos", "lone"))
     )
