@@ -17,7 +17,9 @@ The work is kept linear where groups are large:
    some list they share, that of most shared lists. Verified links make components; lists whose members are all in
    one component are done.
 5. What is left is exact: every pair of members of different components in a list that shares enough prefix
-   shingles, and whose places in the prefixes and parity marks leave room for enough more, is verified. Pairs inside a component can't change it. No link between components is lost.
+   shingles, and whose places in the prefixes and parity marks leave room for enough more, is verified. Pairs inside
+   a component can't change it. No link between components is lost. Of each pair only the shingles within the prefix
+   that its two sizes allow count, and of shingles shared in a run only the run's ends make a row.
 
 Edge cases: a null, empty or blank text has an empty set and stays alone; with fewer than five words the whole
 sequence is the one shingle; repeated rows are equal sets; an id stands for one text. A row with a null id belongs
@@ -234,7 +236,8 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
 
 def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> DataFrame:
     """One row a prefix shingle: token, id, n, common, matches, pos (its place), lone (shingles before it that no
-    other prefix has); with ``only``, shingles of that bitmap."""
+    other prefix has), before and after (its neighbours among the rows of its set) and then (the place of that after); with ``only``, shingles of that
+    bitmap."""
     sent = representatives.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +253,18 @@ def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> Data
                 alone = np.concatenate([[0], np.cumsum(~keep)])
                 lone = alone[:-1] - alone[begin] if len(tokens) else place
                 taken = pa.array(row[keep])
+                own, of_row = tokens[keep].view(np.int64), row[keep]
+                edge = np.concatenate([[True], of_row[1:] != of_row[:-1], [True]]) if len(own) else np.ones(1, bool)
+                before = pa.array(np.concatenate([[0], own[:-1]]) if len(own) else own, pa.int64(), mask=edge[:-1])
+                after = pa.array(np.concatenate([own[1:], [0]]) if len(own) else own, pa.int64(), mask=edge[1:])
+                at = place[keep].astype(np.int32)
+                then = pa.array(np.concatenate([at[1:], at[:1]]), pa.int32(), mask=edge[1:] if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[keep].view(np.int64)), *(part.column(i).take(taken) for i in (0, 1, 2, 4)), pa.array(place[keep].astype(np.int32)), pa.array(lone[keep].astype(np.int32))],
-                    ["token", "id", "n", "common", "matches", "pos", "lone"],
+                    [pa.array(own), *(part.column(i).take(taken) for i in (0, 1, 2, 4)), pa.array(at), pa.array(lone[keep].astype(np.int32)), before, after, then],
+                    ["token", "id", "n", "common", "matches", "pos", "lone", "before", "after", "then"],
                 )
 
-    return representatives.select("id", "n", "common", "prefix", "matches").mapInArrow(spread, "token long, id long, n long, common int, matches int, pos int, lone int")
+    return representatives.select("id", "n", "common", "prefix", "matches").mapInArrow(spread, "token long, id long, n long, common int, matches int, pos int, lone int, before long, after long, then int")
 
 
 def _reachable(x: str, y: str, percent: int):
@@ -272,6 +281,14 @@ def _enough(shared, x: str, y: str, percent: int):
     return shared * (100 + percent) >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
+def _within(place: str, x: str, y: str, percent: int):
+    """Whether these places are so early that a pair of these sizes that is similar enough shares as many shingles as
+    asked up to here."""
+    both = F.col(f"{x}n") + F.col(f"{y}n")
+    least = F.ceil(percent * both / (100 + percent)) - F.least(f"{x}matches", f"{y}matches")
+    return (F.col(f"{x}{place}") < F.col(f"{x}n") - least) & (F.col(f"{y}{place}") < F.col(f"{y}n") - least)
+
+
 def _alike(x: str, y: str, percent: int):
     """Whether two sets can be similar enough as far as their marks tell how many shingles they differ in."""
     differ = sum(F.bit_count(F.get(f"{x}marks", F.lit(i)).bitwiseXOR(F.get(f"{y}marks", F.lit(i)))) for i in range(MARK_WORDS))
@@ -279,17 +296,33 @@ def _alike(x: str, y: str, percent: int):
     return differ.isNull() | ((both - differ) * (100 + percent) >= 2 * percent * both)
 
 
-def _paired(joined: DataFrame, x: str, y: str, percent: int) -> DataFrame:
-    """a, b, shared: pairs of rows joined by a shingle that share enough of their prefixes and can be similar enough."""
-    sums = joined.filter(_reachable(x, y, percent)).groupBy(F.col(f"{x}id").alias("a"), F.col(f"{y}id").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"),
+def _paired(joined: DataFrame, x: str, y: str, percent: int, runs: bool = False) -> DataFrame:
+    """a, b, shared: pairs of rows joined by a shingle that share enough of their prefixes and can be similar enough.
+
+    With ``runs``, each pair is joined by every shingle that both prefixes have. Then a row whose neighbours on both
+    sides are shared too says nothing new: only the ends of such runs stay, and their ranks give the number shared.
+    Within a run ``_reachable`` can only turn from true to false, and a false one rules the pair out, so a pair of
+    which a run's first row is left without its last goes.
+    """
+    joined = joined.filter(_reachable(x, y, percent) & _within("pos", x, y, percent))
+    shared, whole = F.count(F.lit(1)), F.lit(True)
+    if runs:
+        begins = ~F.coalesce(F.col(f"{x}before") == F.col(f"{y}before"), F.lit(False))
+        ends = ~F.coalesce((F.col(f"{x}after") == F.col(f"{y}after")) & _within("then", x, y, percent), F.lit(False))
+        joined = joined.filter(begins | ends)
+        rank = F.col(f"{x}pos") - F.col(f"{x}lone")
+        shared = F.sum(F.when(ends, rank + 1).otherwise(0) - F.when(begins, rank).otherwise(0))
+        whole = F.sum(begins.cast("int")) == F.sum(ends.cast("int"))
+    sums = joined.groupBy(F.col(f"{x}id").alias("a"), F.col(f"{y}id").alias("b")).agg(
+        shared.alias("shared"),
+        whole.alias("whole"),
         F.first(F.least(f"{x}matches", f"{y}matches")).alias("asked"),
         F.first(f"{x}n").alias("xn"),
         F.first(f"{y}n").alias("yn"),
         F.max(f"{x}pos").alias("xlast"),
         F.max(f"{y}pos").alias("ylast"),
     )
-    return sums.filter((F.col("shared") >= F.col("asked")) & _enough(F.col("shared") + F.least(F.col("xn") - F.col("xlast"), F.col("yn") - F.col("ylast")) - 1, "x", "y", percent)).select("a", "b", "shared")
+    return sums.filter(F.col("whole") & (F.col("shared") >= F.col("asked")) & _enough(F.col("shared") + F.least(F.col("xn") - F.col("xlast"), F.col("yn") - F.col("ylast")) - 1, "x", "y", percent)).select("a", "b", "shared")
 
 
 def _bitmap(numbers: DataFrame) -> np.ndarray:
@@ -416,15 +449,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
 
     side = representatives.select("id", F.when(F.col("n") <= MARKED, F.col("marks")).alias("marks")).join(labels, "id", "left")
     rest = settled(_open(entries, side))
-    sides = ("id", "n", "component", "matches", "pos", "lone", "marks")
+    sides = ("id", "n", "component", "matches", "pos", "lone", "before", "after", "then", "marks")
     left = rest.select("token", *(F.col(c).alias(f"l_{c}") for c in sides), (F.col("component") == F.col("main")).alias("of_main"))
     right = rest.filter("component != main").select("token", *(F.col(c).alias(f"r_{c}") for c in sides))
     # A pair meets in one orientation or, where the list's main component changes, in both.
     met = left.join(right, "token").filter("l_component != r_component and (of_main or l_id < r_id)").filter(_alike("l_", "r_", percent))
     turned = met.withColumn("turn", F.col("l_id") > F.col("r_id")).select(
-        *(F.when(F.col("turn"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{to}_{c}") for to, a, b in (("x", "l", "r"), ("y", "r", "l")) for c in ("id", "n", "matches", "pos", "lone"))
+        *(F.when(F.col("turn"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{to}_{c}") for to, a, b in (("x", "l", "r"), ("y", "r", "l")) for c in ("id", "n", "matches", "pos", "lone", "before", "after", "then"))
     )
-    pairs = _paired(turned, "x_", "y_", percent).select("a", "b")
+    pairs = _paired(turned, "x_", "y_", percent, runs=True).select("a", "b")
     links = links.union(settled(_verified(pairs, texts, percent)))
     labels = components(links)
 

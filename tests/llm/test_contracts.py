@@ -429,6 +429,30 @@ def test_jaccard_join_hot_group_and_low_threshold(spark, monkeypatch):
     assert got == _components(rows)
 
 
+def test_jaccard_join_families_near_the_threshold(spark, monkeypatch):
+    """Edits around the threshold make families of which one star leaves many pairs to the exact rest."""
+    from jobloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CLASSES", (3, 9, 27))
+    rng = np.random.default_rng(4)
+    rows = []
+    for family, size in enumerate((60, 150, 400, 900)):
+        base = [f"w{family}x{i}" for i in range(size)]
+        for _ in range(30):
+            words = list(base)
+            for _ in range(max(1, size // int(rng.integers(70, 110)))):
+                at = int(rng.integers(size))
+                words[at : at + int(rng.integers(2))] = [f"e{rng.integers(10**6)}"]
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    rows = [(int(i), text) for i, text in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame).collect()}
+    wanted = _components(rows)
+    assert 4 < len({c for _, c in wanted.values()}) < 110
+    assert got == wanted
+
+
 def test_pipeline(spark, table):
     import corpus_pipeline
 
