@@ -12,7 +12,7 @@ The work is kept linear where groups are large:
    own documents and passes on shingles it met twice; a shingle's class only affects speed, never the result.)
 2. Documents with equal sets become one representative.
 3. Shingles that only one representative has in its prefix go before anything is shuffled for pairs, and texts are
-   shuffled for verification only if a pair names them.
+   shuffled for verification only if a pair names them that its sets' parity sketches don't rule out.
 4. Rounds of stars: each member of a shingle's list is verified against one centre, a member most like the rest of
    some list they share, that of most shared lists. Verified links make components; lists whose members are all in
    one component are done.
@@ -202,8 +202,17 @@ def _marks(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(slots, minlength=64 * MARK_WORDS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """The same parities over a power of two of slots, two a shingle at least; halves laid over each other by
+    exclusive or give those over half the slots."""
+    slots = 256
+    while slots < 2 * len(tokens):
+        slots *= 2
+    return np.packbits((np.bincount((tokens >> np.uint64(20)).astype(np.int64) % slots, minlength=slots) & 1).astype(np.uint8)).tobytes()
+
+
 def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, n, signature (of the set), common (per mille of frequent shingles), matches, prefix (binary), marks."""
+    """doc_id, n, signature (of the set), common (per mille of frequent shingles), matches, prefix (binary), marks, sketch."""
     import hashlib
 
     sent = docs.sparkSession.sparkContext.broadcast(maps)
@@ -211,10 +220,11 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in slices(batches, "text", 1 << 20):
-            n, signature, common, matches, prefix, marks = [], [], [], [], [], []
+            n, signature, common, matches, prefix, marks, sketch = [], [], [], [], [], [], []
             for tokens in shingle_sets(batch.column(1)):
                 n.append(len(tokens))
                 marks.append(_marks(tokens))
+                sketch.append(_sketch(tokens))
                 signature.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 if len(tokens):
                     p, k, often = _prefix(tokens, own, percent)
@@ -226,12 +236,12 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
                     matches.append(0)
                     prefix.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
-                ["doc_id", "n", "signature", "common", "matches", "prefix", "marks"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "n", "signature", "common", "matches", "prefix", "marks", "sketch"],
             )
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(build, "doc_id long, n long, signature binary, common int, matches int, prefix binary, marks array<long>")
+    return read.mapInArrow(build, "doc_id long, n long, signature binary, common int, matches int, prefix binary, marks array<long>, sketch binary")
 
 
 def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> DataFrame:
@@ -346,23 +356,45 @@ def _shared_tokens(representatives: DataFrame) -> np.ndarray:
     return _bitmap(_entries(representatives).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"))
 
 
-def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts (id, text) that ``pairs`` name, so that only they are shuffled.
+def _named(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose id ``pairs`` name, so that only they are shuffled.
 
-    Few ids are broadcast; more go through a bitmap of their hashes, whose false bits leave some texts too many.
+    Few ids are broadcast; more go through a bitmap of their hashes, whose false bits leave some rows too many.
     """
     ids = settled(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     side = small_or_joined(ids)
     if side is not ids:
-        return texts.join(side, "id", "left_semi")
-    sent = texts.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id"))))
+        return rows.join(side, "id", "left_semi")
+    sent = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id"))))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = batch.filter(pa.array(_is_set(sent.value, np.asarray(batch.column(2)))))
-            yield kept.select([0, 1])
+            kept = batch.filter(pa.array(_is_set(sent.value, np.asarray(batch.column(batch.num_columns - 1)))))
+            yield kept.select(range(batch.num_columns - 1))
+
+    return rows.withColumn("slot", F.xxhash64("id")).mapInArrow(only, rows.schema)
 
-    return texts.select("id", "text", F.xxhash64("id").alias("slot")).mapInArrow(only, "id long, text string")
+
+def _screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out; two sets differ in at least as many shingles as these do
+    in bits. ``sketches``: id, n, sketch."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (np.asarray(batch.column(2)) + np.asarray(batch.column(3))).tolist()
+            keep = []
+            for total, x, y in zip(both, batch.column(4), batch.column(5), strict=True):
+                x, y = sorted((np.frombuffer(s.as_py(), dtype=np.uint64) for s in (x, y)), key=len)
+                differ = int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+                keep.append((total - differ) * (100 + percent) >= 2 * percent * total)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    pairs = settled(pairs)
+    sketches = _named(sketches, pairs)
+    of_a = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    of_b = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(screen, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -384,7 +416,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), b.filter(mask)], ["a", "b"])
 
     pairs = settled(pairs)
-    texts = _texts_of(texts, pairs)
+    texts = _named(texts, pairs)
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
@@ -426,11 +458,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
     prefixes = settled(_prefixes(docs, maps, id_col, text_col, percent))
     sets = settled(prefixes.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("id")))
     chosen = prefixes.join(sets.select(F.col("signature").alias("of_set"), "id"), (F.col("signature") == F.col("of_set")) & (F.col("doc_id") == F.col("id")))
-    representatives = settled(chosen.select("id", "n", "common", "matches", "prefix", "marks"))
+    representatives = settled(chosen.select("id", "n", "common", "matches", "prefix", "marks", "sketch"))
 
     entries = settled(_entries(representatives, _shared_tokens(representatives)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
 
+    sketches = representatives.select("id", "n", "sketch")
+
     labels = links = None
     for _ in range(star_rounds):
         of = entries if labels is None else entries.join(labels, "id", "left")
@@ -441,7 +475,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
         centre = centre.select("token", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "n", "component", "matches", "pos", "lone")))
         met = of.select("token", *(F.col(c).alias(f"m_{c}") for c in ("id", "n", "component", "matches", "pos", "lone"))).join(centre, "token").filter("m_component != c_component")
         pairs = _paired(met, "c_", "m_", percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-        found = settled(_verified(pairs, texts, percent))
+        found = settled(_verified(_screened(pairs, sketches, percent), texts, percent))
         if links is not None and not found.head(1):
             break
         links = found if links is None else links.union(found)
@@ -458,7 +492,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
         *(F.when(F.col("turn"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{to}_{c}") for to, a, b in (("x", "l", "r"), ("y", "r", "l")) for c in ("id", "n", "matches", "pos", "lone", "before", "after", "then"))
     )
     pairs = _paired(turned, "x_", "y_", percent, runs=True).select("a", "b")
-    links = links.union(settled(_verified(pairs, texts, percent)))
+    links = links.union(settled(_verified(_screened(pairs, sketches, percent), texts, percent)))
     labels = components(links)
 
     classes = sets.join(labels, "id", "left").select(F.col("signature"), F.coalesce("label", "id").alias("component_id"))
