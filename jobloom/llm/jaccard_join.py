@@ -212,7 +212,7 @@ def _sketch(tokens: np.ndarray) -> bytes:
 
 
 def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, n, signature (of the set), common (per mille of frequent shingles), matches, prefix (binary), marks, sketch."""
+    """doc_id, n, signature (of the set), common (per mille of frequent shingles), matches, prefix (binary), marks."""
     import hashlib
 
     sent = docs.sparkSession.sparkContext.broadcast(maps)
@@ -220,11 +220,10 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in slices(batches, "text", 1 << 20):
-            n, signature, common, matches, prefix, marks, sketch = [], [], [], [], [], [], []
+            n, signature, common, matches, prefix, marks = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column(1)):
                 n.append(len(tokens))
                 marks.append(_marks(tokens))
-                sketch.append(_sketch(tokens))
                 signature.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 if len(tokens):
                     p, k, often = _prefix(tokens, own, percent)
@@ -236,12 +235,12 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
                     matches.append(0)
                     prefix.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n", "signature", "common", "matches", "prefix", "marks", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "n", "signature", "common", "matches", "prefix", "marks"],
             )
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(build, "doc_id long, n long, signature binary, common int, matches int, prefix binary, marks array<long>, sketch binary")
+    return read.mapInArrow(build, "doc_id long, n long, signature binary, common int, matches int, prefix binary, marks array<long>")
 
 
 def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> DataFrame:
@@ -375,9 +374,14 @@ def _named(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.withColumn("slot", F.xxhash64("id")).mapInArrow(only, rows.schema)
 
 
-def _screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _screened(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their sketches don't rule out; two sets differ in at least as many shingles as these do
-    in bits. ``sketches``: id, n, sketch."""
+    in bits. Sketches are made where the texts are read, a small part of their size, and are not kept."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            sets = shingle_sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_sketch(x) for x in sets], pa.binary())], ["id", "n", "sketch"])
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,7 +395,7 @@ def _screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     pairs = settled(pairs)
-    sketches = _named(sketches, pairs)
+    sketches = _named(texts, pairs).mapInArrow(sketch, "id long, n long, sketch binary")
     of_a = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     of_b = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(screen, "a long, b long")
@@ -458,13 +462,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
     prefixes = settled(_prefixes(docs, maps, id_col, text_col, percent))
     sets = settled(prefixes.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("id")))
     chosen = prefixes.join(sets.select(F.col("signature").alias("of_set"), "id"), (F.col("signature") == F.col("of_set")) & (F.col("doc_id") == F.col("id")))
-    representatives = settled(chosen.select("id", "n", "common", "matches", "prefix", "marks", "sketch"))
+    representatives = settled(chosen.select("id", "n", "common", "matches", "prefix", "marks"))
 
     entries = settled(_entries(representatives, _shared_tokens(representatives)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
 
-    sketches = representatives.select("id", "n", "sketch")
-
     labels = links = None
     for _ in range(star_rounds):
         of = entries if labels is None else entries.join(labels, "id", "left")
@@ -475,7 +477,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
         centre = centre.select("token", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "n", "component", "matches", "pos", "lone")))
         met = of.select("token", *(F.col(c).alias(f"m_{c}") for c in ("id", "n", "component", "matches", "pos", "lone"))).join(centre, "token").filter("m_component != c_component")
         pairs = _paired(met, "c_", "m_", percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-        found = settled(_verified(_screened(pairs, sketches, percent), texts, percent))
+        found = settled(_verified(_screened(pairs, texts, percent), texts, percent))
         if links is not None and not found.head(1):
             break
         links = found if links is None else links.union(found)
@@ -492,7 +494,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
         *(F.when(F.col("turn"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{to}_{c}") for to, a, b in (("x", "l", "r"), ("y", "r", "l")) for c in ("id", "n", "matches", "pos", "lone", "before", "after", "then"))
     )
     pairs = _paired(turned, "x_", "y_", percent, runs=True).select("a", "b")
-    links = links.union(settled(_verified(_screened(pairs, sketches, percent), texts, percent)))
+    links = links.union(settled(_verified(_screened(pairs, texts, percent), texts, percent)))
     labels = components(links)
 
     classes = sets.join(labels, "id", "left").select(F.col("signature"), F.coalesce("label", "id").alias("component_id"))
