@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import settled, slices, small_batches, small_or_joined
+from jobloom.llm.token_store import shared_path
 
 WIDTH = 5
 #: Document counts from which a shingle is of class 1, 2 and 3. They double while more shingles than an eighth of
@@ -123,6 +124,18 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return found
 
 
+def _tabled(frame: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows of ``frame`` as a table in the shared folder: columns pack several times smaller than a checkpoint's rows."""
+    frame.write.parquet(f"{folder}/{name}")
+    return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of this run, through the store that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def least_shared(n: int, percent: int) -> int:
     """ceil(percent * n / 100)."""
     return -(-n * percent // 100)
@@ -454,13 +467,15 @@ def _open(entries: DataFrame, side: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     small_batches(docs)
+    spark = docs.sparkSession
+    folder = shared_path(spark, "jaccard")
     maps = frequency_maps(docs, id_col, text_col)
     prefixes = settled(_prefixes(docs, maps, id_col, text_col, percent))
     sets = settled(prefixes.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("id")))
     chosen = prefixes.join(sets.select(F.col("signature").alias("of_set"), "id"), (F.col("signature") == F.col("of_set")) & (F.col("doc_id") == F.col("id")))
     representatives = settled(chosen.select("id", "n", "common", "matches", "prefix", "marks", "sketch"))
 
-    entries = settled(_entries(representatives, _shared_tokens(representatives)))
+    entries = _tabled(_entries(representatives, _shared_tokens(representatives)), folder, "entries")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
 
     sketches = representatives.select("id", "n", "sketch")
@@ -482,7 +497,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
         labels = components(links)
 
     side = representatives.select("id", F.when(F.col("n") <= MARKED, F.col("marks")).alias("marks")).join(labels, "id", "left")
-    rest = settled(_open(entries, side))
+    rest = _tabled(_open(entries, side), folder, "rest")
+    _dropped(spark, f"{folder}/entries")
     sides = ("id", "n", "component", "matches", "pos", "lone", "before", "after", "then", "marks")
     left = rest.select("token", *(F.col(c).alias(f"l_{c}") for c in sides), (F.col("component") == F.col("main")).alias("of_main"))
     right = rest.filter("component != main").select("token", *(F.col(c).alias(f"r_{c}") for c in sides))
@@ -493,6 +509,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
     )
     pairs = _paired(turned, "x_", "y_", percent, runs=True).select("a", "b")
     links = links.union(settled(_verified(_screened(pairs, sketches, percent), texts, percent)))
+    _dropped(spark, folder)
     labels = components(links)
 
     classes = sets.join(labels, "id", "left").select(F.col("signature"), F.coalesce("label", "id").alias("component_id"))
