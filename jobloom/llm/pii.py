@@ -1,14 +1,15 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Protected entities are the e-mail addresses, IP addresses, payment cards and phone numbers that fixed patterns
-find. A term that stands near an entity gives it away as far as knowing the term tells of the entity: with document
-counts n over N documents, the disclosure of entity e by term t is
+find. A term that occurs in the documents of an entity gives it away as far as knowing the term tells of the entity:
+with document counts n over N documents, the disclosure of entity e by term t is
 
     log2(n(e,t) * N / (n(e) * n(t))) / log2(N / n(e)),
 
 the pointwise mutual information as a share of the entity's own information; 1 means that the term occurs with the
-entity only. Terms at or above ``remove`` are removed, those at or above ``generalise`` replaced by their class. A
-pair counts from SUPPORT documents on: fewer are no estimate. Counts run over all documents and whole texts.
+entity only. Terms at or above ``remove`` are removed, those at or above ``generalise`` replaced by their class,
+wherever they stand in a document that holds the entity. A pair counts from SUPPORT documents on: fewer are no
+estimate. All counts, those of pairs too, run over all documents and whole texts, the words inside entities included.
 
 The patterns below are the ones of the contract, written so that Java neither backtracks over nor restarts inside a
 run of characters that has already failed; each finds the same leftmost non-overlapping matches. Offsets are code
@@ -33,10 +34,8 @@ KINDS = (
     ("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}+", None),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 )
-#: Code points on each side of an entity in which terms are taken.
-REACH = 64
 SUPPORT, REMOVE, GENERALISE = 3, 0.8, 0.6
-LETTERS = "\\p{L}"
+TERM = "\\p{L}{3,}"
 
 
 def _luhn(digits: Column) -> Column:
@@ -69,36 +68,42 @@ def _starts(pieces: Column, found: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step)["out"]
 
 
-def _terms(window: Column, shift: Column, pattern: str) -> Column:
-    """Terms of a short window with their offsets in the text: array of (h, s, e)."""
-    found = F.regexp_extract_all(window, F.lit(pattern), 0)
-    starts = _starts(F.split(window, pattern), found)
-    listed = F.zip_with(found, starts, lambda t, s: F.struct(F.xxhash64(F.lower(t)).alias("h"), (s + shift).alias("s"), (s + shift + F.length(t)).alias("e")))
-    return F.when(F.size(found) > 0, listed).otherwise(F.array().cast("array<struct<h:bigint,s:int,e:int>>"))
+def _words(text: Column) -> Column:
+    """Hashes of the terms of a text, in their order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w)))
+
+
+def _occurrences(text: Column, shown: Column) -> Column:
+    """Places in a text of the terms that ``shown`` (term to disclosure) holds: array of (s, e, d)."""
+    sized = lambda gap, w: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(w), F.lit(0)).alias("n"), F.try_element_at(shown, F.xxhash64(F.lower(w))).alias("d"))
+    # The array is made once a text; what follows the last term has no term of its own.
+    steps = F.zip_with(F.split(text, TERM), F.regexp_extract_all(text, F.lit(TERM), 0), sized)
+
+    def step(acc: Column, t: Column) -> Column:
+        begin = acc["at"] + t["gap"]
+        place = F.struct(begin.alias("s"), (begin + t["n"]).alias("e"), t["d"].alias("d"))
+        return F.struct((begin + t["n"]).alias("at"), F.when(t["d"].isNotNull(), F.concat(acc["out"], F.array(place))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,d:double>>").alias("out")), step)["out"]
 
 
 def _mentions(kind: str, rank: int) -> Column:
-    """From the columns found_, between_ and starts_ of a kind: array of mentions with the terms around each."""
-    found, between, starts = F.col(f"found_{kind}"), F.col(f"between_{kind}"), F.col(f"starts_{kind}")
-    before_term, after_term = f"(?<=[^{LETTERS}]){LETTERS}{{3,}}", f"(?<!{LETTERS}){LETTERS}{{3,}}+(?=[^{LETTERS}])"
+    """From the columns found_ and starts_ of a kind: array of mentions."""
+    found, starts = F.col(f"found_{kind}"), F.col(f"starts_{kind}")
 
     def mention(value: Column, i: Column) -> Column:
-        start, left, right = F.get(starts, i), F.get(between, i), F.get(between, i + 1)
-        # One more character on the far side shows whether the farthest word is whole; at the text's edge a space does.
-        near_left = F.when(F.length(left) > REACH, F.right(left, F.lit(REACH + 1))).otherwise(F.concat(F.lit(" "), left))
-        near_right = F.when(F.length(right) > REACH, F.left(right, F.lit(REACH + 1))).otherwise(F.concat(right, F.lit(" ")))
-        end = start + F.length(value)
-        terms = F.concat(_terms(near_left, start - F.length(near_left), before_term), _terms(near_right, end, after_term))
-        return F.struct(F.lit(rank).alias("rank"), start.alias("s"), end.alias("e"), F.xxhash64(F.lit(kind), F.lower(value)).alias("entity"), F.when(_holds(kind, value), terms).alias("terms"))
+        start = F.get(starts, i)
+        whole = F.struct(F.lit(rank).alias("rank"), start.alias("s"), (start + F.length(value)).alias("e"), F.xxhash64(F.lit(kind), F.lower(value)).alias("entity"))
+        return F.when(_holds(kind, value), whole)
 
-    return F.when(F.size(found) > 0, F.filter(F.transform(found, mention), lambda m: m["terms"].isNotNull())).otherwise(F.array().cast(MENTIONS))
+    return F.when(F.size(found) > 0, F.filter(F.transform(found, mention), lambda m: m.isNotNull())).otherwise(F.array().cast(MENTIONS))
 
 
-MENTIONS = "array<struct<rank:int,s:int,e:int,entity:bigint,terms:array<struct<h:bigint,s:int,e:int>>>>"
+MENTIONS = "array<struct<rank:int,s:int,e:int,entity:bigint>>"
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_no, doc_id, mentions (by start, then kind) of every row."""
+    """row_no, doc_id, mentions (by start, then kind) of every row, and the text of rows that have any."""
     read = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     for kind, pattern, sign in KINDS:
         found = F.regexp_extract_all("text", F.lit(pattern), 0)
@@ -106,49 +111,51 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         read = read.withColumn(f"found_{kind}", F.when(likely, found).otherwise(F.array().cast("array<string>")))
     for kind, pattern, _ in KINDS:
         read = read.withColumn(f"between_{kind}", F.when(F.size(f"found_{kind}") > 0, F.split("text", pattern)))
-    read = read.drop("text")
     for kind, _, _ in KINDS:
         read = read.withColumn(f"starts_{kind}", F.when(F.size(f"found_{kind}") > 0, _starts(F.col(f"between_{kind}"), F.col(f"found_{kind}"))))
     listed = F.array_sort(F.concat(*(_mentions(kind, i).cast(MENTIONS) for i, (kind, _, _) in enumerate(KINDS))), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["rank"] - b["rank"]))
-    return read.select("row_no", "doc_id", listed.alias("mentions"))
+    return read.select("row_no", "doc_id", listed.alias("mentions"), "text").withColumn("text", F.when(F.size("mentions") > 0, F.col("text")))
 
 
 def _document_counts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """h, n: in how many documents each wanted term occurs."""
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(f"{LETTERS}{{3,}}"), 0), lambda w: F.xxhash64(w)))
+    terms = F.array_distinct(_words(whole_text(text_col)))
     spread = docs.select(F.explode(terms).alias("h"))
     return spread.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(wanted, "h", "left_semi")
 
 
+def _holders(found: DataFrame) -> DataFrame:
+    """row_no, entity: every entity of a row once."""
+    return found.filter(F.size("mentions") > 0).select("row_no", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
+
+
 def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
-    """entity, h, disclosure: of every entity and term near it in at least ``support`` documents."""
+    """entity, h, disclosure: of every entity and term that occur together in at least ``support`` documents."""
     total = found.count()
-    entities = found.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    near = F.flatten(F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["h"].alias("h")))))
-    pairs = settled(found.select(F.explode(F.array_distinct(near)).alias("p")).groupBy("p.entity", "p.h").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= support))
+    # A pair has at most the documents of its entity: only rows with an entity of so many can add to one that counts.
+    entities = settled(_holders(found).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity").between(support, total - 1)))
+    held = _holders(found).join(small_or_joined(entities), "entity", "left_semi").groupBy("row_no").agg(F.collect_list("entity").alias("entities"))
+    listed = found.join(held, "row_no").select("entities", F.array_distinct(_words(F.col("text"))).alias("terms"))
+    together = listed.select("entities", F.explode("terms").alias("h")).select(F.explode("entities").alias("entity"), "h")
+    pairs = settled(together.groupBy("entity", "h").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= support))
     terms = _document_counts(docs, settled(pairs.select("h").distinct()), text_col).withColumnRenamed("n", "n_term")
-    both = pairs.join(entities.filter(F.col("n_entity") >= support), "entity").join(terms, "h")
     n = F.lit(float(total))
     shown = F.log2(F.col("n_pair") * n / (F.col("n_entity") * F.col("n_term"))) / F.log2(n / F.col("n_entity"))
-    return both.filter(F.col("n_entity") < n).select("entity", "h", shown.alias("disclosure"))
+    return pairs.join(small_or_joined(entities), "entity").join(terms, "h").select("entity", "h", shown.alias("disclosure"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """One row for each row of ``docs``: row_no, doc_id, base (array of rank, s, e), terms (array of s, e, removed)."""
     found = settled(mentions(docs, id_col, text_col))
     telling = settled(disclosures(docs, found, support, text_col).filter(F.col("disclosure") >= generalise))
+    told = _holders(found).join(small_or_joined(telling), "entity").groupBy("row_no", "h").agg(F.max("disclosure").alias("d"))
+    shown = told.groupBy("row_no").agg(F.map_from_entries(F.collect_list(F.struct("h", "d"))).alias("shown"))
     inside = lambda t: F.exists("mentions", lambda m: (m["s"] < t["e"]) & (m["e"] > t["s"]))
-    near = F.flatten(F.transform("mentions", lambda m: F.transform(F.filter(m["terms"], lambda t: ~inside(t)), lambda t: F.struct(m["entity"].alias("entity"), t["h"].alias("h"), t["s"].alias("s"), t["e"].alias("e")))))
-    places = found.filter(F.size("mentions") > 0).select("row_no", F.explode(near).alias("t")).select("row_no", "t.*").join(small_or_joined(telling), ["entity", "h"])
-    terms = (
-        places.groupBy("row_no", "s", "e")
-        .agg(F.max("disclosure").alias("d"))
-        .groupBy("row_no")
-        .agg(F.array_sort(F.collect_list(F.struct("s", "e", (F.col("d") >= remove).alias("removed")))).alias("terms"))
-    )
+    places = F.filter(_occurrences(F.col("text"), F.col("shown")), lambda t: ~inside(t))
+    terms = F.when(F.col("shown").isNotNull(), F.transform(places, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), (t["d"] >= remove).alias("removed"))))
     base = F.transform("mentions", lambda m: F.struct(m["rank"].alias("rank"), m["s"].alias("s"), m["e"].alias("e")))
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
-    return found.select("row_no", "doc_id", base.alias("base")).join(terms, "row_no", "left").withColumn("terms", F.coalesce("terms", none))
+    return found.join(shown, "row_no", "left").select("row_no", "doc_id", base.alias("base"), F.coalesce(terms, none).alias("terms"))
 
 
 def _named(spans: Column) -> Column:

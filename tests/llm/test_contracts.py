@@ -170,6 +170,42 @@ def test_sanitised_text(spark, table):
     assert "team@corp.example" not in got[40_001] and "<email>" in got[40_001] and "kestrelnaut" not in got[40_001]
 
 
+def test_terms_count_over_whole_texts(spark):
+    """Telling terms far from their entity, and every one of their places, against counts by hand."""
+    from math import log2
+
+    from jobloom.llm import pii
+
+    filler = "lorem ipsum dolor sit amet " * 40
+    texts = [f"Kestrelnaut {i} {filler} write to ops{i % 2}@corp.example or +41 44 555 12 3{i % 2} {filler} KESTRELNAUT, near{i % 2}x{'ab'[i % 2] * 4} again kestrelnaut" for i in range(6)]
+    texts += [f"{filler} mail ops0@corp.example {'osprey ' * (i % 3)}" for i in range(5)] + [f"osprey {filler} {i}" for i in range(2)] + [f"plain {filler} {i}" for i in range(40)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total = len(texts)
+    terms = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")} for t in texts]
+    spans = [_pii(t or "") for t in texts]
+    held = [{(x.split(":")[0], t[int(x.split(":")[1]) : int(x.split(":")[2])]) for x in s} for t, s in zip(texts, spans, strict=True)]
+    n_term, n_entity = Counter(w for ws in terms for w in ws), Counter(e for es in held for e in es)
+    n_pair = Counter((e, w) for es, ws in zip(held, terms, strict=True) for e in es for w in ws)
+    share = {(e, w): log2(n * total / (n_entity[e] * n_term[w])) / log2(total / n_entity[e]) for (e, w), n in n_pair.items() if n >= 3}
+    found = pii.mentions(docs).localCheckpoint()
+    assert sorted(r["disclosure"] for r in pii.disclosures(docs, found).collect()) == pytest.approx(sorted(share.values()))
+    for r in pii.find_spans(docs).collect():
+        text, i = texts[r["doc_id"]] or "", r["doc_id"]
+        base = [tuple(map(int, x.split(":")[1:])) for x in spans[i]]
+        best = {w: max((share.get((e, w), -9) for e in held[i]), default=-9) for w in terms[i]}
+        expected = [(m.start(), m.end(), best[m[0].lower()] >= 0.8) for m in re.finditer(r"[^\W\d_]{3,}", text) if best[m[0].lower()] >= 0.6 and not any(s < m.end() and e > m.start() for s, e in base)]
+        assert [tuple(t) for t in r["terms"]] == expected
+        assert i >= 6 or "kestrelnaut" not in pii_text(expected, text)
+    assert all("kestrelnaut" not in (r["text"] or "").lower() for r in pii.sanitised(docs).collect())
+
+
+def pii_text(spans, text):
+    """The text in small letters without spans."""
+    for s, e, _ in reversed(spans):
+        text = text[:s] + text[e:]
+    return text.lower()
+
+
 def test_water_filling(spark, table):
     got = by_id(result(spark, table, "op4_water_filling"))
     assert got == by_id(result(spark, table, "op4_water_filling"))
