@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import titles
 from jobloom.operators import digest, reasons
 from jobloom.plans.parity import _FOLD_COLLECTOR, query, table
-from jobloom.sources import html
+from jobloom.sources import contacts, html
 
 _WORD = lambda words: f"(?i)(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])({'|'.join(words)})($|[^\\p{{L}}\\p{{N}}\\p{{M}}_])"
 _LINES = "list_filter(list_transform(string_split_regex(coalesce({0}, ''), '\\r\\n|[\\n\\v\\f\\r]'), lambda x: regexp_replace(trim(regexp_replace(regexp_replace(x, '^\\s*\\d+\\.\\s*\\[[^\\]]+\\]\\s*', ''), '^\\s+|\\s+$', '', 'g'), '\"'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
@@ -83,6 +83,11 @@ def html_link_rows(spark, sf_dir):
     return html.link_rows(table(spark, sf_dir, "pages").select("page_id", "url", "html"), only_details=False, patterns=("^https?://[^/]+/[^/]",), limit=3)
 
 
+@query()
+def contact_email_by_hint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", contacts.contact_email(F.col("text")).alias("email"))
+
+
 _ROWS = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'reminder' END AS section, page_id AS place, CASE page_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'good' ELSE 'ok' END AS match, regexp_extract(url, '[^/]*$') AS title, 'A & B' AS company, 'Bern' AS location, url AS link FROM pages"
 
 

@@ -4,10 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from jobloom import catalog
 from jobloom.functions import titles
 from jobloom.operators import digest, reasons
 from jobloom.operators.lifecycle import merge
-from jobloom.sources import html
+from jobloom.sources import contacts, html
 from jobloom.streaming import lifecycle as stream
 
 
@@ -77,3 +78,26 @@ def test_stream_equals_batches(spark, tmp_path):
         query = stream.follow(seen, f"{tmp_path}/state")
         assert query.awaitTermination(60) and query.exception() is None
         assert sorted(spark.read.parquet(f"{tmp_path}/state/run={i}").collect()) == sorted(state.collect())
+
+
+def test_contact_email(spark, tmp_path):
+    """Every document has a row; several addresses are ordered by link, portal and hint."""
+    cases = [
+        ("write to info@firma.ch or jobs@firma.ch, else hr.team@firma.ch.", "hr.team@firma.ch"),
+        ("info@firma.ch, office@firma.ch", "info@firma.ch"),
+        ('a@x.ch <A HREF="mailto:Zoe@X.ch?subject=b@c.de">mail</A>', "Zoe@X.ch"),
+        ("<a href=mailto:zoe&#64;x.ch>mail</a> a@x.ch", "zoe@x.ch"),
+        ('<a class="k" href="mailto:open@x.ch">never closed, a@x.ch', "open@x.ch"),
+        ("career@jobs.ch bewerbung@indeed.com me@sub.jobs.ch me@firma.ch", "me@sub.jobs.ch"),
+        ("career@x.ch RECRUITing@x.ch", "RECRUITing@x.ch"),
+        ("career@jobs.ch", ""),
+        ("no address", ""),
+        ("a@b", ""),
+        ("<![foo[ me@firma.ch", "me@firma.ch"),
+        ("", ""),
+        (None, ""),
+    ]
+    spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["email"] for r in catalog.QUERIES["contact_email_by_hint"](spark, str(tmp_path)).collect()}
+    assert got == {i: email for i, (_, email) in enumerate(cases)}
+    assert contacts.emails_of("x@y.ch X@Y.ch z@y.ch,") == ["x@y.ch", "z@y.ch"]
