@@ -230,7 +230,7 @@ def dedupe_by_url(spark, sf_dir):
 
 @query()
 def dedupe_greedy_clusters(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), u.source_job_id(F.col("url")).alias("source_id"), u.dedupe_canonical(F.col("url")).alias("url"), rank.fingerprint(F.left(t.visible(F.col("html")), F.lit(40)), F.lit("")).alias("print"))
+    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), u.source_job_id(F.col("url")).alias("source_id"), u.dedupe_canonical(F.col("url")).alias("url"), rank.fingerprint(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")).alias("print"))
     return rank.greedy_clusters(own).select("ord", "cluster")
 
 

@@ -1,6 +1,7 @@
 """Posting operators: every query against its SQL, and the rules that SQL does not show."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -79,3 +80,20 @@ def test_greedy_clusters(spark):
     rows = [(i, rng.choice(["", *"abcdefgh"]), rng.choice(["", *map(str, range(30))]), rng.choice(["|", *map(str, range(40))])) for i in range(80)]
     frame = spark.createDataFrame(rows, "ord long, source_id string, url string, print string")
     assert {r["ord"]: r["cluster"] for r in ranking.greedy_clusters(frame).collect()} == fold(rows)
+
+
+def test_greedy_clusters_query_reads_whole_titles(spark, tmp_path):
+    """The registered query against the fold, with long titles that differ behind their first 40 characters."""
+    same = "Systemtechnikerin Netzwerkbetrieb und Cloud "
+    titles = [same + "Aarau", same + "Zug", "Zug " + same, same + "Aarau, Aarau", "Ops", "<b>Ops</b>", None, same + "Bern"]
+    urls_of = [f"https://h{i}.example/a" for i in range(7)] + ["https://h0.example/a"]
+    pages = [(i, url, f"<html><head>{'' if head is None else f'<title>{head}</title>'}</head><body>{same} text {i}</body></html>") for i, (url, head) in enumerate(zip(urls_of, titles, strict=True))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def mark(head):
+        words = set(re.findall("[a-z0-9]+", (head or "").lower())) - set(ranking.NOISE)
+        return " ".join(sorted(words)[:4]) + "|"
+
+    expected = fold([(i, "", url, mark(head)) for i, (url, head) in enumerate(zip(urls_of, titles, strict=True))])
+    assert expected[0] != expected[1] == expected[2] and expected[0] == expected[3] == expected[7]
+    assert {r["ord"]: r["cluster"] for r in catalog.QUERIES["dedupe_greedy_clusters"](spark, str(tmp_path)).collect()} == expected
