@@ -212,6 +212,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def with_language(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language, all columns kept; ``und`` and lower scores go.
 
+    With no labelled row to learn from every text with a letter stays. At the default ``least_score`` that is the
+    outcome of the network too, which names a language for each such text.
+
     The decision runs on the rows themselves, so no join by id is needed and repeated rows are decided one by one.
     """
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
@@ -220,6 +223,8 @@ def with_language(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_
     def accepted(texts, lettered):
         import pandas as pd
 
+        if net.value is None:
+            return lettered.astype(bool)
         langs, scores = [], []
         for a in range(0, len(texts), 256):
             got = predict_batch(net.value, texts[a : a + 256].tolist(), lettered[a : a + 256].tolist())

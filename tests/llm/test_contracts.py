@@ -489,6 +489,13 @@ def test_jaccard_join_families_near_the_threshold(spark, monkeypatch):
     assert got == wanted
 
 
+def test_language_stage_keeps_documents_without_labels(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "ß", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, 4}
+
+
 def test_pipeline(spark, table):
     import corpus_pipeline
 
