@@ -515,3 +515,61 @@ def test_pipeline(spark, table):
     assert set(packed.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= kept
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
+
+
+def _mixed_times(rows):
+    """How often each of (id, text, lang, source) comes, by the rule of the mix; ids are unique."""
+    size = {r[0]: len(re.findall("[^\x20\x09-\x0d]+", r[1] or "")) for r in rows}
+    key = {r[0]: int(hashlib.md5(f"29:{r[0]}".encode()).hexdigest()[:15], 16) for r in rows}
+    ids = defaultdict(list)
+    for r in rows:
+        ids[r[3]].append(r[0])
+    own = {s: sum(size[a] for a in of) for s, of in ids.items()}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(own, key=lambda s: (s is None, s or "")))}
+    target, free, left = {}, set(own), float(sum(own.values()))
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * own[s]} or free
+        for s in over:
+            target[s] = min(share[s], 3.0 * own[s])
+            left -= target[s]
+        free = free - over
+    times = Counter()
+    for s, of in ids.items():
+        whole, before = (int(target[s] // own[s]) if own[s] else 0), 0
+        for a in sorted(of, key=key.get):
+            before += size[a]
+            more = before - size[a] / 2 <= target[s] - whole * own[s]
+            times[a] = (whole + more) if size[a] else 0
+    return +times
+
+
+def test_pipeline_run_mixes_and_packs_everything(spark, table):
+    """Pieces of run() against a brute-force mix of what the third stage keeps, tokenised by the library."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    library = Tokenizer.from_file(queries.vocabulary_path(queries.BYTE_VOCABULARY))
+    groups = {}
+    for r in sorted((r for r in table["rows"] if any(c.isalpha() for c in r[1] or "")), key=lambda r: (-len(r[1]), r[0])):
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", r[1]), r)
+    alone = {a for a, (_, c) in _components(groups.values()).items() if a == c}
+    kept = [r for r in groups.values() if r[0] in alone]
+    times, expected, sequences, got = _mixed_times(kept), Counter(), defaultdict(list), Counter()
+    for doc_id, text, *_ in kept:
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        at, to = 0, (len(ids) - 1) % 1024 + 1
+        for piece in range(-(-len(ids) // 1024)):
+            expected[(doc_id, piece, at, to - at, zlib.crc32(ids[at:to].tobytes()))] = times[doc_id]
+            at, to = to, to + 1024
+    for r in corpus_pipeline.run(spark, table["path"]).collect():
+        got[(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])] += 1
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == +expected
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
