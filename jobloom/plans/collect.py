@@ -88,6 +88,16 @@ def contact_email_by_hint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", contacts.contact_email(F.col("text")).alias("email"))
 
 
+@query()
+def html_site_link_rows(spark, sf_dir):
+    return html.link_rows(table(spark, sf_dir, "pages").select("page_id", "url", "html"), only_details=False, patterns=("^https?://[^/]+/[^/]",), limit=html.SITE_LINKS)
+
+
+@query()
+def html_json_ld_rows(spark, sf_dir):
+    return html.json_ld_rows(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 _ROWS = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'reminder' END AS section, page_id AS place, CASE page_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'good' ELSE 'ok' END AS match, regexp_extract(url, '[^/]*$') AS title, 'A & B' AS company, 'Bern' AS location, url AS link FROM pages"
 
 

@@ -162,8 +162,10 @@ def include_terms_token_or_substr(spark, sf_dir):
 def place_lookup_longest(spark, sf_dir):
     places = table(spark, sf_dir, "nation").select("n_name")
     cust = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("NATION_"), "c_nationkey", F.lit("x")).alias("spot"))
-    longest = sorted((r["n_name"] for r in places.limit(1000).collect()), key=lambda n: (-len(n), n))  # places are a configured list
-    return cust.select("c_custkey", F.coalesce(*(F.when(F.contains("spot", F.lit(n)), n) for n in longest)).alias("place"))
+    # A pair a spot and place in it; of the longest places the first by name stays.
+    hits = cust.join(places.distinct(), F.contains("spot", "n_name"))
+    best = hits.groupBy("c_custkey").agg(F.min_by("n_name", F.struct(-F.length("n_name"), "n_name")).alias("place"))
+    return cust.select("c_custkey").join(best, "c_custkey", "left")
 
 
 _VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"

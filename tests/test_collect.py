@@ -101,3 +101,18 @@ def test_contact_email(spark, tmp_path):
     got = {r["doc_id"]: r["email"] for r in catalog.QUERIES["contact_email_by_hint"](spark, str(tmp_path)).collect()}
     assert got == {i: email for i, (_, email) in enumerate(cases)}
     assert contacts.emails_of("x@y.ch X@Y.ch z@y.ch,") == ["x@y.ch", "z@y.ch"]
+
+
+def test_place_and_page_queries_read_everything(spark, tmp_path):
+    """Places beyond a thousand, links beyond the third of a page and JSON-LD rows."""
+    spark.createDataFrame([(f"place{i:05d}",) for i in range(1500)] + [("NATION_7x",), ("7x",)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, 7), (2, 8)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["c_custkey"]: r["place"] for r in catalog.QUERIES["place_lookup_longest"](spark, str(tmp_path)).collect()}
+    assert got == {1: "NATION_7x", 2: None}
+    links = "".join(f'<a href="/job/{i}">posting {i}</a>' for i in range(30))
+    script = json.dumps({"@type": "JobPosting", "title": "Engineer", "url": "https://x/job/1"})
+    pages = [(1, "https://x/y", links), (2, "https://x/z", f'<script type="application/ld+json">{script}</script>')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = catalog.QUERIES["html_site_link_rows"](spark, str(tmp_path)).collect()
+    assert sorted(r["at"] for r in rows) == list(range(25))
+    assert [(r["page_id"], r["title"], r["link"]) for r in catalog.QUERIES["html_json_ld_rows"](spark, str(tmp_path)).collect()] == [(2, "Engineer", "https://x/job/1")]
