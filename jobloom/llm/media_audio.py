@@ -2,7 +2,7 @@
 
 ``parse_stream`` reads any MPEG-1/2/2.5 stream, Layer I to III: it skips ID3v2 tags, finds frame headers and, after
 damage, the next header that is followed by an agreeing one (a frame whose checksum is wrong and whose end meets no
-agreeing header is damage too); it reads Xing/Info and VBRI tables, verifies the
+agreeing header is damage too); it reads Xing/Info tables and the counts of VBRI headers, verifies the
 checksum of protected Layer III frames, and returns the exact duration and each frame's byte offset and sample.
 
 Payloads are stored losslessly in the main-data area of protected MPEG-2 Layer III mono frames of 576 samples
