@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join with adaptive multi-match prefixes.
 
-A document's set is its distinct five-word shingles, as 64-bit hashes. Under one order of all shingles (rarer
-classes first, then by hash), two sets of Jaccard similarity t or more share at least k of their first
+A document's set is its distinct five-word shingles, as 64-bit hashes; hashes only find candidates, links are
+verified on the words themselves. Under one order of all shingles (rarer
+classes first, then by bits of the hash), two sets of Jaccard similarity t or more share at least k of their first
 n - ceil(t*n) + k shingles, for every k up to ceil(t*n). Each document's k grows with the estimated cost of its
 candidates (how many its prefix would meet, times its size); a pair needs min(k, k') shared prefix shingles before it
 is verified.
@@ -10,10 +11,12 @@ The work is kept linear where groups are large:
 
 1. Classes of frequency come from counts over all documents, kept in bitmaps of fixed size. (Each task counts its
    own documents and passes on shingles it met twice; a shingle's class only affects speed, never the result.)
-2. Documents with equal sets become one representative.
-3. Shingles that only one representative has in its prefix go before anything is shuffled for pairs, and texts are
-   shuffled for verification only if a pair names them that its sets' parity sketches don't rule out.
-4. Rounds of stars: each member of a shingle's list is verified against one centre, a member most like the rest of
+2. Documents with equal words become one representative.
+3. Shingles that no other representative of a similar size has in its prefix go before anything is shuffled for
+   pairs: tasks send packed parts of hashes by range, and what two sent comes back as a bitmap sized from their number. Where that
+   would pass MOST_BITS every shingle goes on, with the same result. Texts are shuffled for verification only if a
+   pair names them that its sets' parity sketches don't rule out.
+4. A round of stars: each member of a shingle's list is verified against one centre, a member most like the rest of
    some list they share, that of most shared lists. Verified links make components; lists whose members are all in
    one component are done.
 5. What is left is exact: every pair of members of different components in a list that shares enough prefix
@@ -23,27 +26,28 @@ The work is kept linear where groups are large:
 
 Edge cases: a null, empty or blank text has an empty set and stays alone; with fewer than five words the whole
 sequence is the one shingle; repeated rows are equal sets; an id stands for one text. A row with a null id belongs
-to the component of a row with an equal set and an id, else its component is null. An empty table gives an empty
-result. Other columns are not read.
+to the component of a row with equal words and an id, else its component is null. Very long texts are hashed in
+blocks. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import settled, slices, small_batches, small_or_joined
-from jobloom.llm.token_store import shared_path
+from jobloom.llm.common import MOST_BITS, apart, dropped, fresh, settled, shared_path, slices, small_batches, tabled
 
 WIDTH = 5
 #: Document counts from which a shingle is of class 1, 2 and 3. They double while more shingles than an eighth of
 #: a bitmap's bits reach class 1, so that the bitmaps stay sparse however large the corpus is.
 CLASSES = (32, 512, 8192)
-#: Bits of each bitmap (4 MB each); a bitmap's false bits only put a shingle in a higher class.
+#: Bits of each of the classes' bitmaps (4 MB each); false bits only put a shingle in a higher class.
 MAP_BITS = 1 << 25
 #: Most shared prefix shingles asked for.
 MOST_MATCHES = 12
@@ -51,9 +55,17 @@ MOST_MATCHES = 12
 MARK_WORDS = 4
 #: Sets of more shingles carry no marks: these would be too full to tell anything.
 MARKED = 500
+#: Members from which on a shingle's list is long.
+LONG = 64
+#: Bytes of text that are hashed at once.
+BLOCK = 4 << 20
+#: Prefix shingles that a range of hashes holds on average, and that a task sorts at once.
+RANGE, SORTED = 1 << 20, 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_POWERS = [np.uint64(pow(int(_P), 2 * k + 1, 1 << 64)) for k in range(WIDTH)]
+#: What stays of eight bytes of which the first 0 to 8 belong to a word.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -63,77 +75,150 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64, kept: dict = {}) -> np.ndarray:  # noqa: B006
-    """base^0 .. base^(n-1) modulo 2^64; kept for the largest n so far."""
-    have = kept.get(int(base))
-    if have is None or len(have) < n:
-        have = np.ones(max(n, 1 << 16), dtype=np.uint64)
-        have[1:] = base
-        kept[int(base)] = have = np.multiply.accumulate(have)
-    return have[:n]
+@dataclass
+class Words:
+    """The lower-cased words of some texts in a row: ``hashes`` and ``lengths`` of each, its bytes in eights from
+    ``eights[first]`` on, and the place of the first word of each text in ``bounds`` (one more than texts)."""
 
+    hashes: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
+    eights: np.ndarray
+    bounds: np.ndarray
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text.
 
-    Words are hashed by differences of one running polynomial sum over the bytes of the whole batch.
+def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, hashes, lengths, firsts and eights of the words of a block of bytes; none goes across a place of ``cuts``.
+
+    A word's hash is a scrambled sum of scrambles of its eights, each keyed by its place.
     """
+    n = len(data)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    at = cuts[cuts < n]
+    begins[at] = inside[at]
+    at = cuts[cuts > 0] - 1
+    ends[at] = inside[at]
+    starts, lengths = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    lengths -= starts
+    padded = np.zeros(n + 8, dtype=np.uint8)
+    padded[:n] = data
+    padded[:n][(data >= 65) & (data <= 90)] += 32
+    every = np.ndarray((n + 1,), "<u8", buffer=padded, strides=(1,))
+    many = (lengths + 7) >> 3
+    after = np.cumsum(many)
+    first = after - many
+    total = int(after[-1]) if len(after) else 0
+    nth = np.arange(total) - np.repeat(first, many)
+    at = np.repeat(starts, many) + 8 * nth
+    eights = every[at] & _FIRST_BYTES[np.minimum(np.repeat(lengths, many) - 8 * nth, 8)]
+    scrambled = _mixed(eights ^ _mixed((nth + 1).astype(np.uint64) * _P))
+    sums = np.add.reduceat(scrambled, first) if total else np.zeros(0, np.uint64)
+    return starts, _mixed(sums + lengths.astype(np.uint64)), lengths, first, eights
+
+
+def words_of(texts: pa.Array) -> Words:
+    """The words of whole texts, hashed in blocks that end at a blank or at a text's end."""
     texts = texts.cast(pa.large_string())
     rows = len(texts)
-    if not rows:
-        return []
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + rows + 1]
-    buffer = texts.buffers()[2]
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + rows + 1] if rows else np.zeros(1, np.int64)
+    buffer = texts.buffers()[2] if rows else None
     data = np.frombuffer(buffer, dtype=np.uint8)[offsets[0] : offsets[-1]] if buffer is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    n = len(data)
-    blank = np.ones(n + 1, dtype=bool)
-    blank[:n] = (data == 32) | ((data >= 9) & (data <= 13))
-    begins = np.zeros(n, dtype=bool)
-    if n:
-        begins[1:] = ~blank[1:n] & blank[: n - 1]
-        begins[0] = not blank[0]
-        edges = offsets[:-1][offsets[:-1] < n]
-        begins[edges] = ~blank[edges]
-    starts = np.flatnonzero(begins)
-    ends_at = blank[1:].copy()
-    edges = offsets[1:][offsets[1:] > 0] - 1
-    ends_at[edges] = True
-    ends = np.flatnonzero(ends_at[:n] & ~blank[:n]) + 1
-    lowered = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64) + np.uint64(1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(lowered * _powers(n, _P), out=sums[1:])
-    words = _mixed((sums[ends] - sums[starts]) * _powers(n + 1, _P_INVERSE)[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, offsets[:-1])
-    last = np.searchsorted(starts, offsets[1:])
-    joint = np.zeros(max(len(words) - WIDTH + 1, 0), dtype=np.uint64)
+    parts, bounds, at, words, held = [], np.zeros(rows + 1, np.int64), 0, 0, 0
+    while at < len(data):
+        to = min(at + BLOCK, len(data))
+        while to < len(data) and to not in offsets[np.searchsorted(offsets, to) :][:1]:
+            window = data[to : to + BLOCK]
+            blank = np.flatnonzero((window == 32) | ((window >= 9) & (window <= 13)))
+            ends = offsets[np.searchsorted(offsets, to)]
+            if len(blank) or ends <= to + BLOCK:
+                to = min(to + int(blank[0]) if len(blank) else len(data), int(ends))
+                break
+            to = min(to + BLOCK, len(data))
+        low, high = np.searchsorted(offsets, at), np.searchsorted(offsets, to, side="right")
+        starts, hashes, lengths, first, eights = _words(data[at:to], offsets[low:high] - at)
+        bounds[low:high] = words + np.searchsorted(starts, offsets[low:high] - at)
+        parts.append((hashes, lengths, first + held, eights))
+        words, held, at = words + len(hashes), held + len(eights), to
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Words(none.astype(np.uint64), none, none, none.astype(np.uint64), bounds)
+    bounds[offsets == len(data)] = words
+    return Words(*(c[0] if len(c) == 1 else np.concatenate(c) for c in zip(*parts, strict=True)), bounds)
+
+
+def _shingles(words: Words) -> np.ndarray:
+    """Hashes of all runs of WIDTH words, those across texts included."""
+    joint = np.zeros(max(len(words.hashes) - WIDTH + 1, 0), dtype=np.uint64)
     for k in range(WIDTH):
-        joint += words[k : k + len(joint)] * _P ** np.uint64(2 * k + 1)
-    joint = _mixed(joint)
+        joint += words.hashes[k : k + len(joint)] * _POWERS[k]
+    return _mixed(joint)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The one shingle of fewer words."""
+    whole = len(hashes)
+    for w in hashes.tolist():
+        whole = ((whole + w) * int(_P) + 7) % (1 << 64)
+    return _mixed(np.array([whole], dtype=np.uint64))
+
+
+def shingle_sets(texts: pa.Array, words: Words | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    words = words or words_of(texts)
+    joint = _shingles(words)
     found = []
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+    for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
         if b - a >= WIDTH:
-            found.append(np.unique(joint[a : b - WIDTH + 1]))
-        elif b > a:
-            whole = b - a
-            for w in words[a:b].tolist():
-                whole = ((whole + w) * int(_P) + 7) % (1 << 64)
-            found.append(_mixed(np.array([whole], dtype=np.uint64)))
+            own = np.sort(joint[a : b - WIDTH + 1])
+            found.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         else:
-            found.append(np.zeros(0, dtype=np.uint64))
+            found.append(_short(words.hashes[a:b]) if b > a else np.zeros(0, np.uint64))
     return found
 
 
-def _tabled(frame: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows of ``frame`` as a table in the shared folder: columns pack several times smaller than a checkpoint's rows."""
-    frame.write.parquet(f"{folder}/{name}")
-    return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+def signature(words: Words, i: int) -> bytes:
+    """A digest of the i-th text's words: equal for equal sequences of words only."""
+    a, b = int(words.bounds[i]), int(words.bounds[i + 1])
+    digest = hashlib.blake2b(words.lengths[a:b].tobytes(), digest_size=16)
+    if b > a:
+        to = int(words.first[b]) if b < len(words.first) else len(words.eights)
+        digest.update(words.eights[int(words.first[a]) : to].tobytes())
+    return digest.digest()
+
+
+def _same_words(x: Words, i: np.ndarray, y: Words, j: np.ndarray) -> bool:
+    """Whether the words at these places are equal one by one."""
+    n = x.lengths[i]
+    if not np.array_equal(n, y.lengths[j]):
+        return False
+    a, b, many = x.first[i], y.first[j], (n + 7) >> 3
+    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return np.array_equal(x.eights[np.repeat(a, many) + nth], y.eights[np.repeat(b, many) + nth])
+
 
+def _same_shingles(x: Words, i: np.ndarray, y: Words, j: np.ndarray) -> bool:
+    return all(_same_words(x, i[at : at + BLOCK // 64] + k, y, j[at : at + BLOCK // 64] + k) for k in range(WIDTH) for at in range(0, len(i), BLOCK // 64))
 
-def _dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a table or folder of this run, through the store that holds it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+def _listed(words: Words, i: int, joint: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The i-th text's distinct shingles, the place of each, and whether equal hashes are equal words throughout."""
+    a, b = int(words.bounds[i]), int(words.bounds[i + 1]) - WIDTH + 1
+    own, place, of = np.unique(joint[a:b], return_index=True, return_inverse=True)
+    again = np.flatnonzero(place[of] != np.arange(b - a))
+    return own, place + a, _same_shingles(words, again + a, words, place[of[again]] + a)
+
+
+def _plainly(words: Words, i: int) -> set[tuple]:
+    """The i-th text's set by its words alone; for texts in which two shingles have one hash."""
+    def word(k: int) -> bytes:
+        return int(words.lengths[k]).to_bytes(8, "little") + words.eights[int(words.first[k]) : int(words.first[k]) + (int(words.lengths[k]) + 7 >> 3)].tobytes()
+
+    own = [word(k) for k in range(int(words.bounds[i]), int(words.bounds[i + 1]))]
+    return {tuple(own[k : k + WIDTH]) for k in range(max(len(own) - WIDTH + 1, 1))} if own else set()
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -157,7 +242,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in shingle_sets(batch.column(0)):
                 waiting.append(s)
                 held += len(s)
-            if held > 1_500_000:
+            if held > 1_000_000:
                 yield counts()
                 waiting, held = [], 0
         if held:
@@ -179,7 +264,7 @@ def frequency_maps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         totals.select(bit.alias("bit"), F.explode(F.filter(classes, lambda c: c * F.lit(times) <= F.col("n"))).alias("class"))
         .groupBy("class", F.expr("bitmap_bucket_number(bit)").alias("bucket"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-        .toLocalIterator()
+        .collect()
     )
     maps = [np.zeros(MAP_BITS // 8, dtype=np.uint8) for _ in CLASSES]
     for row in rows:
@@ -193,10 +278,17 @@ def _is_set(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
+def _in(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whether a bitmap of a power of two of bits holds the tokens, by their first bits."""
+    at = tokens >> np.uint64(65 - (8 * len(bits)).bit_length())
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def _prefix(tokens: np.ndarray, maps: list[np.ndarray], percent: int) -> tuple[np.ndarray, int, int]:
     """Prefix tokens, matches asked for, and how many of all tokens are of a frequent class."""
     level = sum(_is_set(m, tokens).astype(np.int8) for m in maps)
-    order = np.lexsort((tokens, level))
+    # Within a class by the lower half first, so that the upper bits of prefixes, which bitmaps go by, are spread evenly.
+    order = np.lexsort(((tokens << np.uint64(32)) | (tokens >> np.uint64(32)), level))
     n = len(tokens)
     need = least_shared(n, percent)
     shortest = n - need + 1
@@ -209,36 +301,40 @@ def _prefix(tokens: np.ndarray, maps: list[np.ndarray], percent: int) -> tuple[n
     return tokens[order[: shortest + matches - 1]], matches, int((level > 0).sum())
 
 
+def _parities(tokens: np.ndarray, slots: int) -> np.ndarray:
+    at = (tokens >> np.uint64(20)).astype(np.int64) % slots
+    if slots <= 1 << 16:
+        return np.packbits((np.bincount(at, minlength=slots) & 1).astype(np.uint8))
+    odd = np.zeros(slots, dtype=np.uint8)
+    np.bitwise_xor.at(odd, at, np.uint8(1))
+    return np.packbits(odd)
+
+
 def _marks(tokens: np.ndarray) -> np.ndarray:
     """Parities of a set over 256 slots; two sets differ in at least as many shingles as their marks do in bits."""
-    slots = (tokens >> np.uint64(20)).astype(np.int64) % (64 * MARK_WORDS)
-    return np.packbits((np.bincount(slots, minlength=64 * MARK_WORDS) & 1).astype(np.uint8)).view(np.int64)
+    return _parities(tokens, 64 * MARK_WORDS).view(np.int64)
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
     """The same parities over a power of two of slots, two a shingle at least; halves laid over each other by
     exclusive or give those over half the slots."""
-    slots = 256
-    while slots < 2 * len(tokens):
-        slots *= 2
-    return np.packbits((np.bincount((tokens >> np.uint64(20)).astype(np.int64) % slots, minlength=slots) & 1).astype(np.uint8)).tobytes()
+    return _parities(tokens, max(256, 1 << (2 * len(tokens) - 1).bit_length() if len(tokens) else 0)).tobytes()
 
 
 def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, n, signature (of the set), common (per mille of frequent shingles), matches, prefix (binary), marks, sketch."""
-    import hashlib
-
+    """doc_id, n, signature (of the words), common (per mille of frequent shingles), matches, prefix (binary), marks, sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(maps)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in slices(batches, "text", 1 << 20):
-            n, signature, common, matches, prefix, marks, sketch = [], [], [], [], [], [], []
-            for tokens in shingle_sets(batch.column(1)):
+            n, signatures, common, matches, prefix, marks, sketch = [], [], [], [], [], [], []
+            words = words_of(batch.column(1))
+            for i, tokens in enumerate(shingle_sets(batch.column(1), words)):
                 n.append(len(tokens))
-                marks.append(_marks(tokens))
+                marks.append(_marks(tokens) if len(tokens) <= MARKED else None)
                 sketch.append(_sketch(tokens))
-                signature.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                signatures.append(signature(words, i))
                 if len(tokens):
                     p, k, often = _prefix(tokens, own, percent)
                     common.append(1000 * often // len(tokens))
@@ -249,7 +345,7 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
                     matches.append(0)
                     prefix.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(signatures, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                 ["doc_id", "n", "signature", "common", "matches", "prefix", "marks", "sketch"],
             )
 
@@ -257,37 +353,139 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
     return read.mapInArrow(build, "doc_id long, n long, signature binary, common int, matches int, prefix binary, marks array<long>, sketch binary")
 
 
-def _entries(representatives: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """One row a prefix shingle: token, id, n, common, matches, pos (its place), lone (shingles before it that no
-    other prefix has), before and after (its neighbours among the rows of its set) and then (the place of that after); with ``only``, shingles of that
-    bitmap."""
-    sent = representatives.sparkSession.sparkContext.broadcast(only) if only is not None else None
+def band_edges(percent: int) -> np.ndarray:
+    """Least sizes of bands: two sets that are similar enough are of one band or of neighbouring ones."""
+    edges = [1]
+    while edges[-1] < 1 << 32:
+        edges.append(edges[-1] * 100 // percent + 1)
+    return np.array(edges, dtype=np.int64)
+
+
+def _keyed(tokens: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Hashes of shingles together with a band of sizes."""
+    return _mixed(tokens ^ _mixed(bands.astype(np.uint64) * _P))
+
+
+def _shared_tokens(representatives: DataFrame, percent: int) -> np.ndarray | None:
+    """A bitmap of prefix shingles that two representatives have that are not too different in size, and of a few
+    others; None if it would be too large.
+
+    Each shingle is sent with the band of its set's size and with the next one, so that sets of neighbouring bands
+    meet in one of them. These hashes are dealt into ranges of about RANGE of them; 32 bits behind the range's go to the task that holds it,
+    packed as byte planes of their differences.
+    """
+    total = 2 * (representatives.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0)
+    edges_of = band_edges(percent)
+    ranges = max(5, int(total // RANGE).bit_length())
+    inner = min(32, max(15, (int(total) - 1).bit_length()) + 1 - ranges, MOST_BITS.bit_length() - 1 - ranges)
+    if total > 16 * MOST_BITS:
+        return None
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(waiting):
+            tokens = np.sort(np.concatenate(waiting))
+            tokens = tokens[np.concatenate([[True] * min(2, len(tokens)), tokens[2:] != tokens[:-2]])]
+            of = (tokens >> np.uint64(64 - ranges)).astype(np.int64)
+            low = ((tokens >> np.uint64(32 - ranges)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            edges = np.searchsorted(of, np.arange((1 << ranges) + 1))
+            rows = np.flatnonzero(edges[1:] > edges[:-1])
+            planes = [np.diff(low[edges[r] : edges[r + 1]], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for r in rows.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(planes, pa.binary())], ["of", "planes"])
+
+        waiting, held = [], 0
+        for batch in batches:
+            bands = np.searchsorted(edges_of, np.asarray(batch.column(1)), side="right")
+            for prefix, band in zip(batch.column(0), bands, strict=True):
+                tokens = np.frombuffer(prefix.as_py(), dtype=np.uint64)
+                waiting += [_keyed(tokens, band), _keyed(tokens, band + 1)]
+                held += 2 * len(tokens)
+                if held > SORTED:
+                    yield packed(waiting)
+                    waiting, held = [], 0
+        if held:
+            yield packed(waiting)
+
+    def meet(table: pa.Table) -> pa.Table:
+        values = [np.cumsum(np.frombuffer(p.as_py(), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32) for p in table.column("planes")]
+        low = np.sort(np.concatenate(values))
+        bits = np.zeros(1 << inner, dtype=np.uint8)
+        bits[low[1:][low[1:] == low[:-1]] >> np.uint32(32 - inner)] = 1
+        return pa.table({"of": pa.array([table.column("of")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    found = np.zeros(1 << (ranges + inner - 3), dtype=np.uint8)
+    piece = 1 << (inner - 3)
+    for row in representatives.select("prefix", "n").mapInArrow(send, "of long, planes binary").groupBy("of").applyInArrow(meet, "of long, bits binary").collect():
+        found[row["of"] * piece : (row["of"] + 1) * piece] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return found
+
+
+def _token_bitmap(tokens: DataFrame) -> np.ndarray | None:
+    """A bitmap by the first bits of the one column's settled hashes, sized from their count; None if it would be too large."""
+    n = tokens.count()
+    width = max(15, (16 * n).bit_length())
+    if 1 << width > 8 * MOST_BITS:
+        return None
+    width = min(width, MOST_BITS.bit_length() - 1)
+    slot = F.shiftrightunsigned(F.col(tokens.columns[0]), 64 - width)
+    rows = tokens.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).collect()
+    found = np.zeros(1 << (width - 3), dtype=np.uint8)
+    for row in rows:
+        found[row["piece"] * 4096 : row["piece"] * 4096 + len(row["bits"])] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return found
+
+
+#: Bits of a shingle's place and of its rank in ``at``, matches above them.
+AT_BITS = 28
+
+
+def _entries(representatives: DataFrame, percent: int, shared: np.ndarray | None, only: np.ndarray | None = None, long: np.ndarray | None = None, carried: tuple[str, ...] = (), runs: bool = False) -> DataFrame:
+    """One row a prefix shingle that both bitmaps (of ``_shared_tokens`` and of shingles) hold: token, id, n, at
+    (matches, place, and shingles before it that ``shared`` lacks) and ``carried`` columns; with ``runs``, before and
+    after (its neighbours among the rows of its set), then (the place of that after) and long (whether the bitmap of
+    long lists holds the shingle; without one all are)."""
+    sent = representatives.sparkSession.sparkContext.broadcast((shared, only, long))
+    edges_of = band_edges(percent)
+    types = {f.name: f.dataType.simpleString() for f in representatives.schema.fields}
+    names = ["token", "id", "n", "at", *carried, *(("before", "after", "then", "long") if runs else ())]
+    schema = "token long, id long, n long, at long" + "".join(f", {c} {types[c]}" for c in carried) + (", before long, after long, then int, long boolean" if runs else "")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                prefixes = part.column(3).to_pylist()
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                prefixes = part.column(0).to_pylist()
                 tokens = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
                 lengths = np.array([len(p) // 8 for p in prefixes], dtype=np.int64)
                 row = np.repeat(np.arange(part.num_rows), lengths)
                 begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
                 place = np.arange(len(tokens)) - begin
-                keep = _is_set(sent.value, tokens) if sent is not None else np.ones(len(tokens), bool)
+                shared, only, long = sent.value
+                keep = np.ones(len(tokens), bool)
+                if shared is not None:
+                    band = np.searchsorted(edges_of, np.asarray(part.column(2)), side="right")[row]
+                    keep = _in(shared, _keyed(tokens, band)) | _in(shared, _keyed(tokens, band + 1))
                 alone = np.concatenate([[0], np.cumsum(~keep)])
                 lone = alone[:-1] - alone[begin] if len(tokens) else place
-                taken = pa.array(row[keep])
-                own, of_row = tokens[keep].view(np.int64), row[keep]
-                edge = np.concatenate([[True], of_row[1:] != of_row[:-1], [True]]) if len(own) else np.ones(1, bool)
-                before = pa.array(np.concatenate([[0], own[:-1]]) if len(own) else own, pa.int64(), mask=edge[:-1])
-                after = pa.array(np.concatenate([own[1:], [0]]) if len(own) else own, pa.int64(), mask=edge[1:])
-                at = place[keep].astype(np.int32)
-                then = pa.array(np.concatenate([at[1:], at[:1]]), pa.int32(), mask=edge[1:] if len(own) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), *(part.column(i).take(taken) for i in (0, 1, 2, 4)), pa.array(at), pa.array(lone[keep].astype(np.int32)), before, after, then],
-                    ["token", "id", "n", "common", "matches", "pos", "lone", "before", "after", "then"],
-                )
+                if only is not None:
+                    keep &= _in(only, tokens)
+                of_row, own, at = row[keep], tokens[keep].view(np.int64), place[keep]
+                packed = (np.asarray(part.column(3)).astype(np.int64)[of_row] << 2 * AT_BITS) | (at << AT_BITS) | lone[keep]
+                taken = pa.array(of_row)
+                columns = [pa.array(own), part.column(1).take(taken), part.column(2).take(taken), pa.array(packed, pa.int64()), *(part.column(4 + i).take(taken) for i in range(len(carried)))]
+                if runs:
+                    edge = np.concatenate([[True], of_row[1:] != of_row[:-1], [True]]) if len(own) else np.ones(1, bool)
+                    columns.append(pa.array(np.concatenate([[0], own[:-1]]) if len(own) else own, pa.int64(), mask=edge[:-1]))
+                    columns.append(pa.array(np.concatenate([own[1:], [0]]) if len(own) else own, pa.int64(), mask=edge[1:]))
+                    columns.append(pa.array(np.concatenate([at[1:], at[:1]]).astype(np.int32), pa.int32(), mask=edge[1:] if len(own) else None))
+                    columns.append(pa.array(_in(long, tokens[keep]) if long is not None else np.ones(len(own), bool)))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return representatives.select("prefix", "id", "n", "matches", *carried).mapInArrow(spread, schema)
 
-    return representatives.select("id", "n", "common", "prefix", "matches").mapInArrow(spread, "token long, id long, n long, common int, matches int, pos int, lone int, before long, after long, then int")
+
+def _unpacked(frame: DataFrame, prefix: str = "") -> DataFrame:
+    """``at`` as matches, pos and lone."""
+    at, low = F.col(f"{prefix}at"), (1 << AT_BITS) - 1
+    return frame.withColumns({f"{prefix}matches": F.shiftright(at, 2 * AT_BITS), f"{prefix}pos": F.shiftright(at, AT_BITS).bitwiseAND(low), f"{prefix}lone": at.bitwiseAND(low)}).drop(f"{prefix}at")
 
 
 def _reachable(x: str, y: str, percent: int):
@@ -322,12 +520,11 @@ def _alike(x: str, y: str, percent: int):
 def _paired(joined: DataFrame, x: str, y: str, percent: int, runs: bool = False) -> DataFrame:
     """a, b, shared: pairs of rows joined by a shingle that share enough of their prefixes and can be similar enough.
 
-    With ``runs``, each pair is joined by every shingle that both prefixes have. Then a row whose neighbours on both
+    Joined rows are reachable and within (see there). With ``runs``, each pair is joined by every shingle that both prefixes have. Then a row whose neighbours on both
     sides are shared too says nothing new: only the ends of such runs stay, and their ranks give the number shared.
     Within a run ``_reachable`` can only turn from true to false, and a false one rules the pair out, so a pair of
     which a run's first row is left without its last goes.
     """
-    joined = joined.filter(_reachable(x, y, percent) & _within("pos", x, y, percent))
     shared, whole = F.count(F.lit(1)), F.lit(True)
     if runs:
         begins = ~F.coalesce(F.col(f"{x}before") == F.col(f"{y}before"), F.lit(False))
@@ -348,44 +545,10 @@ def _paired(joined: DataFrame, x: str, y: str, percent: int, runs: bool = False)
     return sums.filter(F.col("whole") & (F.col("shared") >= F.col("asked")) & _enough(F.col("shared") + F.least(F.col("xn") - F.col("xlast"), F.col("yn") - F.col("ylast")) - 1, "x", "y", percent)).select("a", "b", "shared")
 
 
-def _bitmap(numbers: DataFrame) -> np.ndarray:
-    """A bitmap (4 MB) with the bits of the one column's numbers set."""
-    bit = F.pmod(F.col(numbers.columns[0]), F.lit(MAP_BITS)) + 1
-    rows = (
-        numbers.select(bit.alias("bit"))
-        .groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-        .toLocalIterator()
-    )
-    found = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    for row in rows:
-        at = (row["bucket"] - 1) * 4096
-        found[at : at + len(row["bits"])] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return found
-
-
-def _shared_tokens(representatives: DataFrame) -> np.ndarray:
-    """A bitmap of prefix shingles that two representatives have, and of some others."""
-    return _bitmap(_entries(representatives).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"))
-
-
 def _named(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows whose id ``pairs`` name, so that only they are shuffled.
-
-    Few ids are broadcast; more go through a bitmap of their hashes, whose false bits leave some rows too many.
-    """
-    ids = settled(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    side = small_or_joined(ids)
-    if side is not ids:
-        return rows.join(side, "id", "left_semi")
-    sent = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id"))))
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.filter(pa.array(_is_set(sent.value, np.asarray(batch.column(batch.num_columns - 1)))))
-            yield kept.select(range(batch.num_columns - 1))
-
-    return rows.withColumn("slot", F.xxhash64("id")).mapInArrow(only, rows.schema)
+    """The rows whose id ``pairs`` name, and few others, so that only they are shuffled."""
+    ids = settled(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().select(F.xxhash64("id").alias("key")))
+    return apart(rows, F.xxhash64("id"), ids)[0]
 
 
 def _screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -410,23 +573,38 @@ def _screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(screen, "a long, b long")
 
 
+def _linked(x: Words, i: int, of_x: tuple, y: Words, j: int, of_y: tuple, percent: int) -> bool:
+    """Whether two texts' sets are similar enough, equal hashes held against the words they stand for."""
+    (own_x, at_x, clean_x), (own_y, at_y, clean_y) = of_x, of_y
+    both, a, b = np.intersect1d(own_x, own_y, assume_unique=True, return_indices=True)
+    if 100 * len(both) < percent * (len(own_x) + len(own_y) - len(both)) and clean_x and clean_y:
+        return False
+    if clean_x and clean_y and _same_shingles(x, at_x[a], y, at_y[b]):
+        return True
+    left, right = _plainly(x, i), _plainly(y, j)
+    return 100 * len(left & right) >= percent * len(left | right)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough, by their words.
+
+    Representatives of fewer than WIDTH words never are: their sequences differ.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
-        for batch in slices(batches, "text_b", 4 << 20):
-            for part in slices(iter([batch]), "text_a", 4 << 20):
-                a, b = part.column(0).to_pylist(), part.column(1)
-                later = shingle_sets(part.column(3))
+        last = last_words = last_set = None
+        for batch in slices(batches, "text_b", 1 << 20):
+            for part in slices(iter([batch]), "text_a", 2 << 20):
+                words = words_of(part.column(3))
+                joint, size = _shingles(words), np.diff(words.bounds)
                 keep = []
-                for i, x in enumerate(a):
-                    if x != last or last_set is None:
-                        last, last_set = x, shingle_sets(part.column(2).slice(i, 1))[0]
-                    both = len(np.intersect1d(last_set, later[i], assume_unique=True))
-                    keep.append(100 * both >= percent * (len(last_set) + len(later[i]) - both) and both > 0)
+                for i, x in enumerate(part.column(0).to_pylist()):
+                    if x != last or last_words is None:
+                        last, last_words = x, words_of(part.column(2).slice(i, 1))
+                        last_set = _listed(last_words, 0, _shingles(last_words)) if last_words.bounds[1] >= WIDTH else None
+                    keep.append(last_set is not None and size[i] >= WIDTH and _linked(last_words, 0, last_set, words, i, _listed(words, i, joint), percent))
                 mask = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), b.filter(mask)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
     pairs = settled(pairs)
     texts = _named(texts, pairs)
@@ -454,66 +632,88 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _open(entries: DataFrame, side: DataFrame) -> DataFrame:
-    """Entries of shingles that several components share, with marks and ``component`` from ``side`` (id, label, marks).
+def _representatives(heavy: DataFrame, narrow: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, n, common, matches, prefix, marks, sketch of one row for each set of words.
 
-    ``main`` is the component of most members of a list; its members meet the others', never their own.
+    Rows are known by their ids: only those that are not the one of their set, or come several times, are shuffled.
     """
-    of = entries.join(side, "id").withColumn("component", F.coalesce("label", "id")).drop("label")
-    sizes = of.groupBy("token", "component").count().groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main"))
-    return of.join(sizes.filter("parts > 1").drop("parts"), "token")
+    rows = narrow.filter("n > 0 and doc_id is not null").groupBy("doc_id", "signature").agg(F.count(F.lit(1)).alias("times"))
+    odd = rows.join(sets, "signature").filter("doc_id != id or times > 1").select("doc_id", F.col("signature").alias("of_set"), (F.col("doc_id") == F.col("id")).alias("chosen"))
+    odd = settled(odd)
+    columns = ["id", "n", "common", "matches", "prefix", "marks", "sketch"]
+    maybe, others = apart(heavy.filter("n > 0 and doc_id is not null").withColumnRenamed("doc_id", "id"), F.xxhash64("id"), odd.select(F.xxhash64("doc_id").alias("key")))
+    met = maybe.join(odd, (F.col("id") == F.col("doc_id")) & (F.col("signature") == F.col("of_set")), "left")
+    once = met.filter("chosen").groupBy("id", "signature").agg(*(F.first(c).alias(c) for c in columns[1:])).select(columns)
+    return others.select(columns).union(met.filter("chosen is null").select(columns)).union(once)
+
+
+def _remaining(rest: DataFrame, open_lists: DataFrame, percent: int, path: str) -> DataFrame:
+    """a, b: pairs of members of different components of a list that share enough of their prefixes.
+
+    Short lists meet themselves. In a long one, members of its main component, that of most members, meet the others
+    and never their own.
+    """
+    sides = ("id", "n", "at", "component", "before", "after", "then", "marks")
+    named = lambda frame, x: frame.select("token", *(F.col(c).alias(f"{x}_{c}") for c in sides))
+    flat = ("id", "n", "matches", "pos", "lone", "before", "after", "then")
+
+    def likely(met: DataFrame) -> DataFrame:
+        met = _unpacked(_unpacked(met, "l_"), "r_").filter("l_component != r_component")
+        return met.filter(_within("pos", "l_", "r_", percent) & _reachable("l_", "r_", percent)).filter(_alike("l_", "r_", percent))
+
+    short = rest.filter(~F.col("long"))
+    met = likely(named(short, "l").join(named(short, "r"), "token").filter("l_id < r_id"))
+    ordered = met.select(*(F.col(f"{b}_{c}").alias(f"{to}_{c}") for to, b in (("x", "l"), ("y", "r")) for c in flat))
+
+    right = tabled(rest.filter("long").join(open_lists, "token").filter("component != main").drop("members"), path)
+    others = right.select("token", "main", *(F.col(c).alias(f"r_{c}") for c in sides))
+    # A pair meets in one orientation or, where the list's main component changes, in both.
+    met = likely(named(rest.filter("long"), "l").join(others, "token").filter("l_component = main or l_id < r_id")).withColumn("turn", F.col("l_id") > F.col("r_id"))
+    turned = met.select(*(F.when(F.col("turn"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{to}_{c}") for to, a, b in (("x", "l", "r"), ("y", "r", "l")) for c in flat))
+    return _paired(ordered.unionByName(turned), "x_", "y_", percent, runs=True).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     small_batches(docs)
     spark = docs.sparkSession
     folder = shared_path(spark, "jaccard")
     maps = frequency_maps(docs, id_col, text_col)
-    prefixes = settled(_prefixes(docs, maps, id_col, text_col, percent))
-    sets = settled(prefixes.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("id")))
-    chosen = prefixes.join(sets.select(F.col("signature").alias("of_set"), "id"), (F.col("signature") == F.col("of_set")) & (F.col("doc_id") == F.col("id")))
-    representatives = settled(chosen.select("id", "n", "common", "matches", "prefix", "marks", "sketch"))
-
-    entries = _tabled(_entries(representatives, _shared_tokens(representatives)), folder, "entries")
+    heavy = tabled(_prefixes(docs, maps, id_col, text_col, percent), f"{folder}/prefixes")
+    narrow = settled(heavy.select("doc_id", "n", "signature"))
+    sets = settled(narrow.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("id")))
+    representatives = tabled(_representatives(heavy, narrow, sets), f"{folder}/representatives")
+    dropped(spark, f"{folder}/prefixes")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-
     sketches = representatives.select("id", "n", "sketch")
 
-    labels = links = None
-    for _ in range(star_rounds):
-        of = entries if labels is None else entries.join(labels, "id", "left")
-        label = F.col("id") if labels is None else F.coalesce("label", F.col("id"))
-        of = of.withColumn("component", label)
-        best = F.max(F.struct("common", -F.col("n"), -F.col("id"), "n", "id", "component", "matches", "pos", "lone"))
-        centre = of.groupBy("token").agg(best.alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        centre = centre.select("token", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "n", "component", "matches", "pos", "lone")))
-        met = of.select("token", *(F.col(c).alias(f"m_{c}") for c in ("id", "n", "component", "matches", "pos", "lone"))).join(centre, "token").filter("m_component != c_component")
-        pairs = _paired(met, "c_", "m_", percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-        found = settled(_verified(_screened(pairs, sketches, percent), texts, percent))
-        if links is not None and not found.head(1):
-            break
-        links = found if links is None else links.union(found)
-        labels = components(links)
-
-    side = representatives.select("id", F.when(F.col("n") <= MARKED, F.col("marks")).alias("marks")).join(labels, "id", "left")
-    rest = _tabled(_open(entries, side), folder, "rest")
-    _dropped(spark, f"{folder}/entries")
-    sides = ("id", "n", "component", "matches", "pos", "lone", "before", "after", "then", "marks")
-    left = rest.select("token", *(F.col(c).alias(f"l_{c}") for c in sides), (F.col("component") == F.col("main")).alias("of_main"))
-    right = rest.filter("component != main").select("token", *(F.col(c).alias(f"r_{c}") for c in sides))
-    # A pair meets in one orientation or, where the list's main component changes, in both.
-    met = left.join(right, "token").filter("l_component != r_component and (of_main or l_id < r_id)").filter(_alike("l_", "r_", percent))
-    turned = met.withColumn("turn", F.col("l_id") > F.col("r_id")).select(
-        *(F.when(F.col("turn"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{to}_{c}") for to, a, b in (("x", "l", "r"), ("y", "r", "l")) for c in ("id", "n", "matches", "pos", "lone", "before", "after", "then"))
-    )
-    pairs = _paired(turned, "x_", "y_", percent, runs=True).select("a", "b")
-    links = links.union(settled(_verified(_screened(pairs, sketches, percent), texts, percent)))
-    _dropped(spark, folder)
+    shared = _shared_tokens(representatives, percent)
+    # A member's rank as a centre: more frequent shingles, then fewer shingles; the last bits tell equal ones apart.
+    rank = F.shiftleft(F.col("common").cast("long"), 53).bitwiseOR(F.shiftleft(F.greatest(F.lit((1 << 30) - 1) - F.col("n"), F.lit(0)), 23)).bitwiseOR(F.pmod(F.xxhash64("id"), F.lit(1 << 23)))
+    entries = tabled(_entries(representatives.withColumn("rank", rank), percent, shared, carried=("rank",)), f"{folder}/entries")
+    centre = entries.groupBy("token").agg(F.max_by("id", "rank").alias("c_id"), F.max_by("n", "rank").alias("c_n"), F.max_by("at", "rank").alias("c_at"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
+    members = entries.select("token", *(F.col(c).alias(f"m_{c}") for c in ("id", "n", "at")))
+    met = _unpacked(_unpacked(members.join(centre, "token").filter("m_id != c_id"), "m_"), "c_")
+    pairs = _paired(met.filter(_reachable("c_", "m_", percent) & _within("pos", "c_", "m_", percent)), "c_", "m_", percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    links = settled(_verified(_screened(pairs, sketches, percent), texts, percent))
+    dropped(spark, f"{folder}/entries")
+    labels = components(links)
+
+    bare = representatives.select("id", "n", "matches", "prefix", "marks")
+    linked, others = apart(bare, F.xxhash64("id"), settled(labels.select(F.xxhash64("id").alias("key"))))
+    linked = tabled(linked.join(labels, "id", "left").select(*bare.columns, F.coalesce("label", "id").alias("component")), f"{folder}/linked")
+    labelled = others.withColumn("component", F.col("id")).unionByName(linked)
+    of = _entries(labelled, percent, shared, carried=("component",)).groupBy("token", "component").agg(F.count(F.lit(1)).alias("many"))
+    open_lists = of.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("many").alias("members"), F.max_by("component", "many").alias("main")).filter("parts > 1")
+    open_lists = settled(open_lists.select("token", "main", "members"))
+    long_lists = _token_bitmap(open_lists.filter(F.col("members") > LONG).select("token"))
+    rest = _entries(labelled, percent, shared, _token_bitmap(open_lists.select("token")), long_lists, carried=("component", "marks"), runs=True)
+    links = links.union(settled(_verified(_screened(_remaining(rest, open_lists, percent, f"{folder}/rest"), sketches, percent), texts, percent)))
+    dropped(spark, folder)
     labels = components(links)
 
     classes = sets.join(labels, "id", "left").select(F.col("signature"), F.coalesce("label", "id").alias("component_id"))
-    return prefixes.select("doc_id", "n", "signature").join(classes, "signature", "left").select(
+    return narrow.join(classes, "signature", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -521,9 +721,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, id
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all columns."""
-    kept = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of ``docs`` whose id is the smallest of their component, with all columns; rows without an id stay.
+
+    Only rows that a bitmap of the ids to drop lets through are shuffled.
+    """
+    (gone,) = fresh(docs.columns, "gone")
+    ids = settled(near_duplicates(docs, percent, id_col=id_col, text_col=text_col).filter("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct())
+    maybe, others = apart(docs, F.xxhash64(F.col(id_col).cast("long")), ids.select(F.xxhash64(gone).alias("key")))
+    return others.union(maybe.join(ids, maybe[id_col].cast("long") == ids[gone], "left_anti"))
 
 
 ORACLE_SQL = """

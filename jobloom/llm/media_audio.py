@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import slices, small_batches, whole_text
-from jobloom.llm.token_store import shared_path
+from jobloom.llm.common import shared_path, slices, small_batches, whole_text
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1?, layer), Hz by version
 KBITS = {

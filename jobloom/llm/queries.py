@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import exact_dedup, jaccard_join, language_id, license_scan, media_audio, mixing, packing, pii, sharding, token_store
+from jobloom.llm import common, exact_dedup, jaccard_join, language_id, license_scan, media_audio, mixing, packing, pii, sharding, token_store
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -30,7 +30,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_store.shared_path(spark, "tokens")
+    path = common.shared_path(spark, "tokens")
     token_store.write_store(_documents(spark, sf_dir), path, vocabulary_path(WORD_VOCABULARY))
     return token_store.read_store(spark, path)
 

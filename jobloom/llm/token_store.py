@@ -10,8 +10,8 @@ SHA-256 and bytes) and ``segments``. A segment holds up to SEGMENT_BYTES of cons
 Segments carry their first and last id as columns, so one document is read by pushing its id down to the segments
 and decompressing its own frame only.
 
-The dictionary is trained on the serialised ids of at most SAMPLE_DOCS documents of at most SAMPLE_CHARS characters
-(it serves short documents), those with the smallest seeded keys; every document is written, whatever its length.
+The dictionary is trained on the serialised ids of the SAMPLE_DOCS documents with the smallest seeded keys, of longer
+texts on a slice of SAMPLE_CHARS characters (both are parameters); every document is written, whatever its length.
 
 Edge cases: a null or empty text holds the end id only; rows with a null id come first; repeated rows are written
 as often as they come; an empty table gives a store without segments. Too few samples give an empty dictionary.
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,14 +38,16 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 6_000, 64 << 10
 SEGMENTS = "part int, segment int, first_id long, last_id long, n_docs long, n_ids long, part_start long, body binary"
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> bytes:
-    """Dictionary bytes from a bounded sample of short documents; empty if there are too few to train on."""
+def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> bytes:
+    """Dictionary bytes from a bounded sample of documents, of long ones a seeded slice; empty if there are too few."""
     import zstandard
 
-    short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    # Ids are chosen before any text moves.
-    chosen = settled(short.select("id", seeded_key(seed, F.col("id")).alias("key")).orderBy("key", "id").limit(SAMPLE_DOCS).select("id").distinct())
-    rows = short.join(F.broadcast(chosen), "id", "left_semi").select("text").take(SAMPLE_DOCS)
+    n = F.length("text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(n > 0)
+    # Ids are chosen before any text moves; of a long text only a slice at a seeded place does.
+    chosen = settled(texts.select("id", seeded_key(seed, F.col("id")).alias("key")).orderBy("key", "id").limit(sample_docs).select("id").distinct())
+    start = F.when(n > sample_chars, F.pmod(F.xxhash64("id"), n - sample_chars)).otherwise(0).cast("int")
+    rows = texts.join(F.broadcast(chosen), "id", "left_semi").select(F.substring("text", start + 1, F.lit(sample_chars)).alias("text")).take(sample_docs)
     encode = encoder(WordEncoder, vocabulary)
     end = struct.pack("<I", end_id)
     samples = [encode(r["text"]) + end for r in rows]
@@ -188,11 +189,3 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
         segment = Segment(bytes(row["body"]), dictionary)
         found += [np.frombuffer(segment.tokens(i), "<u4").tolist() for i in segment.find(doc_id)]
     return found
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/jobloom-checkpoints")
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
