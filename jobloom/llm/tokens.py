@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Pieces kept before the store is emptied; bounds a worker's memory.
-MOST_KEPT = 1_200_000
+#: Pieces kept of late, and as many of those before them; bounds a worker's memory.
+MOST_KEPT = 500_000
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 64
 
@@ -24,22 +24,27 @@ _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 def _byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
+    """The printable character that stands for each byte in byte-level vocabularies (fixed by their format)."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shifted = iter(range(256, 512))
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Pieces(dict):
     """Ids, as little-endian unsigned 32-bit bytes, by piece; a missing piece is encoded on first use."""
 
-    def __init__(self, path: str, lead: str, words: bool):
+    def __init__(self, library, lead: str, words: bool):
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library, self.lead, self.words = Tokenizer.from_file(path), lead, words
+        self.library, self.lead, self.words = library, lead, words
         self.alphabet = _byte_alphabet()
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -49,7 +54,9 @@ class Pieces(dict):
         return [t.id for t in self.library.model.tokenize(mapped)]
 
     def __missing__(self, piece: str) -> bytes:
-        if simple := _SIMPLE.fullmatch(piece):
+        if (encoded := self.before.get(piece)) is not None:
+            pass
+        elif simple := _SIMPLE.fullmatch(piece):
             word = simple[1].lower() if self.words else self.lead + simple[1]
             ids = self._plain(word) + (self._plain(simple[2]) if simple[2] else [])
             encoded = np.array(ids, dtype="<u4").tobytes()
@@ -57,6 +64,7 @@ class Pieces(dict):
             encoded = self.whole(self.lead + piece)
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= MOST_KEPT:
+                self.before = dict(self)
                 self.clear()
             self[piece] = encoded
         return encoded
@@ -66,7 +74,7 @@ class WordEncoder:
     """For vocabularies that drop blanks: pieces are what stands between blanks."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path, "", True)
+        self.pieces = Pieces(_library(path), "", True)
         self.special = [t.content for t in self.pieces.library.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
@@ -79,7 +87,8 @@ class ByteEncoder:
     """For vocabularies that keep blanks: a piece takes along the space before it."""
 
     def __init__(self, path: str):
-        self.first, self.later = Pieces(path, "", False), Pieces(path, " ", False)
+        library = _library(path)
+        self.first, self.later = Pieces(library, "", False), Pieces(library, " ", False)
         self.special = [t.content for t in self.first.library.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
