@@ -5,8 +5,9 @@ in a window is kept, and a softmax over those gives the window's languages. A te
 end; its prediction is the mean of its windows' log-probabilities weighted by their bytes. Short windows are padded
 with the zero byte, whose embedding is fixed at zero.
 
-Training takes at most SAMPLE_DOCS labelled documents, those with the smallest seeded keys, and of each at most
-SAMPLE_WINDOWS windows at seeded places; prediction takes every window of every text.
+Training takes the SAMPLE_DOCS labelled documents with the smallest seeded keys, up to EACH_DOCS of every label
+besides (SAMPLE_DOCS in all, so that a rare language is learned too), and of each at most SAMPLE_WINDOWS windows at
+seeded places; all three are parameters. Prediction takes every window of every text.
 
 Edge cases: a null text or one without any letter is ``und`` with score 1; an id may be null or repeated; without
 labelled rows every text with letters is ``und`` with score 0. An empty table gives an empty result. Only the
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from jobloom.llm.common import seeded_key, settled, slices, small_batches
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 12, (2, 3, 4, 5)
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 2, 6, 64, 0.004
+#: Bounds of the training sample: documents with the smallest keys, documents of every label besides, windows of each.
+SAMPLE_DOCS, EACH_DOCS, SAMPLE_WINDOWS = 2_000, 32, 2
+EPOCHS, BATCH, RATE = 6, 64, 0.004
 UNKNOWN = "und"
 
 
@@ -129,18 +132,25 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 3) -> Network | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 3, sample_docs: int = SAMPLE_DOCS, each_docs: int = EACH_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
     """Trains on the bounded sample; None without labelled rows."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     small_batches(docs)
     labelled = own.filter(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    # Ids are chosen before any text moves.
-    chosen = settled(labelled.select("id", seeded_key(seed, F.col("id")).alias("key")).orderBy("key", "id").limit(SAMPLE_DOCS).select("id").distinct())
+    # Ids are chosen before any text moves: the smallest keys of all, and for every label those of each_docs slots.
+    keyed = labelled.select("id", "lang", seeded_key(seed, F.col("id")).alias("key"))
+    slots = keyed.groupBy("lang", F.pmod("key", F.lit(each_docs)).alias("slot")).agg(F.min_by("id", "key").alias("id"))
+    own_share = slots.orderBy("slot", "lang").limit(sample_docs).select("id")
+    chosen = settled(keyed.orderBy("key", "id").limit(sample_docs).select("id").union(own_share).distinct())
     rows = labelled.join(F.broadcast(chosen), "id", "left_semi")
-    # The windows are cut before the rows come to the driver: at most SAMPLE_DOCS * SAMPLE_WINDOWS windows arrive.
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sampled_windows(batches, sample_windows)
+
+    # The windows are cut before the rows come to the driver: at most 2 * sample_docs * sample_windows windows arrive.
     labels, windows, rng = [], [], np.random.default_rng(seed)
-    for row in rows.mapInArrow(_sampled_windows, "lang string, window binary").toLocalIterator():
-        if len(labels) == SAMPLE_DOCS * SAMPLE_WINDOWS:
+    for row in rows.mapInArrow(cut, "lang string, window binary").toLocalIterator():
+        if len(labels) == 2 * sample_docs * sample_windows:
             break
         labels.append(row["lang"])
         windows.append(np.frombuffer(row["window"], np.uint8))
@@ -152,13 +162,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(np.stack(windows)[order], np.array([index[x] for x in labels])[order], names, seed)
 
 
-def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled_windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         langs, windows = [], []
         for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             cut = window_rows(text.encode())
             rng = np.random.default_rng(len(text))
-            for i in rng.permutation(len(cut))[:SAMPLE_WINDOWS]:
+            for i in rng.permutation(len(cut))[:most]:
                 langs.append(lang)
                 windows.append(cut[i].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], ["lang", "window"])
