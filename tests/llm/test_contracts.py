@@ -187,7 +187,7 @@ def test_terms_count_over_whole_texts(spark):
     n_term, n_entity = Counter(w for ws in terms for w in ws), Counter(e for es in held for e in es)
     n_pair = Counter((e, w) for es, ws in zip(held, terms, strict=True) for e in es for w in ws)
     share = {(e, w): log2(n * total / (n_entity[e] * n_term[w])) / log2(total / n_entity[e]) for (e, w), n in n_pair.items() if n >= 3}
-    found = pii.mentions(docs).localCheckpoint()
+    found = pii.mentions(docs).checkpoint()
     assert sorted(r["disclosure"] for r in pii.disclosures(docs, found).collect()) == pytest.approx(sorted(share.values()))
     for r in pii.find_spans(docs).collect():
         text, i = texts[r["doc_id"]] or "", r["doc_id"]
@@ -238,6 +238,75 @@ def test_water_filling(spark, table):
         assert abs(taken[s] - target[s]) <= most[s]
 
 
+def test_water_filling_cuts_rows_without_ids_like_others(spark):
+    """400 rows, every second id null and all their texts equal: taken words come within a document of each target."""
+    from jobloom.llm import mixing
+
+    rows = [(None if i % 2 else i, "five words in every text" if i % 2 else f"four words in {i}", ("a", "b", "c")[min(i % 7, 2)], i, i, "x", "y") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key_0 long, cut_0 long, copy_0 string, _cut string").repartition(6)
+    plan = mixing.mix_plan(docs).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(plan) == 3 and all(abs(r["taken"] - r["target"]) <= 5 for r in plan), plan
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns
+    sizes = got.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()
+    assert sorted(r["n"] for r in sizes) == sorted(r["taken"] for r in plan)
+
+
+def test_helpers_own_names_are_passed_on(spark):
+    """Extra columns with the names of helper columns, repeated rows and null ids, through the stages that keep columns."""
+    from jobloom.llm import exact_dedup, jaccard_join
+
+    names = ["_digest", "_first", "_kept_id", "mark_0", "stay_0", "row_0", "slot_0", "piece_0", "bits_0", "gone_0", "m", "i", "d", "id", "key"]
+    texts = ["one two three four five six", "one two  three four five six", "other words here that stay alone", None, "", "one two three four five six"]
+    rows = [(i if i != 5 else 0, t, *("v" for _ in names)) for i, t in enumerate(texts)] + [(None, "other words here that stay alone", *("v" for _ in names))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = exact_dedup.without_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, texts[1]), (2, texts[2]), (3, None)]
+    once = jaccard_join.one_of_each(docs)
+    assert once.columns == docs.columns
+    assert {r["doc_id"] for r in once.collect()} == {0, 2, 3, 4, None}
+
+
+def test_jaccard_join_holds_words_against_each_other(spark, monkeypatch):
+    """Words whose polynomial hashes collide for any odd base, and links when every hash is the same."""
+    from jobloom.llm import jaccard_join
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
+    import pyarrow as pa
+
+    texts = ["a b c d e f g h i j k l", "a b c d e f g h i j k l m", "n o p q r s t u v w x y"]
+    monkeypatch.setattr(jaccard_join, "_mixed", lambda x: x & np.uint64(0))
+    words = jaccard_join.words_of(pa.array(texts))
+    joint = jaccard_join._shingles(words)
+    listed = [jaccard_join._listed(words, i, joint) for i in range(3)]
+    linked = lambda i, j: jaccard_join._linked(words, i, listed[i], words, j, listed[j], 80)
+    assert linked(0, 1) and not linked(0, 2) and not linked(1, 2)
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    from jobloom.llm import jaccard_join
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"W{rng.integers(50)}" * int(rng.integers(1, 9)) for _ in range(n)) for n in (0, 3, 400, 5, 900)] + ["", " \n"]
+    whole = jaccard_join.shingle_sets(pa.array(texts))
+    assert [len(s) for s in whole] == [len(s) for s, _ in [_set_of(t) for t in texts]]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 11)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, jaccard_join.shingle_sets(pa.array(texts)), strict=True))
+
+
+def _set_of(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set(), words
+
+
 def test_mixed_rows_repeat(spark, table):
     from jobloom.llm import mixing
 
@@ -520,7 +589,7 @@ def test_pipeline(spark, table):
 def _mixed_times(rows):
     """How often each of (id, text, lang, source) comes, by the rule of the mix; ids are unique."""
     size = {r[0]: len(re.findall("[^\x20\x09-\x0d]+", r[1] or "")) for r in rows}
-    key = {r[0]: int(hashlib.md5(f"29:{r[0]}".encode()).hexdigest()[:15], 16) for r in rows}
+    key = {r[0]: int(hashlib.md5(f"29:{r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16) for r in rows}
     ids = defaultdict(list)
     for r in rows:
         ids[r[3]].append(r[0])
