@@ -7,18 +7,58 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with one accent and the letters they fold to, by rule of their decomposition.
-ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:])))
-FOLDED = "".join(unicodedata.normalize("NFKD", c)[0] for c in ACCENTED)
+def _folds(low: int, high: int) -> dict[str, str]:
+    """Characters and what compatibility decomposition leaves of them without combining marks, where it changes them."""
+    found = {}
+    for c in map(chr, range(low, high)):
+        if not 0xD800 <= ord(c) < 0xE000 and (to := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).replace("\u2044", " ")) != c:
+            found[c] = to
+    return found
+
+
+#: Latin letters that fold to one other character, by rule of their decomposition.
+SIMPLE = {c: to for c, to in _folds(0xC0, 0x250).items() if len(to) == 1}
+#: All characters that fold to ASCII, looked up in the few texts that have others than RARE allows.
+FOLDS = {c: to for c, to in _folds(0x80, 0xFFFF).items() if to.isascii()}
+def _ranges(chars: list[str]) -> str:
+    """A pattern class's inside: each run of neighbouring characters as one range."""
+    found: list[list[int]] = []
+    for c in map(ord, chars):
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in found)
+
+
+#: Any character beyond ASCII that ``SIMPLE`` doesn't settle: not Latin, or changed into several.
+RARE = "[^" + _ranges([c for c in map(chr, range(0x250)) if c < "\x80" or c in SIMPLE or c not in FOLDS]) + "\\u2010-\\u201F\\u2022\\u20AC]"
 
 
 def present(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+#: The same as one text, each character and its form between a line break and a tab: a small literal in any plan.
+FOLD_LINES = "\n" + "".join(f"{c}\t{to}\n" for c, to in FOLDS.items())
+
+
+def _form(c: Column) -> Column:
+    at = F.instr(F.lit(FOLD_LINES), F.concat(F.lit("\n"), c, F.lit("\t")))
+    return F.when((c < "\x80") | (at == 0), c).otherwise(F.substring_index(F.substring(F.lit(FOLD_LINES), at + 3, F.lit(40)), "\n", 1))
+
+
 def folded(text: Column) -> Column:
-    """Without accents."""
-    return F.translate(text, ACCENTED, FOLDED)
+    """Without accents and combining marks, compatibility forms as the ASCII they stand for.
+
+    The text is bound once by a function over a list of one, so that plans don't hold it three times.
+    """
+
+    def plain(x: Column) -> Column:
+        rare = F.array_join(F.transform(F.split(F.regexp_replace(x, "\\p{M}+", ""), "(?s)(?!^)"), _form), "")
+        return F.when(x.rlike(RARE), rare).otherwise(F.translate(x, "".join(SIMPLE), "".join(SIMPLE.values())))
+
+    return F.get(F.transform(F.array(text), plain), F.lit(0))
 
 
 def squeezed(text: Column) -> Column:
@@ -43,8 +83,15 @@ def norm_dedupe(text: Column) -> Column:
 
 
 def norm_topic(text: Column) -> Column:
-    """Accents dropped, signs beyond ASCII deleted."""
-    return F.regexp_replace(folded(F.lower(present(text))), "[^\\x00-\\x7F]", "")
+    """Accents dropped, signs beyond ASCII deleted, all but letters and digits as blanks."""
+    ascii_only = F.lower(F.regexp_replace(folded(present(text)), "[^\\x00-\\x7F]", ""))
+    return F.trim(F.regexp_replace(ascii_only, "[^a-z0-9]+", " "))
+
+
+def clean_text(text: Column) -> Column:
+    """Without control characters, runs of blanks as one, trimmed."""
+    bare = F.regexp_replace(present(text), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
+    return F.regexp_replace(F.regexp_replace(bare, "[ \\t]+", " "), "(?U)^\\s+|\\s+$", "")
 
 
 # Words that tell the kind of employment and the language, in their order

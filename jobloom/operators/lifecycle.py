@@ -55,11 +55,33 @@ def classified(state: DataFrame, now: Column, days: int = 2) -> DataFrame:
     return state.withColumn("section", F.when(~seen, "").when(F.col("last_sent").isNull(), "new").when(reminder_due(F.col("last_sent"), now, days), "reminder").otherwise("open"))
 
 
-def marked(state: DataFrame, marks: DataFrame) -> DataFrame:
-    """Applies manual marks (uid, action, done): an action goes before the checkbox."""
-    joined = state.join(marks.select("uid", F.lower("action").alias("action"), "done"), "uid", "left")
-    to = F.when(F.col("action").isin("applied", "ignored"), F.col("action")).when(F.col("done"), "applied")
-    return joined.withColumn("status", F.coalesce(to, "status")).drop("action", "done")
+# Words that mark a posting in the tracker
+APPLIED_WORDS = ("applied", "apply", "done", "sent", "bewerbung", "gesendet")
+IGNORED_WORDS = ("ignored", "ignore", "skip", "no", "nein")
+EMPTY_BOX, TICKED_BOX = "\u2610", "\u2611"
+TICKED_WORDS = ("1", "true", "t", "yes", "y", "ja", "j", "x", TICKED_BOX)
+EMPTY_WORDS = ("0", "false", "no", "nein")
+
+
+def checkbox(value: Column) -> Column:
+    """An empty or a ticked box; other words stay."""
+    raw = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    return F.when((raw == "") | F.lower(raw).isin(*EMPTY_WORDS), EMPTY_BOX).when(F.lower(raw).isin(*TICKED_WORDS), TICKED_BOX).otherwise(raw)
+
+
+def marked(state: DataFrame, marks: DataFrame, stamp: Column | None = None) -> DataFrame:
+    """Applies manual marks (uid, action, done): words of the action go before the ticked box.
+
+    With ``applied_at`` in the state, a posting that becomes applied gets the stamp and one that becomes ignored none.
+    Of several marks of one uid any counts; a null uid meets nothing.
+    """
+    said = marks.groupBy(F.col("uid").alias("_uid")).agg(F.max(F.lower(F.trim("action"))).alias("_action"), F.max(checkbox(F.col("done"))).alias("_done"))
+    to = F.when(F.col("_action").isin(*APPLIED_WORDS), "applied").when(F.col("_action").isin(*IGNORED_WORDS), "ignored").when(F.col("_done") == TICKED_BOX, "applied")
+    joined = state.join(said, state["uid"] == said["_uid"], "left").withColumn("_to", to)
+    if "applied_at" in state.columns and stamp is not None:
+        changes = F.col("_to").isNotNull() & ~F.col("_to").eqNullSafe(F.col("status"))
+        joined = joined.withColumn("applied_at", F.when(changes, F.when(F.col("_to") == "applied", stamp)).otherwise(F.col("applied_at")))
+    return joined.withColumn("status", F.coalesce("_to", "status")).drop("_uid", "_action", "_done", "_to")
 
 
 def counts(state: DataFrame) -> DataFrame:

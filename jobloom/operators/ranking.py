@@ -14,6 +14,8 @@ SENIORITY = (
     "\\bsenior\\b", "\\bsr\\.?\\s", "\\blead\\b", "\\bprincipal\\b", "\\bhead\\s+of\\b", "\\bdirector\\b", "\\bchief\\b", "\\bvp\\b",
     "\\bvice\\s+president\\b", "\\bleiter(in)?\\b", "\\bleitung\\b", "\\bteam\\s*lead(er)?\\b", "\\barchitect\\b", "\\barchitekt\\b", "\\bc[ist]o\\b",
 )
+# Places that are clearly abroad
+FOREIGN = ("united states", "usa", "uk only", "london", "paris", "amsterdam", "berlin only", "münchen only")
 # Words too common for a fingerprint
 NOISE = ("ag", "gmbh", "sa", "ltd", "group", "und", "and", "der", "die", "das")
 
@@ -45,25 +47,27 @@ def seniority(title: Column) -> Column:
     return F.coalesce(*(F.nullif(F.lower(F.trim(F.regexp_extract(present(title), f"(?i)(?U){p}", 0))), F.lit("")) for p in SENIORITY))
 
 
-def hard_reason(title: Column, company: Column, text: Column, companies=(), keywords=(), languages=(), requirements=(), includes=(), foreign=(), location: Column | None = None) -> Column:
-    """The first rule that rejects, as category:hit; null where none does."""
-    low, firm = F.lower(present(text)), F.lower(present(company))
-    head = F.lower(present(title))
+def hard_reason(title: Column, company: Column, text: Column, companies=(), keywords=(), languages=(), requirements=(), includes=(), foreign=FOREIGN, location: Column | None = None, raw_title: Column | None = None) -> Column:
+    """The first rule that rejects, as category:hit; null where none does. Title and raw title are searched together,
+    for languages and requirements with the text behind them."""
+    firm = F.lower(present(company))
+    head = F.lower(F.concat_ws(" ", present(title), present(raw_title if raw_title is not None else title)))
+    whole = F.concat_ws(" ", head, F.lower(present(text)))
     rules = [F.concat(F.lit("seniority:"), seniority(title))]
-    for name, where, words in (("blacklist_company", firm, companies), ("blacklist_keyword", head, keywords), ("language_requirement", low, languages), ("requirements_blocklist", low, requirements)):
+    for name, where, words in (("blacklist_company", firm, companies), ("blacklist_keyword", head, tuple(dict.fromkeys(keywords))), ("language_requirement", whole, languages), ("requirements_blocklist", whole, requirements)):
         if words:
             rules.append(F.concat(F.lit(f"{name}:"), first_hit(where, words)))
     if includes:
-        rules.append(F.when(first_hit(low, includes).isNull(), F.lit("include_keyword:no_match")))
+        rules.append(F.when(first_hit(head, includes).isNull(), F.lit("include_keyword:no_match")))
     if foreign and location is not None:
         rules.append(F.concat(F.lit("location:foreign:"), first_hit(F.lower(present(location)), foreign)))
     return F.coalesce(*rules)
 
 
 def final_score(rule: Column, reviewed: Column, fallback: Column) -> Column:
-    """0.6 review + 0.4 rule score scaled from -30..80 to 0..100, half-even to one place; the rule alone on fallback."""
+    """0.6 rule score scaled from -30..80 to 0..100 and 0.4 review, half-even to one place; the rule alone on fallback."""
     scaled = (F.greatest(F.lit(-30.0), F.least(F.lit(80.0), rule.cast("double"))) + 30) / 110 * 100
-    return F.when(fallback, F.bround(scaled, 1)).otherwise(F.bround(0.6 * reviewed + 0.4 * scaled, 1))
+    return F.when(fallback, F.bround(scaled, 1)).otherwise(F.bround(0.6 * scaled + 0.4 * reviewed, 1))
 
 
 def fingerprint(title: Column, company: Column) -> Column:
@@ -120,5 +124,9 @@ def greedy_clusters(frame: DataFrame) -> DataFrame:
 
 
 def within_budget(frame: DataFrame, needs: str, order: str, most: int) -> DataFrame:
-    """Adds ``allowed``: whether a row that needs a fetch is among the first ``most`` that do."""
-    return frame.withColumn("allowed", F.col(needs) & (F.sum(F.col(needs).cast("int")).over(Window.orderBy(order)) <= most))
+    """Adds ``allowed``: whether a row that needs a fetch is among the first ``most`` that do.
+
+    The last of them comes from a bounded top-k, so no task orders all rows. Orders are distinct and not null.
+    """
+    cut = frame.filter(F.col(needs)).select(order).orderBy(order).limit(most).agg(F.max(order).alias("_cut"))
+    return frame.join(F.broadcast(cut)).withColumn("allowed", F.coalesce(F.col(needs) & (F.col(order) <= F.col("_cut")), F.lit(False))).drop("_cut")

@@ -65,16 +65,18 @@ def collector_reasons(postings: DataFrame, rules: Rules, minutes: DataFrame | No
     Only ord and key are shuffled to find duplicates.
     """
     own = backfilled(postings)
-    own = own.withColumn("_places", F.concat_ws("\n", *(norm_collector(F.col(c)) for c in ("location", "title", "raw_title"))))
-    own = own.withColumn("_all", norm_collector(F.concat_ws(" ", *(present(F.col(c)) for c in ("title", "raw_title", "company", "location", "link")))))
-    own = own.withColumn("_blob", norm_collector(F.concat_ws(" ", *(present(F.col(c)) for c in ("title", "raw_title", "location")))))
+    # Three normal forms: of each place by itself, of all fields, and of the fields that blocked terms are looked for in.
+    text = lambda *names: norm_collector(F.concat_ws(" ", *(present(F.col(c)) for c in names)))
+    own = own.withColumns({"_spot": text("location", "title", "raw_title"), "_all": text("title", "raw_title", "company", "location", "link"), "_blob": text("title", "raw_title", "location")})
+    lines = F.concat_ws("\u2028", *(present(F.col(c)) for c in ("location", "title", "raw_title")))
+    own = own.withColumn("_places", F.array_join(F.transform(F.split(lines, "\u2028"), norm_collector), "\n"))
     for name, frame in (("_blocked", blocked_pages), ("_dead", dead_links)):
         if frame is None:
             own = own.withColumn(name, F.lit(False))
         else:
             hits = frame.select(F.col("link").alias("_link")).distinct().withColumn(name, F.lit(True))
             own = own.join(hits, own["link"] == hits["_link"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_link")
-    remote = contains_any(norm_collector(F.concat_ws(" ", *(present(F.col(c)) for c in ("location", "title", "raw_title")))), rules.remote)
+    remote = contains_any(F.col("_spot"), rules.remote)
     near = contains_any(F.col("_places"), rules.search_places) if rules.search_places else F.lit(True)
     allowed = contains_any(F.col("_places"), rules.allowed_places) if rules.allowed_places else F.lit(True)
     steps = []
@@ -84,7 +86,7 @@ def collector_reasons(postings: DataFrame, rules: Rules, minutes: DataFrame | No
         steps.append((~contains_any(F.col("_places"), rules.hard_places), "hard_location"))
     travel = minutes is not None and rules.most_minutes > 0
     if travel:
-        own = own.join(minutes.select(F.col("place").alias("location"), F.col("minutes").alias("_minutes")), "location", "left")
+        own = own.join(minutes.groupBy(F.col("place").alias("location")).agg(F.min("minutes").alias("_minutes")), "location", "left")
         far = F.col("_minutes").isNull() | (F.col("_minutes") > rules.most_minutes)
         steps += [(~remote & (F.col("location") != "") & far, "transit_blocked"), (~remote & (F.col("location") == "") & ~(near | allowed), "location_unknown")]
     if rules.strict:
@@ -105,7 +107,7 @@ def collector_reasons(postings: DataFrame, rules: Rules, minutes: DataFrame | No
     own = own.join(first, own["_key"] == first["_of"], "left")
     late = F.when(F.col("ord") > F.col("_first"), "duplicate").when(F.col("_blocked"), "detail_blocklist")
     own = own.withColumn("near_place", near & F.lit(bool(rules.search_places))).withColumn("allowed_place", allowed & F.lit(bool(rules.allowed_places)))
-    return own.withColumn("reason", F.coalesce("_early", F.when(F.col("_key").isNotNull(), late))).drop("_places", "_all", "_blob", "_blocked", "_dead", "_early", "_key", "_of", "_first", "_minutes")
+    return own.withColumn("reason", F.coalesce("_early", F.when(F.col("_key").isNotNull(), late))).drop("_places", "_all", "_blob", "_spot", "_blocked", "_dead", "_early", "_key", "_of", "_first", "_minutes")
 
 
 def boosted(score: Column, location: Column, rules: Rules, allowed: Column, minutes: Column | None = None, most: int = 75, penalty: int = 5) -> Column:

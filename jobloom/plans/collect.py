@@ -138,6 +138,6 @@ def norm_key_counts(spark, sf_dir):
 
 @query("SELECT page_id, regexp_matches(lower(url), '/detail/|/job/|/jobad/|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|/[0-9]{6,}(/|$)') AS detail, NOT regexp_matches(url, '[0-9]') AS listing FROM pages")
 def link_classes(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.detail_link(F.col("url")).alias("detail"), reasons.listing_link(F.col("url")).alias("listing"))
+    return table(spark, sf_dir, "pages").select("page_id", html.plain_detail_link(F.col("url")).alias("detail"), reasons.listing_link(F.col("url")).alias("listing"))
 
 

@@ -59,7 +59,7 @@ def norm_dedupe(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.norm_dedupe(F.col("text"))).alias("normal"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g')) AS normal FROM documents")
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))) AS normal FROM documents")
 def norm_topic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.norm_topic(F.col("text"))).alias("normal"))
 
@@ -122,12 +122,17 @@ def title_score_match(spark, sf_dir):
 
 
 _FIRST = lambda col, words: "CASE " + " ".join(f"WHEN contains({col}, '{w}') THEN '{w}'" for w in words) + " END"
-_REASON = f"coalesce('blacklist_company:' || {_FIRST('source', ('src3', 'src7'))}, 'blacklist_keyword:' || {_FIRST('head', BLOCKED)}, 'requirements_blocklist:' || {_FIRST('low', ('api_key', 'password'))})"
-_REASONS = f"SELECT doc_id, source, {_REASON} AS reason FROM (SELECT doc_id, source, lower({SQL_TITLE}) AS head, lower(text) AS low FROM documents)"
+_TITLED = f"CASE doc_id % 9 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'Team Leader ' WHEN 2 THEN 'Head of ' ELSE '' END || {SQL_TITLE}"
+_SENIOR = "coalesce(" + ", ".join(f"nullif(lower(trim(regexp_extract(ttl, '(?i){p}'))), '')" for p in rank.SENIORITY) + ")"
+_REASON = f"coalesce('seniority:' || {_SENIOR}, 'blacklist_company:' || {_FIRST('source', ('src3', 'src7'))}, 'blacklist_keyword:' || {_FIRST('head', BLOCKED)}, 'language_requirement:' || {_FIRST('low', ('french', 'monde'))}, 'requirements_blocklist:' || {_FIRST('low', ('api_key', 'password'))}, CASE WHEN {_FIRST('head', ('e',))} IS NULL THEN 'include_keyword:no_match' END, 'location:foreign:' || {_FIRST('place', rank.FOREIGN)})"
+_REASONS = f"SELECT doc_id, source, {_REASON} AS reason FROM (SELECT doc_id, source, ttl, lower(ttl) AS head, lower(ttl) || ' ' || lower(text) AS low, CASE WHEN doc_id % 6 = 4 THEN 'greater london' ELSE '' END AS place FROM (SELECT *, {_TITLED} AS ttl FROM documents))"
 
 
 def _reasons(spark, sf_dir):
-    reason = rank.hard_reason(title(), F.col("source"), F.col("text"), companies=("src3", "src7"), keywords=BLOCKED, requirements=("api_key", "password"))
+    n = F.col("doc_id")
+    named = F.concat(F.when(n % 9 == 0, "Senior ").when(n % 9 == 1, "Team Leader ").when(n % 9 == 2, "Head of ").otherwise(""), title())
+    rules = {"companies": ("src3", "src7"), "keywords": BLOCKED, "languages": ("french", "monde"), "requirements": ("api_key", "password"), "includes": ("e",)}
+    reason = rank.hard_reason(named, F.col("source"), F.col("text"), location=F.when(n % 6 == 4, "Greater London").otherwise(""), **rules)
     return table(spark, sf_dir, "documents").select("doc_id", "source", reason.alias("reason"))
 
 
@@ -183,10 +188,10 @@ def capped_fetch_budget(spark, sf_dir):
     return rank.within_budget(need, "hit", "page_id", 50)
 
 
-@query("SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+'), lambda x: lower(x)))[1] AS email FROM documents WHERE contains(text, '@') AND len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+'))) = 1")
+@query("SELECT doc_id, coalesce(lower(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+')[1]), '') AS email FROM documents")
 def contact_email_pick(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@"))).select("doc_id", F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"), 0), lambda e: F.lower(e))).alias("found"))
-    return found.filter(F.size("found") == 1).select("doc_id", F.get("found", F.lit(0)).alias("email"))
+    first = F.regexp_extract("text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.when(F.contains("text", F.lit("@")), F.lower(first)), F.lit("")).alias("email"))
 
 
 _REVIEW = "SELECT d.doc_id, l.doc_id IS NULL AS fallback, (coalesce(l.quality, 0) * 70 + 15)::DOUBLE AS review, length(d.text) % 130 - 40 AS rule FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
@@ -210,7 +215,7 @@ def review_top30(spark, sf_dir):
     return own.join(F.broadcast(top), "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("reviewed"))
 
 
-@query(f"SELECT doc_id, CASE WHEN fallback THEN round_even(scaled, 1) ELSE round_even(0.6::DOUBLE * review + 0.4::DOUBLE * scaled, 1) END AS score_final FROM (SELECT *, (greatest(-30.0::DOUBLE, least(80.0::DOUBLE, rule::DOUBLE)) + 30) / 110 * 100 AS scaled FROM ({_REVIEW}))")
+@query(f"SELECT doc_id, CASE WHEN fallback THEN round_even(scaled, 1) ELSE round_even(0.6::DOUBLE * scaled + 0.4::DOUBLE * review, 1) END AS score_final FROM (SELECT *, (greatest(-30.0::DOUBLE, least(80.0::DOUBLE, rule::DOUBLE)) + 30) / 110 * 100 AS scaled FROM ({_REVIEW}))")
 def final_rank_blend(spark, sf_dir):
     return _reviews(spark, sf_dir).select("doc_id", rank.final_score(F.col("rule"), F.col("review"), F.col("fallback")).alias("score_final"))
 
@@ -294,10 +299,12 @@ def state_counts(spark, sf_dir):
     return life.counts(_state(spark, sf_dir))
 
 
-@query(f"SELECT s.uid, CASE WHEN s.uid::INT % 7 = 0 THEN 'ignored' WHEN s.uid::INT % 11 = 0 THEN 'applied' ELSE s.status END AS status FROM ({_STATE}) s")
+@query(f"SELECT s.uid, CASE WHEN s.uid::INT % 7 = 0 THEN 'ignored' WHEN s.uid::INT % 5 = 0 THEN 'applied' WHEN s.uid::INT % 11 = 0 THEN 'applied' ELSE s.status END AS status FROM ({_STATE}) s")
 def tracker_marks_apply(spark, sf_dir):
     own = _state(spark, sf_dir)
-    marks = own.filter("cast(uid as int) % 7 = 0 or cast(uid as int) % 11 = 0").select("uid", F.when(F.expr("cast(uid as int) % 7 = 0"), "Ignored").alias("action"), F.lit(True).alias("done"))
+    number = F.col("uid").cast("int")
+    action = F.when(number % 7 == 0, F.when(number % 2 == 0, " Skip ").otherwise("Ignored")).when(number % 5 == 0, "done").otherwise("later")
+    marks = own.filter((number % 7 == 0) | (number % 5 == 0) | (number % 11 == 0)).select("uid", action.alias("action"), F.when(number % 11 == 0, "ja").otherwise("nein").alias("done"))
     return life.marked(own, marks).select("uid", "status")
 
 

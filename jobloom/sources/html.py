@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jobloom.functions.text import present, squeezed
 from jobloom.functions.urls import bare_link
+from jobloom.sources.portals import detail_link, plain_detail_link
 
 ANCHOR = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 ORIGIN = "^([A-Za-z][A-Za-z0-9+.-]*:)//[^/?#]*"
-# Signs of a link to one posting
-DETAIL = ("/detail/", "/job/", "/jobad/", "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "/\\d{6,}(/|$)")
 # Links taken of a site
 SITE_LINKS = 25
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-POSTING = T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in ("title", "company", "location", "link", "date")]))
-LD_JSON = re.compile(r'<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>', re.S | re.I)
+SCRIPT = "(?is)<script[^>]+type=\"application/ld\\+json\"[^>]*>(.*?)</script>"
+#: How deep graphs may lie in graphs.
+GRAPHS = 4
 
 
 def unescaped(text: Column) -> Column:
@@ -31,10 +25,6 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def detail_link(link: Column) -> Column:
-    return F.lower(present(link)).rlike("|".join(DETAIL))
-
-
 def absolute(base: Column, href: Column) -> Column:
     """``href`` seen from ``base``; steps up with ".." are left as they are."""
     folder = F.concat(F.regexp_extract(base, ORIGIN, 0), F.regexp_extract(F.regexp_replace(F.regexp_replace(base, ORIGIN, ""), "[?#].*$", ""), "^(.*/)?", 0))
@@ -55,13 +45,13 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select(*rest, "at", unescaped(F.trim("link.href")).alias("href"), squeezed(unescaped(F.regexp_replace("link.text", "(?s)<[^>]*>", " "))).alias("text"))
 
 
-def link_rows(pages: DataFrame, page: str = "page_id", base: str = "url", domain: str = "", patterns: tuple[str, ...] = (), only_details: bool = True, limit: int | None = None) -> DataFrame:
+def link_rows(pages: DataFrame, page: str = "page_id", base: str = "url", domain: str = "", patterns: tuple[str, ...] = (), only_details: bool = True, limit: int | None = None, plain: bool = False) -> DataFrame:
     """Links of postings: page, at, title, link. Of equal bare links of a page the first stays, then ``limit`` a page."""
     rows = anchors(pages).filter((F.col("href") != "") & (F.length("text") >= 6)).withColumn("link", absolute(F.col(base), F.col("href")))
     if domain:
         rows = rows.filter(F.contains("link", F.lit(domain)))
     if only_details:
-        rows = rows.filter(detail_link(F.col("link")))
+        rows = rows.filter((plain_detail_link if plain else detail_link)(F.col("link")))
     if patterns:
         rows = rows.filter(F.col("link").rlike("|".join(f"(?:{p})" for p in patterns)))
     first = rows.groupBy(page, bare_link(F.col("link")).alias("bare")).agg(F.min_by(F.struct("at", "text", "link"), "at").alias("row"))
@@ -73,57 +63,58 @@ def link_rows(pages: DataFrame, page: str = "page_id", base: str = "url", domain
     return kept
 
 
-def _text(value) -> str:
-    return value.strip() if isinstance(value, str) else ""
-
-
-def _place(value) -> str:
-    value = value[0] if isinstance(value, list) and value else value
-    address = value.get("address") if isinstance(value, dict) else None
-    if not isinstance(address, dict):
-        return ""
-    parts = (address.get(f"address{p}") for p in ("Locality", "Region", "Country"))
-    return ", ".join(p for p in parts if isinstance(p, str) and p).strip()
-
-
-def postings_of(html: str | None) -> list[tuple]:
-    """Postings of a page's JSON-LD scripts, graphs opened breadth first; what is no JSON is skipped."""
-    found = []
-    for script in LD_JSON.findall(html or ""):
-        try:
-            data = json.loads(script.strip())
-        except ValueError:
-            continue
-        queue = deque(data if isinstance(data, list) else [data])
-        while queue:
-            item = queue.popleft()
-            if not isinstance(item, dict):
-                continue
-            if isinstance(item.get("@graph"), list):
-                queue.extend(item["@graph"])
-                continue
-            kinds = item.get("@type")
-            if "JobPosting" not in (kinds if isinstance(kinds, list) else [kinds]):
-                continue
-            firm = item.get("hiringOrganization")
-            name, same = (_text(firm.get("name")), _text(firm.get("sameAs"))) if isinstance(firm, dict) else (_text(firm), "")
-            urls = item.get("url")
-            url = next((u for u in urls if isinstance(u, str)), "") if isinstance(urls, list) else urls
-            found.append((_text(item.get("title")) or _text(item.get("jobTitle")), name, _place(item.get("jobLocation")), _text(url) or same, _text(item.get("datePosted"))))
+def _member(item: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(item, path, kind)
+
+
+def _said(item: Column, path: str) -> Column:
+    """A member that is a text, trimmed; empty for objects, lists and what isn't there."""
+    value = F.trim(present(_member(item, path)))
+    return F.when(value.rlike("^[\\[{]"), "").otherwise(value)
+
+
+def _graph(item: Column) -> Column:
+    return _member(item, "$['@graph']", "array<variant>")
+
+
+def _unfolded(value: Column) -> Column:
+    """The objects of a parsed script: its own, then those of graphs, level by level."""
+    level = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    found = F.filter(level, lambda x: _graph(x).isNull())
+    for _ in range(GRAPHS):
+        level = F.flatten(F.transform(F.filter(level, lambda x: _graph(x).isNotNull()), _graph))
+        found = F.concat(found, F.filter(level, lambda x: _graph(x).isNull()))
     return found
 
 
-@F.pandas_udf(POSTING)
-def _postings(html: pd.Series) -> pd.Series:
-    names = POSTING.elementType.names
-    return html.map(lambda page: [dict(zip(names, row, strict=True)) for row in postings_of(page)])
+def _is_posting(item: Column) -> Column:
+    kinds = F.coalesce(_member(item, "$['@type']", "array<string>"), F.array(_member(item, "$['@type']")))
+    return F.coalesce(F.array_contains(kinds, "JobPosting"), F.lit(False))
 
 
-def json_ld_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row a JSON-LD posting with a title and a detail link; pages without such scripts never reach Python."""
-    own = pages.filter(F.contains(F.lower(html), F.lit("ld+json")))
+def json_ld_rows(pages: DataFrame, html: str = "html", only_details: bool = True) -> DataFrame:
+    """One row a JSON-LD posting with a title and a link to one posting: the page's columns, at, title, company,
+    location, link, date. Scripts that are no JSON are skipped, graphs opened level by level."""
     rest = [c for c in pages.columns if c != html]
-    return own.select(*rest, F.posexplode(_postings(html)).alias("at", "row")).select(*rest, "at", "row.*").filter((F.col("title") != "") & detail_link(F.col("link")))
+    scripts = F.transform(F.regexp_extract_all(html, F.lit(SCRIPT), 1), lambda s: F.try_parse_json(F.trim(s)))
+    found = F.flatten(F.transform(F.filter(scripts, lambda v: v.isNotNull()), _unfolded))
+    items = pages.filter(F.contains(F.lower(html), F.lit("ld+json"))).select(*rest, F.posexplode(F.filter(found, _is_posting)).alias("at", "item"))
+    item = F.col("item")
+    place = lambda name: F.coalesce(F.nullif(_said(item, f"$.jobLocation[0].address.{name}"), F.lit("")), F.nullif(_said(item, f"$.jobLocation.address.{name}"), F.lit("")))
+    links = F.filter(F.coalesce(_member(item, "$.url", "array<string>"), F.array(_member(item, "$.url"))), lambda u: F.trim(present(u)) != "")
+    first = lambda *options: F.coalesce(*(F.nullif(o, F.lit("")) for o in options), F.lit(""))
+    rows = items.select(
+        *rest,
+        "at",
+        first(_said(item, "$.title"), _said(item, "$.jobTitle")).alias("title"),
+        first(_said(item, "$.hiringOrganization.name"), _said(item, "$.hiringOrganization")).alias("company"),
+        F.concat_ws(", ", place("addressLocality"), place("addressRegion"), place("addressCountry")).alias("location"),
+        first(F.trim(F.get(links, F.lit(0))), _said(item, "$.hiringOrganization.sameAs")).alias("link"),
+        _said(item, "$.datePosted").alias("date"),
+    ).filter(F.col("title") != "")
+    if only_details:
+        rows = rows.filter(detail_link(F.col("link")))
+    return rows
 
 
 def rows_or_links(pages: DataFrame, page: str = "page_id", **options) -> DataFrame:
