@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -21,6 +22,8 @@ LONGEST_KEPT = 64
 _ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS_THAT_GROUP = re.compile(r"\s\s\s|\s\s\Z")
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: The end of a line and the beginning of the next: the line break is an id of its own, what follows has no blank before it.
+_JOINED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?)\n([A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?)")
 
 
 def _byte_alphabet() -> list[str]:
@@ -40,28 +43,32 @@ def _library(path: str):
 class Pieces(dict):
     """Ids, as little-endian unsigned 32-bit bytes, by piece; a missing piece is encoded on first use."""
 
-    def __init__(self, library, lead: str, words: bool):
+    def __init__(self, library, lead: str, words: bool, bare: Pieces | None = None):
         super().__init__()
         self.library, self.lead, self.words = library, lead, words
         self.alphabet = _byte_alphabet()
         self.before: dict[str, bytes] = {}
+        self.bare = self if bare is None else bare
+        self.line = self.whole("\n")
+        self.marks = {mark: self._plain(mark) for mark in ".,"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _plain(self, text: str) -> list[int]:
-        mapped = "".join([self.alphabet[b] for b in text.encode()])
-        return [t.id for t in self.library.model.tokenize(mapped)]
+    def _plain(self, text: str) -> bytes:
+        # Of ASCII only letters, full stops and commas come here, which stand for themselves, and the blank before them.
+        mapped = text.replace(" ", self.alphabet[32]) if text.isascii() else "".join([self.alphabet[b] for b in text.encode()])
+        return struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.library.model.tokenize(mapped)]) else b""
 
     def __missing__(self, piece: str) -> bytes:
-        if (encoded := self.before.get(piece)) is not None:
-            pass
-        elif simple := _SIMPLE.fullmatch(piece):
-            word = simple[1].lower() if self.words else self.lead + simple[1]
-            ids = self._plain(word) + (self._plain(simple[2]) if simple[2] else [])
-            encoded = np.array(ids, dtype="<u4").tobytes()
-        else:
-            encoded = self.whole(self.lead + piece)
+        encoded = self.before.get(piece)
+        if encoded is None:
+            if not self.words and (joined := _JOINED.fullmatch(piece)):
+                return self[joined[1]] + self.line + self.bare[joined[2]]
+            if simple := _SIMPLE.fullmatch(piece):
+                encoded = self[simple[1]] + self.marks[simple[2]] if simple[2] else self._plain(piece.lower() if self.words else self.lead + piece)
+            else:
+                encoded = self.whole(self.lead + piece)
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= MOST_KEPT:
                 self.before = dict(self)
@@ -88,7 +95,8 @@ class ByteEncoder:
 
     def __init__(self, path: str):
         library = _library(path)
-        self.first, self.later = Pieces(library, "", False), Pieces(library, " ", False)
+        self.first = Pieces(library, "", False)
+        self.later = Pieces(library, " ", False, self.first)
         self.special = [t.content for t in self.first.library.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
