@@ -43,7 +43,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
     import zstandard
 
     n = F.length("text")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(n > 0)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") > 0)
     # Ids are chosen before any text moves; of a long text only a slice at a seeded place does.
     chosen = settled(texts.select("id", seeded_key(seed, F.col("id")).alias("key")).orderBy("key", "id").limit(sample_docs).select("id").distinct())
     start = F.when(n > sample_chars, F.pmod(F.xxhash64("id"), n - sample_chars)).otherwise(0).cast("int")

@@ -43,9 +43,9 @@ def _library(path: str):
 class Pieces(dict):
     """Ids, as little-endian unsigned 32-bit bytes, by piece; a missing piece is encoded on first use."""
 
-    def __init__(self, library, lead: str, words: bool, bare: Pieces | None = None):
+    def __init__(self, library, lead: str, words: bool, bare: Pieces | None = None, most: int = MOST_KEPT):
         super().__init__()
-        self.library, self.lead, self.words = library, lead, words
+        self.library, self.lead, self.words, self.most = library, lead, words, most
         self.alphabet = _byte_alphabet()
         self.before: dict[str, bytes] = {}
         self.bare = self if bare is None else bare
@@ -70,7 +70,7 @@ class Pieces(dict):
             else:
                 encoded = self.whole(self.lead + piece)
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= MOST_KEPT:
+            if len(self) >= self.most:
                 self.before = dict(self)
                 self.clear()
             self[piece] = encoded
@@ -81,7 +81,7 @@ class WordEncoder:
     """For vocabularies that drop blanks: pieces are what stands between blanks."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(_library(path), "", True)
+        self.pieces = Pieces(_library(path), "", True, most=MOST_KEPT * 16 // 10)
         self.special = [t.content for t in self.pieces.library.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
