@@ -117,6 +117,58 @@ def json_ld_rows(pages: DataFrame, html: str = "html", only_details: bool = True
     return rows
 
 
+# Members of a posting that make its text, and parts of a page that are none of it
+LD_TEXTS = ("title", "description", "qualifications", "skills", "experienceRequirements", "responsibilities")
+LD_PLACES = ("addressLocality", "addressRegion", "addressCountry")
+NOISE = "(?is)<(header|nav|footer|aside|form|noscript|svg)[^>]*>.*?</\\1>"
+MAIN = "(?is)<(main|article)[^>]*>(.*?)</\\1>"
+
+
+def _text_member(item: Column, path: str) -> Column:
+    """A member that is a text and not blank, as it stands; null for all else."""
+    value = F.when(F.schema_of_variant(_member(item, path, "variant")) == "STRING", _member(item, path))
+    return F.when(F.trim(value) != "", value)
+
+
+def _posting_text(item: Column) -> Column:
+    places = [F.coalesce(_text_member(item, f"$.jobLocation[0].address.{p}"), _text_member(item, f"$.jobLocation.address.{p}")) for p in LD_PLACES]
+    return F.concat_ws(" ", *(_text_member(item, f"$.{name}") for name in LD_TEXTS), _text_member(item, "$.hiringOrganization.name"), *places)
+
+
+def detail_text(html: Column) -> Column:
+    """What a detail page says of its posting: the texts of JSON-LD postings, else of its main parts, else of the page.
+
+    Empty for null and empty pages; scripts that are no JSON count as none.
+    """
+    page = present(html)
+    scripts = F.transform(F.regexp_extract_all(F.when(F.contains(F.lower(page), F.lit("ld+json")), page), F.lit(SCRIPT), 1), lambda s: F.try_parse_json(F.trim(s)))
+    postings = F.filter(F.flatten(F.transform(F.filter(scripts, lambda v: v.isNotNull()), _unfolded)), _is_posting)
+    structured = F.array_join(F.filter(F.transform(postings, _posting_text), lambda x: x != ""), " ")
+    bare = F.regexp_replace(F.regexp_replace(page, "(?is)<(script|style)[^>]*>.*?</\\1>", " "), NOISE, " ")
+    parts = F.regexp_extract_all(bare, F.lit(MAIN), 2)
+    shown = unescaped(F.regexp_replace(F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(bare), "(?s)<[^>]+>", " "))
+    return F.coalesce(F.when(F.trim(structured) != "", structured), shown)
+
+
+def paged_rows(rows: DataFrame, pages: DataFrame, limit: int | None = SITE_LINKS) -> DataFrame:
+    """Rows (site, page, at, link) of fetched ``pages`` (site, page, failed) up to a site's first page without rows.
+
+    A failed page is passed over. Of equal bare links of a site the first stays, then ``limit`` a site; null or no
+    positive number is no limit. Null sites are a site of their own, links without a text are kept as the empty link.
+    """
+    from pyspark.sql import Window
+
+    counts = rows.groupBy(F.col("site").alias("s"), F.col("page").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    read = pages.join(counts, F.col("site").eqNullSafe(F.col("s")) & (F.col("page") == F.col("p")), "left")
+    ends = read.filter(F.col("n").isNull() & ~F.col("failed")).groupBy(F.col("site").alias("s")).agg(F.min("page").alias("end"))
+    before = rows.join(ends, F.col("site").eqNullSafe(F.col("s")), "left").filter(F.col("end").isNull() | (F.col("page") < F.col("end"))).drop("s", "end")
+    first = before.groupBy("site", bare_link(present(F.col("link"))).alias("bare")).agg(F.min_by(F.struct("page", "at", "link"), F.struct("page", "at")).alias("row"))
+    kept = first.select("site", "row.*")
+    if limit is None or limit <= 0:
+        return kept
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("page", "at"))).filter(F.col("n") <= limit).drop("n")
+
+
 def rows_or_links(pages: DataFrame, page: str = "page_id", **options) -> DataFrame:
     """A page's JSON-LD rows if it has any, else its link rows: page, at, title, link."""
     structured = json_ld_rows(pages).select(page, "at", "title", "link")
