@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import settled, slices, small_batches, whole_text
-from jobloom.llm.tokens import ByteEncoder, encoder
+from jobloom.llm.tokens import MOST_KEPT, ByteEncoder, encoder
 
 #: Ranges of the hash in which pieces of one length are ranked.
 RANGES = 1024
@@ -164,14 +164,17 @@ def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, in
     return sorted((fixed + best_fit_falling(remain, capacity)).items(), reverse=True)
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian u32)."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_kept: int = MOST_KEPT) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian u32).
+
+    ``most_kept`` bounds what a worker keeps of encoded words; it changes memory and time, never ids.
+    """
     small_batches(docs)
     end = struct.pack("<I", end_id)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ByteEncoder, vocabulary)
+        encode = encoder(ByteEncoder, vocabulary, most_kept)
         for batch in slices(batches, "text", 4 << 20):
             rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -238,10 +241,10 @@ def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.select(*[f.name for f in kept], "rank").mapInArrow(find, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_kept: int = MOST_KEPT) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
-    return place(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids), capacity).select(*names)
+    return place(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids, most_kept), capacity).select(*names)
 
 
 def sequences(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, **columns) -> DataFrame:

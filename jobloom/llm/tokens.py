@@ -93,10 +93,10 @@ class WordEncoder:
 class ByteEncoder:
     """For vocabularies that keep blanks: a piece takes along the space before it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_KEPT):
         library = _library(path)
-        self.first = Pieces(library, "", False)
-        self.later = Pieces(library, " ", False, self.first)
+        self.first = Pieces(library, "", False, most=most)
+        self.later = Pieces(library, " ", False, self.first, most)
         self.special = [t.content for t in self.first.library.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
@@ -106,11 +106,12 @@ class ByteEncoder:
         return (self.first[head] if head else b"") + b"".join(map(self.later.__getitem__, rest))
 
 
-_ENCODERS: dict[tuple[type, str], object] = {}
+_ENCODERS: dict[tuple, object] = {}
 
 
-def encoder(kind: type, path: str):
-    """The worker's own encoder of this kind and file."""
-    if (kind, path) not in _ENCODERS:
-        _ENCODERS[kind, path] = kind(path)
-    return _ENCODERS[kind, path]
+def encoder(kind: type, path: str, *bounds: int):
+    """The worker's own encoder of this kind, file and bounds."""
+    key = (kind, path, *bounds)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = kind(path, *bounds)
+    return _ENCODERS[key]

@@ -317,6 +317,18 @@ def test_mixed_rows_repeat(spark, table):
     assert times == Counter({r["doc_id"]: r["times"] for r in result(spark, table, "op4_water_filling") if r["times"]})
 
 
+def test_ids_do_not_depend_on_what_is_kept():
+    from jobloom.llm.queries import BYTE_VOCABULARY, vocabulary_path
+    from jobloom.llm.tokens import ByteEncoder
+
+    path = vocabulary_path(BYTE_VOCABULARY)
+    small, large = ByteEncoder(path, 2), ByteEncoder(path)
+    text = "One two, three.\nFour five\nsix  seven äöü 12 one two. " * 3 + "end"
+    whole = np.array(large.first.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert small(text) == large(text) == whole
+    assert max(map(len, (small.first, small.first.before, small.later, small.later.before))) <= 2
+
+
 def test_packing(spark, table):
     from tokenizers import Tokenizer
 
