@@ -74,3 +74,27 @@ def html_body(rows: DataFrame, most: int = 200) -> DataFrame:
         F.lit("</ul><h3>OPEN REMINDERS</h3><ul>"), section("reminder", "Keine offenen Erinnerungen."), F.lit("</ul>"), note, F.lit("</body></html>"),
     )
     return counts.join(F.broadcast(shown)).select(body.alias("body"))
+
+
+# The weekly counts with their names, and what is said if one is missing
+WEEKLY = (("total_searched", "Gesuchte Jobs", "0"), ("new_jobs", "Neue Jobs gefunden", "0"), ("applications_sent", "Bewerbungen gesendet", "0"), ("errors", "Fehler aufgetreten", "0"), ("last_search", "Letzte Suche", "N/A"))
+SENT_BY = "<p><em>Diese E-Mail wurde automatisch vom Job-Finder generiert.</em></p></body></html>"
+
+
+def weekly_body(stats: DataFrame) -> Column:
+    """The body of a weekly summary for rows with the counts of ``WEEKLY``; without blanks between its elements."""
+    said = lambda name, default: F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in stats.columns else F.lit(default)
+    items = [F.concat(F.lit(f"<li><strong>{label}:</strong> "), said(name, default), F.lit("</li>")) for name, label, default in WEEKLY]
+    head = "<html><body><h2>Wöchentliche Job-Suche Zusammenfassung</h2><p>Hier ist Ihre wöchentliche Übersicht der Job-Suche Aktivitäten:</p><ul>"
+    return F.concat(F.lit(head), *items, F.lit("</ul>" + SENT_BY))
+
+
+def error_body(kind: Column, message: Column, trace: Column) -> Column:
+    """The body of an error's mail, with its trace if there is one; without blanks between its elements."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    style = "background-color: #f5f5f5; padding: 10px; border: 1px solid #ccc;"
+    shown = F.when(trace != "", F.concat(F.lit(f'<p><strong>Traceback:</strong></p><pre style="{style}">'), trace, F.lit("</pre>"))).otherwise("")
+    return F.concat(
+        F.lit('<html><body><h2 style="color: red;">Kritischer Fehler im Job-Finder</h2><p><strong>Fehlertyp:</strong> '), text(kind), F.lit("</p><p><strong>Nachricht:</strong> "), text(message),
+        F.lit("</p>"), shown, F.lit("<p>Bitte überprüfen Sie die Logs für weitere Details.</p>" + SENT_BY),
+    )

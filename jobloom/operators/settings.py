@@ -103,3 +103,38 @@ def parted(rows: DataFrame, kept: Column) -> tuple[DataFrame, DataFrame]:
     """The rows that are kept and the rest, where the condition is false or null."""
     holds = F.coalesce(kept, F.lit(False))
     return rows.filter(holds), rows.filter(~holds)
+
+
+def ruled_out_by(profile: Column) -> Column:
+    """``ruled_out`` for the text of a profile's JSON file; no terms where it is null, broken or an empty object."""
+    read = F.try_parse_json(profile)
+    member = lambda path, kind="string": F.try_variant_get(read, path, kind)
+    terms = ruled_out(member("$.education.level"), member("$.education.degree"), member("$.experience_years", "int"), member("$.driving_license", "boolean"))
+    said = F.regexp_replace(profile, "\\s", "").isin("{}", "[]", "null", "0", "false", '""')
+    return F.when(read.isNotNull() & ~said, terms).otherwise(F.array().cast("array<string>"))
+
+
+KEY = "^([^=\\s#]+)\\s*="
+
+
+def env_values(lines: DataFrame) -> DataFrame:
+    """key, value of lines (at, line) like ``KEY = value``: the last line of a key counts, quotes and comments go."""
+    bare = F.regexp_replace(F.col("line"), "^\\s*(export\\s+)?", "")
+    own = F.trim(F.regexp_replace(bare, KEY, ""))
+    quoted = F.regexp_extract(own, "^(['\"])(.*?)\\1", 2)
+    value = F.when(own.rlike("^(['\"]).*?\\1"), quoted).otherwise(F.trim(F.regexp_replace(own, "(^|\\s+)#.*$", "")))
+    rows = lines.filter(bare.rlike(KEY)).select("at", F.regexp_extract(bare, KEY, 1).alias("key"), value.alias("value"))
+    return rows.groupBy("key").agg(F.max_by("value", "at").alias("value"))
+
+
+def env_updated(lines: DataFrame, updates: DataFrame) -> DataFrame:
+    """Lines (at, line) with the updates (ord, key, value) in place, new keys behind them; ``part`` and ``at`` order them.
+
+    Every line of a key gets the value. Of repeated updates the last counts; those without a key or a value are none.
+    """
+    wanted = updates.filter("key is not null and value is not null").groupBy("key").agg(F.max_by("value", "ord").alias("value"), F.min("ord").cast("long").alias("ord"))
+    keyed = lines.select(F.col("at").cast("long").alias("at"), "line", F.nullif(F.regexp_extract("line", KEY, 1), F.lit("")).alias("key"))
+    line = F.coalesce(F.concat(F.regexp_extract("line", KEY, 0), F.col("value")), F.col("line"))
+    kept = keyed.join(wanted, "key", "left").select(F.lit(0).alias("part"), "at", line.alias("line"))
+    added = wanted.join(keyed.select("key").distinct(), "key", "left_anti")
+    return kept.unionByName(added.select(F.lit(1).alias("part"), F.col("ord").alias("at"), F.concat_ws("=", "key", "value").alias("line")))

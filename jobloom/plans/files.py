@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobloom.operators import settings
+from jobloom.operators import digest, settings
+from jobloom.plans import daily
 from jobloom.plans.parity import query, table
 from jobloom.sources import contacts, files, html
 
@@ -109,3 +110,50 @@ def application_document(spark, sf_dir):
     own = table(spark, sf_dir, "customer").select(n.alias("uid"), F.when(n % 4 == 0, F.concat(F.lit("./out/x/../a"), n, F.lit(".PDF"))).otherwise("out/../secret.pdf").alias("application_doc_archived"), F.when(n % 4 != 3, F.concat(F.lit("04_Versendete_Bewerbungen/b"), n, F.lit(".docx"))).alias("application_doc"))
     there = own.select(F.concat(F.lit("out/a"), "uid", F.lit(".PDF")).alias("path")).unionByName(own.filter("uid % 2 = 0").select(F.col("application_doc").alias("path"))).unionByName(own.select(F.lit("secret.pdf").alias("path")))
     return files.with_document(own, there).select("uid", "document")
+
+
+@query(f"SELECT n_nationkey, CASE WHEN n_nationkey % 4 > 1 THEN '' ELSE (SELECT string_agg(DISTINCT term, '|' ORDER BY term) FROM ({_TERMS}) WHERE kind = 1 OR kind = 4 OR (kind = 0 AND n_nationkey % 4 = 0) OR (kind = 2 AND n_nationkey < 3) OR (kind = 3 AND n_nationkey < 2)) END AS terms FROM nation")
+def profile_file_blocklist(spark, sf_dir):
+    n = F.col("n_nationkey")
+    text = F.when(n % 4 == 2, "{broken").when(n % 4 == 3, " { } ").otherwise(F.concat(F.lit('{"education": {"level": "'), F.when(n % 4 == 0, "Vocational").otherwise("uni"), F.lit('", "degree": "BSc"}, "experience_years": "'), n, F.lit('"}')))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(settings.ruled_out_by(text), "|").alias("terms"))
+
+
+@query("SELECT 0 AS part, p_partkey AS \"at\", CASE p_partkey % 3 WHEN 0 THEN '# ' || p_name WHEN 1 THEN 'K' || p_partkey || ' =' || CASE WHEN p_partkey % 2 = 0 THEN 'new' ELSE ' old' END ELSE 'X=' || p_size END AS line FROM part UNION ALL SELECT 1, p_partkey, 'K' || p_partkey || '=new' FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 1")
+def env_lines_updated(spark, sf_dir):
+    n = F.col("p_partkey")
+    own = table(spark, sf_dir, "part").select(n.alias("at"), F.when(n % 3 == 0, F.concat(F.lit("# "), "p_name")).when(n % 3 == 1, F.concat(F.lit("K"), n, F.lit(" = old"))).otherwise(F.concat(F.lit("X="), "p_size")).alias("line"))
+    return settings.env_updated(own, table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(n.alias("ord"), F.concat(F.lit("K"), n).alias("key"), F.lit("new").alias("value")))
+
+
+@query("SELECT max(p_partkey) FILTER (p_partkey % 4 = 0)::VARCHAR AS a, 'x # y' AS b, '' AS c FROM part")
+def env_values_read(spark, sf_dir):
+    n = F.col("p_partkey")
+    line = F.when(n % 4 == 0, F.concat(F.lit("export A="), n, F.lit(" # note"))).when(n % 4 == 1, "B = 'x # y' z").when(n % 4 == 2, "C=").otherwise("#D=1")
+    values = settings.env_values(table(spark, sf_dir, "part").select(n.alias("at"), line.alias("line")))
+    return values.agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k.lower()) for k in "ABC"))
+
+
+@query("""SELECT p_partkey AS "at", '03.04.2024,"' || p_brand || '","' || p_name || '","EMAIL","","VERSENDET",""' AS line FROM part UNION ALL SELECT -1, 'Datum,Firma,Position,Portal,Link,Status,Notizen'""")
+def application_list(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("company"), F.col("p_name").alias("position"), F.lit("EMAIL").alias("portal"), F.lit(None).cast("string").alias("link"), F.lit("VERSENDET").alias("status"))
+    return files.with_header(files.application_lines(own, F.lit("03.04.2024")))
+
+
+@query(f"""SELECT (SELECT count(*) FROM documents) AS scraped, NULL::BIGINT AS after_hard_filter, count(*) FILTER (outcome <> 'phrase') AS after_detail_filter, (SELECT count(*) FROM ({daily._REVIEWED}) WHERE rejected IS NULL) AS after_llm, (SELECT count(*) FROM ({daily._BEST})) AS digested,
+  count(*) FILTER (outcome = 'skipped_domain') AS detail_skipped_domain, count(*) FILTER (outcome = 'fetch_failed') AS detail_fetch_failed, count(*) FILTER (outcome = 'cap_reached') AS detail_cap_reached, count(*) FILTER (outcome = 'phrase') AS detail_phrase_hits, true AS email_sent, 3 AS email_new_jobs, 2 AS email_reminders, 'now' AS finished_at FROM ({daily._OUTCOMES})""")
+def pipeline_summary(spark, sf_dir):
+    mail = table(spark, sf_dir, "region").limit(1).select(F.lit(True).alias("sent"), F.lit(3).alias("new"), F.lit(2).alias("reminders"))
+    return files.run_summary(daily.stage_funnel(spark, sf_dir), daily.detail_filter_stats(spark, sf_dir), mail, F.lit("now"))
+
+
+_LI = "'<li><strong>{}:</strong> ' || {} || '</li>'"
+_WEEK = " || ".join(_LI.format(label, value) for (_, label, _), value in zip(digest.WEEKLY, ("n_nationkey", "coalesce(nullif(n_regionkey, 0)::VARCHAR, '0')", "'0'", "'0'", "n_name"), strict=True))
+
+
+@query(f"""SELECT n_nationkey, '<html><body><h2>Wöchentliche Job-Suche Zusammenfassung</h2><p>Hier ist Ihre wöchentliche Übersicht der Job-Suche Aktivitäten:</p><ul>' || {_WEEK} || '</ul>{digest.SENT_BY}' AS weekly,
+  '<html><body><h2 style="color: red;">Kritischer Fehler im Job-Finder</h2><p><strong>Fehlertyp:</strong> ' || n_name || '</p><p><strong>Nachricht:</strong> m</p>' || CASE WHEN n_nationkey % 2 = 0 THEN '<p><strong>Traceback:</strong></p><pre style="background-color: #f5f5f5; padding: 10px; border: 1px solid #ccc;">t' || n_nationkey || '</pre>' ELSE '' END || '<p>Bitte überprüfen Sie die Logs für weitere Details.</p>{digest.SENT_BY}' AS error FROM nation""")
+def weekly_and_error_bodies(spark, sf_dir):
+    n = F.col("n_nationkey")
+    own = table(spark, sf_dir, "nation").select(n, n.alias("total_searched"), F.nullif("n_regionkey", F.lit(0)).alias("new_jobs"), F.col("n_name").alias("last_search"))
+    return own.select(n, digest.weekly_body(own).alias("weekly"), digest.error_body(F.col("last_search"), F.lit("m"), F.when(n % 2 == 0, F.concat(F.lit("t"), n))).alias("error"))

@@ -88,3 +88,41 @@ def test_documents(spark):
 def test_career_pages(spark):
     rows = spark.createDataFrame([(1, ["https://www.my-firm.ch/a", "https://b.ch"], ["", None]), (2, ["https://b.ch"], ["B AG", "C"]), (3, [], None), (4, None, ["x"])], "id int, urls array<string>, names array<string>")
     assert sorted((r["id"], r["at"], r["company"]) for r in settings.career_pages(rows).collect()) == [(1, 0, "My Firm"), (1, 1, "B"), (2, 0, "B AG")]
+
+
+def test_profiles_of_files(spark):
+    given = [None, "", "{broken", "{}", '{"education": null}', '{"education": {"level": " NONE ", "degree": "BSc"}, "experience_years": 5, "driving_license": true}', '{"education": {"degree": "BSc"}, "experience_years": "2", "driving_license": true}']
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").orderBy("i")
+    got = [set(r[0]) for r in rows.select(settings.ruled_out_by(F.col("x"))).collect()]
+    many = set(settings.MANY_YEARS)
+    assert got[:4] == [set()] * 4
+    assert got[4] == many.union(settings.DEGREE, settings.THREE_YEARS, settings.TWO_YEARS, settings.FIELD, settings.DRIVING)
+    assert got[5:] == [many.union(settings.DEGREE), many.union(settings.THREE_YEARS)]
+
+
+def test_env_lines(spark):
+    lines = spark.createDataFrame([(0, "# A=0"), (1, "A = 1"), (2, "B='x # y' # z"), (3, ""), (4, "A=2 # n"), (5, None), (6, "C=a#b")], "at long, line string")
+    updates = spark.createDataFrame([(0, "A", "0"), (1, "A", "9"), (2, "D", "$1"), (3, None, "x"), (4, "E", None)], "ord long, key string, value string")
+    assert {r["key"]: r["value"] for r in settings.env_values(lines).collect()} == {"A": "2", "B": "x # y", "C": "a#b"}
+    got = [r["line"] for r in settings.env_updated(lines, updates).orderBy("part", "at").collect()]
+    assert got == ["# A=0", "A =9", "B='x # y' # z", "", "A=9", None, "C=a#b", "D=$1"]
+    assert [r["line"] for r in settings.env_updated(lines.limit(0), updates).orderBy("at").collect()] == ["A=9", "D=$1"]
+
+
+def test_list_of_applications(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 'A "B"', "P", "EMAIL", None, "VERSENDET")], "ord long, company string, position string, portal string, link string, status string")
+    lines = files.application_lines(rows, F.lit("01.02.2024"))
+    found = [r["line"] for r in files.with_header(lines).orderBy("at").collect()]
+    assert found == [files.APPLICATIONS, '01.02.2024,"A "B"","P","EMAIL","","VERSENDET",""']
+    assert files.with_header(files.with_header(lines)).count() == 2
+    files.write_keyed(rows, f"{tmp_path}/keyed", "ord")
+    assert spark.read.json(f"{tmp_path}/keyed").count() == 1
+
+
+def test_tracker_as_csv(spark, tmp_path):
+    columns = ("uid", "status", "applied_at", "title", "company", "location", "source", "link", "canonical_url", "first_seen_at", "last_seen_at", "last_sent_at", "score", "match")
+    state = spark.createDataFrame([("1", "applied", None, 'a "b"', *[None] * 10), ("2", "closed", *[None] * 12)], ", ".join(f"{c} string" for c in columns))
+    manual = spark.createDataFrame([("1", "", "", "n")], "uid string, erledigt string, aktion string, notes string")
+    files.write_tracker(state, manual, f"{tmp_path}/tracker")
+    back = spark.read.csv(f"{tmp_path}/tracker", header=True, escape='"').collect()
+    assert [(r["uid"], r["title"], r["aktion"], r["notes"]) for r in back] == [("1", 'a "b"', "applied", "n")]
