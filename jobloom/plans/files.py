@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobloom.operators import digest, settings
+from jobloom.operators import digest, settings, stages
 from jobloom.plans import daily
 from jobloom.plans.parity import query, table
 from jobloom.sources import contacts, files, html
@@ -157,3 +157,10 @@ def weekly_and_error_bodies(spark, sf_dir):
     n = F.col("n_nationkey")
     own = table(spark, sf_dir, "nation").select(n, n.alias("total_searched"), F.nullif("n_regionkey", F.lit(0)).alias("new_jobs"), F.col("n_name").alias("last_search"))
     return own.select(n, digest.weekly_body(own).alias("weekly"), digest.error_body(F.col("last_search"), F.lit("m"), F.when(n % 2 == 0, F.concat(F.lit("t"), n))).alias("error"))
+
+
+@query(f"SELECT p_partkey, p_name || ', 3.4.2024, ' || CASE WHEN p_partkey % 2 = 0 THEN 'Bern' ELSE '{stages.HOME}' END || ': {stages.SALUTATION}, ' || p_brand || ' ' || p_brand || ', {stages.HOOK.split('{}')[0]}' || p_brand || '{stages.HOOK.split('{}')[1]} {stages.MATCHING} {{X}}' AS letter FROM part")
+def letters_rendered(spark, sf_dir):
+    template = F.concat(F.lit("{{JOB_TITLE}}, <Datum>, <Ort>: {SALUTATION}, <FIRMA> {"), "p_brand", F.lit("}, {{COMPANY_HOOK_1SENT}} {{AD_MATCH_2TO3_SENTENCES}} {X}"))
+    place = F.when(F.col("p_partkey") % 2 == 0, "Bern")
+    return table(spark, sf_dir, "part").select("p_partkey", stages.letter_text(template, F.lit("3.4.2024"), F.col("p_name"), F.col("p_brand"), place).alias("letter"))

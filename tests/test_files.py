@@ -126,3 +126,11 @@ def test_tracker_as_csv(spark, tmp_path):
     files.write_tracker(state, manual, f"{tmp_path}/tracker")
     back = spark.read.csv(f"{tmp_path}/tracker", header=True, escape='"').collect()
     assert [(r["uid"], r["title"], r["aktion"], r["notes"]) for r in back] == [("1", 'a "b"', "applied", "n")]
+
+
+def test_letters(spark):
+    from jobloom.operators import stages
+
+    rows = spark.createDataFrame([(0, "{COMPANY_NAME}|{{COMPANY_NAME}}|{}|<Ort>", None, ""), (1, "<JOBTITEL> {Muster}", "Muster", "Zug"), (2, None, "x", "y"), (3, "", "x", "y")], "i int, t string, c string, l string").orderBy("i")
+    got = [r[0] for r in rows.select(stages.letter_text(F.col("t"), F.lit("d"), F.lit("<FIRMA>"), F.col("c"), F.col("l"))).collect()]
+    assert got == ["|||Buelach", "Muster Muster", None, ""]
