@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import common, exact_dedup, jaccard_join, language_id, license_scan, media_audio, mixing, packing, pii, sharding, token_store
+from jobloom.llm import common, decontamination, exact_dedup, jaccard_join, language_id, license_scan, media_audio, mixing, packing, pii, sharding, token_store, vector_codes, whitening
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -67,6 +67,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_segment_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_store": op2_token_store,
@@ -78,10 +90,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_stratified_shards": op9_stratified_shards,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_segment_codes": op11_segment_codes,
+    "op12_svd_whitening": op12_svd_whitening,
+    "op13_winnowing": op13_winnowing,
 }
 
 ORACLES: dict[str, str] = {
     "op4_water_filling": mixing.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_segment_codes": vector_codes.ORACLE_SQL,
+    "op13_winnowing": decontamination.ORACLE_SQL,
 }
