@@ -25,9 +25,10 @@ The work is kept linear where groups are large:
    that its two sizes allow count, and of shingles shared in a run only the run's ends make a row.
 
 Edge cases: a null, empty or blank text has an empty set and stays alone; with fewer than five words the whole
-sequence is the one shingle; repeated rows are equal sets; an id stands for one text. A row with a null id belongs
-to the component of a row with equal words and an id, else its component is null. Very long texts are hashed in
-blocks. An empty table gives an empty result. Other columns are not read.
+sequence is the one shingle; repeated rows are equal sets. Rows are told apart by their place, so ids may repeat with
+different texts: each such row has its own set and links, and a component goes by the smallest id of its rows. Rows
+with a null id link like others; a component of such rows alone is null. Very long texts are hashed in blocks. An
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import MOST_BITS, apart, dropped, fresh, settled, shared_path, slices, small_batches, tabled
+from jobloom.llm.common import MOST_BITS, apart, dropped, fresh, settled, shared_path, slices, small_batches, small_or_joined, tabled
 
 WIDTH = 5
 #: Document counts from which a shingle is of class 1, 2 and 3. They double while more shingles than an eighth of
@@ -321,16 +322,22 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return _parities(tokens, max(256, 1 << (2 * len(tokens) - 1).bit_length() if len(tokens) else 0)).tobytes()
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (a hash of id and text), text (never null): rows equal in id and text are alike."""
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(own.alias("doc_id"), F.xxhash64(own.isNull(), own, text).alias("mark"), text.alias("text"))
+
+
 def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, n, signature (of the words), common (per mille of frequent shingles), matches, prefix (binary), marks, sketch."""
+    """row_no, doc_id, mark (see ``_marked``), n, signature (of the words), common (per mille of frequent shingles), matches, prefix (binary), marks, sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(maps)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in slices(batches, "text", 1 << 20):
             n, signatures, common, matches, prefix, marks, sketch = [], [], [], [], [], [], []
-            words = words_of(batch.column(1))
-            for i, tokens in enumerate(shingle_sets(batch.column(1), words)):
+            words = words_of(batch.column(3))
+            for i, tokens in enumerate(shingle_sets(batch.column(3), words)):
                 n.append(len(tokens))
                 marks.append(_marks(tokens) if len(tokens) <= MARKED else None)
                 sketch.append(_sketch(tokens))
@@ -345,12 +352,12 @@ def _prefixes(docs: DataFrame, maps, id_col: str, text_col: str, percent: int) -
                     matches.append(0)
                     prefix.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(signatures, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n", "signature", "common", "matches", "prefix", "marks", "sketch"],
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(signatures, pa.binary()), pa.array(common, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["row_no", "doc_id", "mark", "n", "signature", "common", "matches", "prefix", "marks", "sketch"],
             )
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(build, "doc_id long, n long, signature binary, common int, matches int, prefix binary, marks array<long>, sketch binary")
+    read = _marked(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "mark", "text")
+    return read.mapInArrow(build, "row_no long, doc_id long, mark long, n long, signature binary, common int, matches int, prefix binary, marks array<long>, sketch binary")
 
 
 def band_edges(percent: int) -> np.ndarray:
@@ -585,10 +592,10 @@ def _linked(x: Words, i: int, of_x: tuple, y: Words, j: int, of_y: tuple, percen
     return 100 * len(left & right) >= percent * len(left | right)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough, by their words.
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough, by their words; ``rows`` are marked documents.
 
-    Representatives of fewer than WIDTH words never are: their sequences differ.
+    ``sets`` name a row of each representative by id and mark. Representatives of fewer than WIDTH words never are: their sequences differ.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -607,9 +614,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
     pairs = settled(pairs)
-    texts = _named(texts, pairs)
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    named = _named(sets.select("id", "of", "mark"), pairs)
+    for x in ("a", "b"):
+        pairs = pairs.join(named.select(*(F.col(c).alias(f"{x}_{c}") for c in ("of", "mark")), F.col("id").alias(x)), x)
+    pairs = settled(pairs)
+    marks = settled(pairs.select(F.col("a_mark").alias("mark")).union(pairs.select("b_mark")).distinct())
+    likely = apart(rows.select("mark", _of().alias("of"), "text"), F.col("mark"), marks)[0]
+    # Rows equal in id and text come once.
+    texts = likely.groupBy("mark", "of").agg(F.first("text").alias("text"))
+    with_b = pairs.join(texts.select(F.col("mark").alias("b_mark"), F.col("of").alias("b_of"), F.col("text").alias("text_b")), ["b_mark", "b_of"])
+    with_both = with_b.join(texts.select(F.col("mark").alias("a_mark"), F.col("of").alias("a_of"), F.col("text").alias("text_a")), ["a_mark", "a_of"])
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
@@ -632,19 +646,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _of():
+    """An id that is never null, to be met together with a mark."""
+    return F.coalesce("doc_id", F.lit(-1).cast("long"))
+
+
 def _representatives(heavy: DataFrame, narrow: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, n, common, matches, prefix, marks, sketch of one row for each set of words.
+    """id, n, common, matches, prefix, marks, sketch of one row for each set of words, its first.
 
-    Rows are known by their ids: only those that are not the one of their set, or come several times, are shuffled.
+    Only rows that a bitmap of the others lets through are shuffled.
     """
-    rows = narrow.filter("n > 0 and doc_id is not null").groupBy("doc_id", "signature").agg(F.count(F.lit(1)).alias("times"))
-    odd = rows.join(sets, "signature").filter("doc_id != id or times > 1").select("doc_id", F.col("signature").alias("of_set"), (F.col("doc_id") == F.col("id")).alias("chosen"))
-    odd = settled(odd)
+    more = settled(narrow.filter("n > 0").join(sets.select("signature", "id"), "signature").filter("row_no != id").select("row_no"))
     columns = ["id", "n", "common", "matches", "prefix", "marks", "sketch"]
-    maybe, others = apart(heavy.filter("n > 0 and doc_id is not null").withColumnRenamed("doc_id", "id"), F.xxhash64("id"), odd.select(F.xxhash64("doc_id").alias("key")))
-    met = maybe.join(odd, (F.col("id") == F.col("doc_id")) & (F.col("signature") == F.col("of_set")), "left")
-    once = met.filter("chosen").groupBy("id", "signature").agg(*(F.first(c).alias(c) for c in columns[1:])).select(columns)
-    return others.select(columns).union(met.filter("chosen is null").select(columns)).union(once)
+    maybe, others = apart(heavy.filter("n > 0").withColumnRenamed("row_no", "id"), F.xxhash64("id"), more.select(F.xxhash64("row_no").alias("key")))
+    return others.select(columns).union(maybe.join(more, F.col("id") == F.col("row_no"), "left_anti").select(columns))
 
 
 def _remaining(rest: DataFrame, open_lists: DataFrame, percent: int, path: str) -> DataFrame:
@@ -673,18 +688,20 @@ def _remaining(rest: DataFrame, open_lists: DataFrame, percent: int, path: str)
     return _paired(ordered.unionByName(turned), "x_", "y_", percent, runs=True).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+def _labelled(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, mark, n, signature of each row of ``docs``, and signature, least (smallest id), label (one for each
+    component) of each set of words."""
     small_batches(docs)
     spark = docs.sparkSession
     folder = shared_path(spark, "jaccard")
     maps = frequency_maps(docs, id_col, text_col)
     heavy = tabled(_prefixes(docs, maps, id_col, text_col, percent), f"{folder}/prefixes")
-    narrow = settled(heavy.select("doc_id", "n", "signature"))
-    sets = settled(narrow.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("id")))
+    narrow = settled(heavy.select("row_no", "doc_id", "mark", "n", "signature"))
+    first = F.min(F.struct(F.col("row_no").alias("id"), _of().alias("of"), "mark"))
+    sets = settled(narrow.filter("n > 0").groupBy("signature").agg(first.alias("first"), F.min("doc_id").alias("least")).select("signature", "first.*", "least"))
     representatives = tabled(_representatives(heavy, narrow, sets), f"{folder}/representatives")
     dropped(spark, f"{folder}/prefixes")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    texts = _marked(docs, id_col, text_col)
     sketches = representatives.select("id", "n", "sketch")
 
     shared = _shared_tokens(representatives, percent)
@@ -695,7 +712,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     members = entries.select("token", *(F.col(c).alias(f"m_{c}") for c in ("id", "n", "at")))
     met = _unpacked(_unpacked(members.join(centre, "token").filter("m_id != c_id"), "m_"), "c_")
     pairs = _paired(met.filter(_reachable("c_", "m_", percent) & _within("pos", "c_", "m_", percent)), "c_", "m_", percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    links = settled(_verified(_screened(pairs, sketches, percent), texts, percent))
+    links = settled(_verified(_screened(pairs, sketches, percent), sets, texts, percent))
     dropped(spark, f"{folder}/entries")
     labels = components(links)
 
@@ -708,12 +725,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     open_lists = settled(open_lists.select("token", "main", "members"))
     long_lists = _token_bitmap(open_lists.filter(F.col("members") > LONG).select("token"))
     rest = _entries(labelled, percent, shared, _token_bitmap(open_lists.select("token")), long_lists, carried=("component", "marks"), runs=True)
-    links = links.union(settled(_verified(_screened(_remaining(rest, open_lists, percent, f"{folder}/rest"), sketches, percent), texts, percent)))
+    links = links.union(settled(_verified(_screened(_remaining(rest, open_lists, percent, f"{folder}/rest"), sketches, percent), sets, texts, percent)))
     dropped(spark, folder)
     labels = components(links)
 
-    classes = sets.join(labels, "id", "left").select(F.col("signature"), F.coalesce("label", "id").alias("component_id"))
-    return narrow.join(classes, "signature", "left").select(
+    return narrow.drop("row_no"), settled(sets.join(labels, "id", "left").select("signature", "least", F.coalesce("label", "id").alias("label")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+    rows, sets = _labelled(docs, percent, id_col, text_col)
+    least = settled(sets.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("many")))
+    # A set that is a component by itself has its name at hand; only sets of larger ones meet theirs.
+    alone = sets.join(small_or_joined(least.filter("many > 1")), "label", "left").select("signature", F.when(F.col("many") > 1, F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(alone, "signature", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -721,14 +746,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all columns; rows without an id stay.
+    """The rows of ``docs`` of the smallest id of each component, with all columns; rows without an id go behind others.
 
-    Only rows that a bitmap of the ids to drop lets through are shuffled.
+    Where an id comes with several texts in one component, one of these stays. Rows with an empty set all stay, and
+    so do copies of a row equal in id and text to one that stays. Only rows that a bitmap of those to drop lets
+    through are shuffled.
     """
-    (gone,) = fresh(docs.columns, "gone")
-    ids = settled(near_duplicates(docs, percent, id_col=id_col, text_col=text_col).filter("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct())
-    maybe, others = apart(docs, F.xxhash64(F.col(id_col).cast("long")), ids.select(F.xxhash64(gone).alias("key")))
-    return others.union(maybe.join(ids, maybe[id_col].cast("long") == ids[gone], "left_anti"))
+    rows, sets = _labelled(docs, percent, id_col, text_col)
+    told = settled(rows.filter("n > 0").select("doc_id", "mark", "signature").distinct().join(sets.select("signature", "label"), "signature").select("label", "mark", _of().alias("of"), F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark").alias("rank")))
+    best = settled(told.groupBy("label").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many"))
+    gone, of = fresh(docs.columns, "gone", "of")
+    drop = settled(told.join(small_or_joined(best), "label").filter("rank != best").select(F.col("mark").alias(gone), F.col("of").alias(of)))
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    mark = F.xxhash64(own.isNull(), own, text)
+    maybe, others = apart(docs, mark, drop.select(gone))
+    return others.union(maybe.join(drop, (mark == F.col(gone)) & (F.coalesce(own, F.lit(-1).cast("long")) == F.col(of)), "left_anti"))
 
 
 ORACLE_SQL = """
