@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.plans import collect, daily, files, parity  # noqa: F401 - the others register their queries with parity's
+from jobloom.plans import collect, daily, files, parity, portals  # noqa: F401 - the others register their queries with parity's
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = parity.QUERIES
 ORACLES: dict[str, str] = parity.ORACLES

@@ -61,6 +61,17 @@ def folded(text: Column) -> Column:
     return F.get(F.transform(F.array(text), plain), F.lit(0))
 
 
+def once(value: Column, to) -> Column:
+    """``to`` of a value that is worked out a single time, however often ``to`` names it: a function over a list of one."""
+    return F.get(F.transform(F.array(value), to), F.lit(0))
+
+
+def rewritten(text: Column, pattern: str, to) -> Column:
+    """Text with each match of a pattern as ``to`` has it, in one pass from left to right."""
+    between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(between, F.transform(found, to), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 

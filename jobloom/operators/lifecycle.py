@@ -69,13 +69,19 @@ def checkbox(value: Column) -> Column:
     return F.when((raw == "") | F.lower(raw).isin(*EMPTY_WORDS), EMPTY_BOX).when(F.lower(raw).isin(*TICKED_WORDS), TICKED_BOX).otherwise(raw)
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows with ``ord``: their own, else the order in which they are read."""
+    return rows if "ord" in rows.columns else rows.withColumn("ord", F.monotonically_increasing_id())
+
+
 def marked(state: DataFrame, marks: DataFrame, stamp: Column | None = None) -> DataFrame:
-    """Applies manual marks (uid, action, done): words of the action go before the ticked box.
+    """Applies manual marks (uid, action, done, and ord if given): words of the action go before the ticked box.
 
     With ``applied_at`` in the state, a posting that becomes applied gets the stamp and one that becomes ignored none.
-    Of several marks of one uid any counts; a null uid meets nothing.
+    Of several marks of one uid the last row counts, blank or not; a null uid meets nothing.
     """
-    said = marks.groupBy(F.col("uid").alias("_uid")).agg(F.max(F.lower(F.trim("action"))).alias("_action"), F.max(checkbox(F.col("done"))).alias("_done"))
+    last = in_order(marks).groupBy(F.col("uid").alias("_uid")).agg(F.max_by(F.struct("action", "done"), "ord").alias("_last"))
+    said = last.select("_uid", F.lower(F.trim(F.coalesce("_last.action", F.lit("")))).alias("_action"), checkbox(F.col("_last.done")).alias("_done"))
     to = F.when(F.col("_action").isin(*APPLIED_WORDS), "applied").when(F.col("_action").isin(*IGNORED_WORDS), "ignored").when(F.col("_done") == TICKED_BOX, "applied")
     joined = state.join(said, state["uid"] == said["_uid"], "left").withColumn("_to", to)
     if "applied_at" in state.columns and stamp is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.text import present
 from jobloom.functions.urls import job_uid, state_canonical
-from jobloom.operators.lifecycle import EMPTY_BOX, OPEN, TERMINAL, TICKED_BOX, checkbox
+from jobloom.operators.lifecycle import EMPTY_BOX, OPEN, TERMINAL, TICKED_BOX, checkbox, in_order
 
 FIELDS = ("uid", "status", "source", "canonical_url", "link", "title", "company", "location", "first_seen_at", "last_seen_at", "last_sent_at", "applied_at", "score", "match")
 # Sources that only collect from others
@@ -148,8 +148,10 @@ def after_send(state: DataFrame, sent: DataFrame, stamp: Column) -> DataFrame:
 
 
 def view_marked(state: DataFrame, marks: DataFrame, stamp: Column) -> DataFrame:
-    """Marks of the view (uid, mark): open goes back to notified or new by whether it was sent; applied sets its time."""
-    said = marks.filter(F.col("mark").isin("open", "applied", "ignored")).groupBy(F.col("uid").alias("_uid")).agg(F.max("mark").alias("_mark"))
+    """Marks of the view (uid, mark, and ord if given): open goes back to notified or new by whether it was sent; applied
+    sets its time. Of several marks of one uid the last counts."""
+    known = in_order(marks).filter(F.col("mark").isin("open", "applied", "ignored"))
+    said = known.groupBy(F.col("uid").alias("_uid")).agg(F.max_by("mark", "ord").alias("_mark"))
     joined = state.join(said, state["uid"] == said["_uid"], "left")
     again = F.when(present(F.col("last_sent_at").cast("string")) != "", "notified").otherwise("new")
     status = F.when(F.col("_mark") == "open", again).otherwise(F.coalesce("_mark", "status"))
@@ -158,18 +160,87 @@ def view_marked(state: DataFrame, marks: DataFrame, stamp: Column) -> DataFrame:
 
 
 def applied_upsert(state: DataFrame, sent: DataFrame, stamp: Column) -> DataFrame:
-    """Applications sent (uid, title, company, location, source, link, document) entered as applied, new ones inserted.
+    """Applications sent (uid, title, company, location, source, link, document, archived, and ord if given) entered as
+    applied, new ones inserted; records that nothing was sent for stay as they are, their documents included.
 
-    The time they were applied for by hand is not touched.
+    A field that is empty in the application keeps its value, the canonical link and documents are the application's;
+    of several of one uid the last counts. The time they were applied for by hand is not touched.
     """
     names = ("title", "company", "location", "source", "link")
-    new = sent.groupBy(F.col("uid").alias("_uid")).agg(*(F.max(c).alias(f"_{c}") for c in (*names, "document")))
-    joined = state.join(new, state["uid"] == new["_uid"], "full_outer")
+    kept = ("canonical_url", "last_seen_at", "last_sent_at", "applied_at", "application_doc", "application_doc_archived", "application_sent_at")
+    own = state.withColumns({c: F.lit(None).cast("string") for c in (*names, *kept, "first_seen_at") if c not in state.columns})
+    given = in_order(sent.withColumns({c: F.lit(None).cast("string") for c in (*names, "document", "archived") if c not in sent.columns}))
+    new = given.groupBy(F.col("uid").alias("_uid")).agg(F.max_by(F.struct(*names, "document", "archived"), "ord").alias("_new"))
+    joined = own.join(new, own["uid"] == new["_uid"], "full_outer")
     hit = F.col("_uid").isNotNull()
-    changed = {c: F.when(hit, F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c))).otherwise(F.col(c)) for c in names}
-    changed |= {"status": F.when(hit, "applied").otherwise(F.col("status")), "first_seen_at": F.when(F.col("uid").isNull(), stamp).otherwise(F.col("first_seen_at")), "uid": F.coalesce("uid", "_uid")}
-    changed |= {"application_doc": F.col("_document"), "application_sent_at": F.when(hit, stamp)}
-    return joined.withColumns(changed).drop("_uid", "_document", *(f"_{c}" for c in names))
+    on_hit = lambda value, c: F.when(hit, value).otherwise(F.col(c))
+    filled = lambda c: F.coalesce(F.nullif(F.col(f"_new.{c}"), F.lit("")), F.col(c))
+    canonical = F.coalesce(F.nullif(state_canonical(F.col("_new.link")), F.lit("")), F.nullif("canonical_url", F.lit("")), F.lit(""))
+    changed = {c: on_hit(filled(c), c) for c in names} | {c: on_hit(stamp, c) for c in ("last_seen_at", "last_sent_at", "application_sent_at")}
+    changed |= {"status": on_hit(F.lit("applied"), "status"), "canonical_url": on_hit(canonical, "canonical_url"), "first_seen_at": on_hit(F.coalesce(F.nullif(F.col("first_seen_at").cast("string"), F.lit("")), stamp), "first_seen_at")}
+    changed |= {"application_doc": on_hit(present(F.col("_new.document")), "application_doc"), "application_doc_archived": on_hit(present(F.col("_new.archived")), "application_doc_archived"), "uid": F.coalesce("uid", "_uid")}
+    return joined.withColumns(changed).drop("_uid", "_new")
+
+
+# The fields of a record, and the names under which a posting may give some of them, in their order
+RECORD = ("uid", "source", "canonical_url", "link", "title", "company", "location", "first_seen_at", "last_seen_at", "last_sent_at", "status", "score", "match", "date", "commute_min", "missing_runs")
+ALIASES = {
+    "source": ("source", "portal", "origin", "site"), "link": ("link", "url", "apply_url", "applyLink"), "external_id": ("external_id", "job_id", "id"),
+    "title": ("title", "job_title", "position"), "company": ("company", "employer"), "location": ("location", "city"),
+}
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """Postings with uid and canonical_url, told by the link, else by the portal's own id, else by their texts.
+
+    Each field is the first that isn't empty among its names; names that the rows don't have are passed over.
+    """
+    have = set(rows.columns)
+    of = lambda field: F.coalesce(*(F.nullif(present(F.col(f"`{c}`").cast("string")), F.lit("")) for c in ALIASES[field] if c in have), F.lit(""))
+    link, source = F.trim(of("link")), F.coalesce(F.nullif(F.trim(of("source")), F.lit("")), F.lit("unknown"))
+    own = F.trim(of("external_id"))
+    by_id = F.left(F.sha2(F.concat_ws("|", F.lit("id"), source, own), 256), F.lit(16))
+    uid = F.when((state_canonical(link) == "") & (own != ""), by_id).otherwise(job_uid(source, link, of("title"), of("company"), of("location")))
+    return rows.withColumns({"uid": uid, "canonical_url": state_canonical(link)})
+
+
+def merged(state: DataFrame, batch: DataFrame, stamp: Column, most_missing: int = 3, most_days: int = 7) -> DataFrame:
+    """The next state with every field of ``RECORD`` (all but missing_runs and commute_min as text).
+
+    ``batch`` has uid, canonical_url, link and the fields of a posting. A record that came takes what the posting says
+    and keeps what that leaves empty; a commute of 0 counts as said. Ages, closing and reopening are as in
+    ``lifecycle.merge``; days count from a readable last_seen_at only. Of rows of one uid the last by ``ord`` (or as
+    read) counts. An empty batch changes nothing, as a run that found nothing says nothing of the postings; null
+    uids meet nothing and are dropped from the batch.
+    """
+    said = ("source", "canonical_url", "link", "title", "company", "location", "score", "match", "date", "commute_min")
+    given = in_order(batch.withColumns({c: F.lit(None).cast("int" if c == "commute_min" else "string") for c in said if c not in batch.columns})).filter("uid is not null")
+    came = given.groupBy(F.col("uid").alias("_uid")).agg(F.max_by(F.struct(*said), "ord").alias("_b"))
+    joined = state.select(*RECORD).join(came, F.col("uid") == F.col("_uid"), "full_outer")
+    hit, known = F.col("_uid").isNotNull(), F.col("uid").isNotNull()
+    text = lambda c: F.nullif(F.col(f"_b.{c}").cast("string"), F.lit(""))
+    status = F.coalesce(F.nullif("status", F.lit("")), F.lit("new"))
+    ended = status.isin(*TERMINAL)
+    missing = F.coalesce("missing_runs", F.lit(0)) + 1
+    days = F.coalesce(F.floor((F.unix_timestamp(moment(stamp)) - F.unix_timestamp(moment(F.col("last_seen_at")))) / 86400), F.lit(0))
+    gone = F.lit(False)
+    gone = gone | (missing >= most_missing) if most_missing > 0 else gone
+    gone = gone | (days >= most_days) if most_days > 0 else gone
+    again = F.when(present(F.col("last_sent_at")) != "", "notified").otherwise("new")
+    empty = ("link", "title", "company", "location", "source", "score", "match", "date")
+    changed = {c: F.when(hit, F.coalesce(text(c), F.when(known, F.col(c)), F.lit(""))).otherwise(F.col(c)) for c in empty}
+    own_link = F.coalesce(text("link"), F.lit(""))
+    changed["canonical_url"] = F.when(hit, F.coalesce(text("canonical_url"), F.nullif("canonical_url", F.lit("")), F.nullif(state_canonical(own_link), F.lit("")), own_link)).otherwise(F.col("canonical_url"))
+    changed["commute_min"] = F.coalesce("_b.commute_min", "commute_min")
+    changed["first_seen_at"] = F.when(known, F.col("first_seen_at")).otherwise(stamp)
+    changed["last_seen_at"] = F.when(hit, stamp).otherwise(F.col("last_seen_at"))
+    changed["missing_runs"] = F.when(hit, 0).when(ended, F.col("missing_runs")).otherwise(missing).cast("int")
+    changed["status"] = F.when(~known, "new").when(hit & (status == "closed"), again).when(hit, status).when(~ended & gone, "closed").otherwise(F.col("status"))
+    changed["uid"] = F.coalesce("uid", "_uid")
+    after = joined.select(*(changed.get(c, F.col(c)).alias(c) for c in RECORD))
+    # A batch without rows leaves the state alone, decided where the rows are: one flag of one row is all that is sent.
+    some = given.select(F.lit(1).alias("_some")).limit(1)
+    return after.join(F.broadcast(some), how="left_semi").unionByName(state.select(*RECORD).join(F.broadcast(some), how="left_anti"))
 
 
 def alive(cache: DataFrame, now_seconds: float, hours: float) -> DataFrame:
@@ -183,11 +254,18 @@ def lock_active(age_minutes: Column, ttl: Column, daily: bool) -> Column:
     return age_minutes < ttl if daily else ~((ttl <= 0) | (age_minutes > ttl))
 
 
-def mail_stats(state: DataFrame, sections: DataFrame) -> DataFrame:
-    """Counts of a mail run in one row: the state's, and those of the sections (uid, section)."""
+def mail_stats(state: DataFrame, sections: DataFrame, scraped: DataFrame | None = None, added: DataFrame | None = None, dry_run: bool = False, sent: bool = False) -> DataFrame:
+    """Counts of a mail run in one row: the state's, those of the sections (uid, section), of the rows ``scraped`` (uid)
+    and of those ``added`` to the state; what isn't given counts 0."""
     whole = state.agg(F.count(F.lit(1)).alias("state_total"), F.count_if(F.col("status") == "closed").alias("marked_closed_count"), F.count_if(F.col("status") == "applied").alias("applied_count"), F.count_if(F.col("status") == "ignored").alias("ignored_count"))
     seen = sections.agg(F.count_if(F.col("section") != "").alias("active_seen_this_run"), *(F.count_if(F.col("section") == s).alias(f"mailed_{s}_count") for s in ("new", "reminder")))
-    return whole.join(F.broadcast(seen))
+    found = whole.join(F.broadcast(seen))
+    if scraped is not None:
+        found = found.join(F.broadcast(scraped.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scraped_total"), F.count(F.lit(1)).alias("unique_total"))))
+    if added is not None:
+        found = found.join(F.broadcast(added.agg(F.count(F.lit(1)).alias("newly_added"))))
+    missing = {c: F.lit(0).cast("long") for c in ("scraped_total", "unique_total", "newly_added") if c not in found.columns}
+    return found.withColumns(missing | {"dry_run": F.lit(dry_run), "mail_sent": F.lit(sent)})
 
 
 def saved(state: DataFrame, folder: str, version: int) -> str:

@@ -83,12 +83,15 @@ def html_link_rows(spark, sf_dir):
     return html.link_rows(table(spark, sf_dir, "pages").select("page_id", "url", "html"), only_details=False, patterns=("^https?://[^/]+/[^/]",), limit=3)
 
 
-@query()
+_MAILS = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}'), lambda x: trim(x, ' \t\r\n,.;:')), lambda x: x <> '' AND split_part(lower(x), '@', -1) NOT IN ('jobs.ch', 'jobup.ch', 'indeed.com'))"
+
+
+@query(f"SELECT doc_id, coalesce({', '.join(f"list_filter(l, lambda x: contains(lower(x), '{h}'))[1]" for h in contacts.HINTS)}, l[1], '') AS email FROM (SELECT doc_id, {_MAILS} AS l FROM documents)")
 def contact_email_by_hint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", contacts.contact_email(F.col("text")).alias("email"))
 
 
-@query()
+@query(f'''SELECT page_id, "at"::INT AS "at", text AS title, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY "at") AS n FROM (SELECT *, row_number() OVER (PARTITION BY page_id, regexp_replace(link, '[?#].*$', '') ORDER BY "at") AS r FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS link FROM ({_ANCHORS}) WHERE starts_with(href, '/') AND length(text) >= 6)) WHERE r = 1) WHERE n <= 25''')
 def html_site_link_rows(spark, sf_dir):
     return html.link_rows(table(spark, sf_dir, "pages").select("page_id", "url", "html"), only_details=False, patterns=("^https?://[^/]+/[^/]",), limit=html.SITE_LINKS)
 

@@ -151,10 +151,18 @@ def letters_and_files(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", stages.letter_for(title).alias("letter"), stages.file_name(title).alias("file"))
 
 
-@query("SELECT page_id, 'Zürich - é ... ' || page_id || ' -> x' AS text FROM pages")
+_PLAINLY = "coalesce(text, '')"
+for _sign, _by in stages.PLAIN:
+    _PLAINLY = f"replace({_PLAINLY}, chr({ord(_sign[0])}){f' || chr({ord(_sign[1])})' if len(_sign) > 1 else ''}, {'chr(10)' if _by == chr(10) else chr(39) + _by.replace(chr(39), chr(39) * 2) + chr(39)})"
+
+
+@query(f"SELECT doc_id, md5({_PLAINLY} || 'Zürich - é ... ' || doc_id || ' -> x') AS text FROM documents")
 def mojibake_repaired(spark, sf_dir):
     broken = "Zürich – é … ".encode().decode("cp1252")
-    return table(spark, sf_dir, "pages").select("page_id", stages.repaired(F.concat(F.lit(broken), "page_id", F.lit(" → x"))).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    for letter in "äöüßÄÖÜéèêëçñíóúáàâîôûï":
+        text = F.replace(text, F.lit(letter), F.lit(letter.encode().decode("cp1252", "replace")) if letter not in "à" else F.lit(letter))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(stages.repaired(F.concat(text, F.lit(broken), "doc_id", F.lit(" → x")))).alias("text"))
 
 
 @query("SELECT 'base ' || n_nationkey AS term, 'base' AS kind FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'title ' || n_nationkey, 'title' FROM nation WHERE n_nationkey < 3")
@@ -264,11 +272,14 @@ def state_marked_and_sent(spark, sf_dir):
     return records.view_marked(sent, marks, F.lit("now")).select("uid", "status", "applied_at", "last_sent_at")
 
 
-@query(f"SELECT coalesce(s.uid, a.uid) AS uid, CASE WHEN a.uid IS NULL THEN s.status ELSE 'applied' END AS status, coalesce(a.title, s.title) AS title, s.applied_at, CASE WHEN a.uid IS NOT NULL THEN 'now' END AS application_sent_at FROM ({_STORED}) s FULL JOIN (SELECT DISTINCT (user_id * 2)::VARCHAR AS uid, 'sent ' || user_id AS title FROM events) a ON s.uid = a.uid")
+@query(f"""SELECT coalesce(s.uid, a.uid) AS uid, CASE WHEN a.uid IS NULL THEN s.status ELSE 'applied' END AS status, coalesce(a.title, s.title) AS title, s.applied_at, CASE WHEN a.uid IS NULL THEN 'earlier' ELSE 'now' END AS application_sent_at,
+  CASE WHEN a.uid IS NULL THEN 'old.docx' ELSE 'a' || latest || '.docx' END AS application_doc, CASE WHEN a.uid IS NULL THEN s.last_seen_at ELSE 'now' END AS last_seen_at
+  FROM ({_STORED}) s FULL JOIN (SELECT (user_id * 2)::VARCHAR AS uid, 'sent ' || user_id AS title, max(event_id) AS latest FROM events GROUP BY ALL) a ON s.uid = a.uid""")
 def applications_upsert(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").select("user_id")
-    sent = ids.select((F.col("user_id") * 2).cast("string").alias("uid"), F.concat(F.lit("sent "), "user_id").alias("title"), *(F.lit("").alias(c) for c in ("company", "location", "source", "link")), F.lit("a.docx").alias("document"))
-    return records.applied_upsert(_stored(spark, sf_dir), sent, F.lit("now")).select("uid", "status", "title", "applied_at", "application_sent_at")
+    ids = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ord"))
+    sent = ids.select("ord", (F.col("user_id") * 2).cast("string").alias("uid"), F.concat(F.lit("sent "), "user_id").alias("title"), F.concat(F.lit("a"), "ord", F.lit(".docx")).alias("document"))
+    before = _stored(spark, sf_dir).withColumn("application_doc", F.lit("old.docx")).withColumn("application_sent_at", F.lit("earlier"))
+    return records.applied_upsert(before, sent, F.lit("now")).select("uid", "status", "title", "applied_at", "application_sent_at", "application_doc", "last_seen_at")
 
 
 @query("SELECT event_id FROM events WHERE event_id % 3 <> 0 AND 12000 - (event_id % 90000) <= 7200")
@@ -283,10 +294,13 @@ def locks_and_colours(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", records.lock_active(age, F.lit(10), True).alias("daily"), records.lock_active(age, F.lit(10), False).alias("mail"), records.lock_active(age, F.lit(0), False).alias("never"), records.commute_class(age * 5).alias("colour"))
 
 
-@query(f"SELECT count(*) AS state_total, count(*) FILTER (status = 'closed') AS marked_closed_count, count(*) FILTER (status = 'applied') AS applied_count, count(*) FILTER (status = 'ignored') AS ignored_count, count(*) FILTER (status IN ('new', 'notified')) AS active_seen_this_run, count(*) FILTER (status = 'new') AS mailed_new_count, 0 AS mailed_reminder_count FROM ({_STATE})")
+@query(f"""SELECT count(*) AS state_total, count(*) FILTER (status = 'closed') AS marked_closed_count, count(*) FILTER (status = 'applied') AS applied_count, count(*) FILTER (status = 'ignored') AS ignored_count, count(*) FILTER (status IN ('new', 'notified')) AS active_seen_this_run, count(*) FILTER (status = 'new') AS mailed_new_count, 0 AS mailed_reminder_count,
+  (SELECT count(*) FROM events) AS scraped_total, (SELECT count(DISTINCT user_id) FROM events) AS unique_total, (SELECT count(DISTINCT user_id) FROM events WHERE user_id::VARCHAR NOT IN (SELECT uid FROM ({_STATE}))) AS newly_added, false AS dry_run, true AS mail_sent FROM ({_STATE})""")
 def mail_stats(spark, sf_dir):
     state = _state(spark, sf_dir)
-    return records.mail_stats(state, state.select("uid", F.when(F.col("status") == "new", "new").when(F.col("status") == "notified", "open").otherwise("").alias("section")))
+    scraped = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("uid"))
+    added = scraped.distinct().join(state.select("uid"), "uid", "left_anti")
+    return records.mail_stats(state, state.select("uid", F.when(F.col("status") == "new", "new").when(F.col("status") == "notified", "open").otherwise("").alias("section")), scraped, added, sent=True)
 
 
 # ---- the daily run

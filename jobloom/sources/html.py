@@ -5,49 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import present, squeezed
+from jobloom.functions.text import once, present
 from jobloom.functions.urls import bare_link
+from jobloom.sources import markup
+from jobloom.sources.markup import unescaped
 from jobloom.sources.portals import detail_link, plain_detail_link
 
-ANCHOR = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 ORIGIN = "^([A-Za-z][A-Za-z0-9+.-]*:)//[^/?#]*"
 # Links taken of a site
 SITE_LINKS = 25
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-SCRIPT = "(?is)<script[^>]+type=\"application/ld\\+json\"[^>]*>(.*?)</script>"
+SCRIPT = "(?is)<script[^>]+type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
 #: How deep graphs may lie in graphs.
 GRAPHS = 4
 
 
-def unescaped(text: Column) -> Column:
-    for sign, by in ENTITIES:
-        text = F.replace(text, F.lit(sign), F.lit(by))
-    return text
+def _steps(path: Column) -> Column:
+    """A path without its steps "." and "..", which end in a slash where they come last; none leads above the root."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    whole = F.array_join(F.aggregate(parts, none, step), "/")
+    return F.when(path.rlike("(^|/)[.]{1,2}(/|$)"), F.concat(whole, F.when(last, "/").otherwise(""))).otherwise(path)
 
 
 def absolute(base: Column, href: Column) -> Column:
-    """``href`` seen from ``base``; steps up with ".." are left as they are."""
-    folder = F.concat(F.regexp_extract(base, ORIGIN, 0), F.regexp_extract(F.regexp_replace(F.regexp_replace(base, ORIGIN, ""), "[?#].*$", ""), "^(.*/)?", 0))
+    """``href`` seen from ``base``: its own scheme, host, path or query where it has one, steps in the path resolved."""
+    origin = F.regexp_extract(base, ORIGIN, 0)
+    path = F.regexp_extract(F.regexp_replace(F.regexp_replace(base, ORIGIN, ""), "(?s)[?#].*$", ""), "(?s)^(.*/)?", 0)
+    folder = F.when(path == "", "/").otherwise(path)
+    own, rest = F.regexp_extract(href, "(?s)^[^?#]*", 0), F.regexp_extract(href, "(?s)[?#].*$", 0)
     return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        F.when(href == "", base)
+        .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, ORIGIN, 1), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(F.regexp_extract(base, ORIGIN, 0), href))
-        .when(href.rlike("^[?#]"), F.concat(bare_link(base), href))
-        .otherwise(F.concat(folder, F.when(F.endswith(folder, F.lit("/")), "").otherwise("/"), href))
+        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "(?s)#.*$", ""), href))
+        .when(F.startswith(href, F.lit("?")), F.concat(bare_link(base), href))
+        .otherwise(F.concat(origin, _steps(F.when(F.startswith(href, F.lit("/")), own).otherwise(F.regexp_replace(F.concat(folder, own), "/{2,}", "/"))), rest))
     )
 
 
-def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row a link with its place ``at``, ``href`` and visible ``text``; the page itself is not carried along."""
-    found = F.arrays_zip(F.regexp_extract_all(present(F.col(html)), F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all(present(F.col(html)), F.lit(ANCHOR), 2).alias("text"))
+def anchors(pages: DataFrame, html: str = "html", base: str | None = None) -> DataFrame:
+    """One row a link with its place ``at``, ``href``, visible ``text``, start ``tag`` and ``inner`` tokens, and with ``base`` (a
+    column) the absolute ``link``; the page itself is not carried along.
+
+    All of them are worked out before links become rows, so that no filter on them repeats the work.
+    """
     rest = [c for c in pages.columns if c != html]
-    rows = pages.select(*rest, F.posexplode(found).alias("at", "link"))
-    return rows.select(*rest, "at", unescaped(F.trim("link.href")).alias("href"), squeezed(unescaped(F.regexp_replace("link.text", "(?s)<[^>]*>", " "))).alias("text"))
+
+    def row(a: Column) -> Column:
+        own = [F.trim(a["href"]).alias("href"), markup.joined_text(a["inner"]).alias("text"), a["tag"].alias("tag"), a["inner"].alias("inner")]
+        return F.struct(*own, *([once(F.trim(a["href"]), lambda h: absolute(F.col(base), h)).alias("link")] if base else []))
+
+    rows = pages.select(*rest, F.posexplode(F.transform(markup.anchors(F.col(html)), row)).alias("at", "_a"))
+    return rows.select(*rest, "at", "_a.*")
 
 
 def link_rows(pages: DataFrame, page: str = "page_id", base: str = "url", domain: str = "", patterns: tuple[str, ...] = (), only_details: bool = True, limit: int | None = None, plain: bool = False) -> DataFrame:
     """Links of postings: page, at, title, link. Of equal bare links of a page the first stays, then ``limit`` a page."""
-    rows = anchors(pages).filter((F.col("href") != "") & (F.length("text") >= 6)).withColumn("link", absolute(F.col(base), F.col("href")))
+    rows = anchors(pages, base=base).filter((F.col("href") != "") & (F.length("text") >= 6))
     if domain:
         rows = rows.filter(F.contains("link", F.lit(domain)))
     if only_details:
@@ -151,7 +171,7 @@ def detail_text(html: Column) -> Column:
 
 
 def paged_rows(rows: DataFrame, pages: DataFrame, limit: int | None = SITE_LINKS) -> DataFrame:
-    """Rows (site, page, at, link) of fetched ``pages`` (site, page, failed) up to a site's first page without rows.
+    """Rows (site, page, at, link and others) of fetched ``pages`` (site, page, failed) up to a site's first page without rows.
 
     A failed page is passed over. Of equal bare links of a site the first stays, then ``limit`` a site; null or no
     positive number is no limit. Null sites are a site of their own, links without a text are kept as the empty link.
@@ -162,7 +182,7 @@ def paged_rows(rows: DataFrame, pages: DataFrame, limit: int | None = SITE_LINKS
     read = pages.join(counts, F.col("site").eqNullSafe(F.col("s")) & (F.col("page") == F.col("p")), "left")
     ends = read.filter(F.col("n").isNull() & ~F.col("failed")).groupBy(F.col("site").alias("s")).agg(F.min("page").alias("end"))
     before = rows.join(ends, F.col("site").eqNullSafe(F.col("s")), "left").filter(F.col("end").isNull() | (F.col("page") < F.col("end"))).drop("s", "end")
-    first = before.groupBy("site", bare_link(present(F.col("link"))).alias("bare")).agg(F.min_by(F.struct("page", "at", "link"), F.struct("page", "at")).alias("row"))
+    first = before.groupBy("site", bare_link(present(F.col("link"))).alias("bare")).agg(F.min_by(F.struct(*(c for c in rows.columns if c != "site")), F.struct("page", "at")).alias("row"))
     kept = first.select("site", "row.*")
     if limit is None or limit <= 0:
         return kept

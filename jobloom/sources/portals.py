@@ -13,8 +13,8 @@ ENGINEERS = ("system engineer", "netzwerk", "network", "infrastruktur")
 SECURITY = ("security", "cyber")
 # Portals that search by word and place (source, address up to the word, name of the place, own domain, patterns of their links)
 PLACED = (
-    ("jobscout24", "https://www.jobscout24.ch/de/jobs/?term=", "place", "jobscout24.ch", "/de/job/[0-9a-f-]+/?$"),
-    ("jobwinner", "https://www.jobwinner.ch/jobs/?q=", "l", "jobwinner.ch", "/(de/)?job/\\d+/?$"),
+    ("jobscout24", "https://www.jobscout24.ch/de/jobs/?term=", "place", "jobscout24.ch", "(?i)/de/job/[0-9a-f-]+/?$"),
+    ("jobwinner", "https://www.jobwinner.ch/jobs/?q=", "l", "jobwinner.ch", "(?i)/(de/)?job/\\d+/?$"),
     ("careerjet", "https://www.careerjet.ch/suchen/stellenangebote?s=", "l", "careerjet.ch", "/jobad/"),
     ("jobrapido", "https://ch.jobrapido.com/?w=", "l", "jobrapido.com", "jobrapido"),
     ("monster", "https://www.monster.ch/jobs/suche/?q=", "where", "monster.ch", "/job/|/stellenangebot/"),
@@ -27,10 +27,17 @@ TOPICS = (
     ("itjobs.ch", "https://www.itjobs.ch/jobs/", ((SUPPORT, "user-help-desk-support-training"), (ADMINS, "system-administration"), (ENGINEERS, "system-engineering"), (SECURITY, "security-audit")), "in-switzerland"),
     (
         "swissdevjobs.ch", "https://swissdevjobs.ch/jobs/",
-        ((SUPPORT, "Support/all"), (("system", *ADMINS, "netzwerk", "network"), "System/all"), (SECURITY, "Security/all"), (("devops", "cloud", "azure", "m365", "microsoft 365"), "DevOps/all")), "IT/all",
+        ((SUPPORT, "Support/all"), (("system", "administrator", "system admin", "systemadministrator", "netzwerk", "network"), "System/all"), (SECURITY, "Security/all"), (("devops", "cloud", "azure", "m365", "microsoft 365"), "DevOps/all")), "IT/all",
     ),
     ("myitjob.ch", "https://myitjob.ch/", (), ""),
 )
+# Own domain and pattern of the links of portals that take a topic or a word alone
+TOPIC_LINKS = {
+    "ictjobs.ch": "ictjobs\\.ch/[^/]+/[^/]+/?$", "itjobs.ch": "itjobs\\.ch/jobs/\\d+-[^/]+/?$", "swissdevjobs.ch": "swissdevjobs\\.ch/jobs/[^/?#]+$",
+    "ictcareer.ch": "ictcareer\\.ch/en/job/\\d+", "myitjob.ch": "myitjob\\.ch/job/[^/?#]+/?$",
+}
+# Portals of which several pages are read, with their addresses
+PAGED = (("jobs.ch", "https://www.jobs.ch/de/stellenangebote/"), ("jobup.ch", "https://www.jobup.ch/de/jobs/"))
 CAREER = ("ictcareer.ch", "https://ictcareer.ch/en/jobs?q=")
 # Names of sources and the one each goes by
 ALIASES = {
