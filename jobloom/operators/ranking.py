@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import first_hit, norm_dedupe, present
+from jobloom.operators.meeting import roots, with_key_minimum
+from jobloom.settling import settled
 
 # Seniority patterns in their order
 SENIORITY = (
@@ -92,35 +94,31 @@ def first_of(frame: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def greedy_clusters(frame: DataFrame) -> DataFrame:
-    """Adds ``cluster`` (ord of the row that opened it) to rows with ord, source_id, url and print.
+    """Adds ``cluster`` (ord of the row that opened it) to rows with ord (distinct, not null), source_id, url and print.
 
     A row joins the cluster of the first of its keys that an earlier row has registered, else opens one; a key is
-    never registered anew. The fold is exact in components of rows connected by keys, so it runs inside each of them.
-    A row with blank keys meets others by the fingerprint alone, as the rule has it.
+    never registered anew. So a key's cluster is that of the first row that has it, and each row points to that
+    row of its first such key: pointers are followed by doubling, no component ever meets in one task. Null and empty
+    ids and urls are no keys; a blank fingerprint is one like any other, a null one counts as blank.
     """
-    keys = frame.select("ord", F.explode(F.array(F.concat(F.lit("i"), "source_id"), F.concat(F.lit("u"), "url"), F.concat(F.lit("p"), "print"))).alias("key")).filter(~F.col("key").isin("i", "u"))
-    labels = frame.select("ord", F.col("ord").alias("label"))
-    while True:
-        least = keys.join(labels, "ord").groupBy("key").agg(F.min("label").alias("low"))
-        after = keys.join(least, "key").groupBy("ord").agg(F.min("low").alias("next"))
-        moved = labels.join(after, "ord", "left").select("ord", "label", F.least("label", F.coalesce("next", "label")).alias("next")).checkpoint()
-        labels = moved.select("ord", F.col("next").alias("label"))
-        if not moved.filter("next < label").head(1):
-            break
-
-    def fold(rows):
-        rows = rows.sort_values("ord")
-        seen, found = {}, []
-        for row in rows.itertuples():
-            own = [k for k in (row.source_id and f"i{row.source_id}", row.url and f"u{row.url}", f"p{row.print}") if k]
-            at = next((seen[k] for k in own if k in seen), row.ord)
-            for k in own:
-                seen.setdefault(k, at)
-            found.append(at)
-        return rows.assign(cluster=found)[["ord", "cluster"]]
-
-    inside = frame.select("ord", "source_id", "url", "print").join(labels, "ord").groupBy("label").applyInPandas(fold, "ord long, cluster long")
-    return frame.join(inside, "ord")
+    kinds = ((0, "i", "source_id"), (1, "u", "url"), (2, "p", "print"))
+    listed = F.array(*(F.struct(F.lit(i).alias("nth"), F.concat(F.lit(sign), present(F.col(c))).alias("key")) for i, sign, c in kinds))
+    keys = settled(frame.select("ord", F.explode(listed).alias("k")).select("ord", "k.nth", "k.key").filter(~F.col("key").isin("i", "u")))
+    owned = with_key_minimum(keys, "key", "ord", "owner")
+    earlier = F.when(F.col("owner") < F.col("ord"), F.struct("nth", "owner"))
+    parents = owned.groupBy("ord").agg(F.min(earlier)["owner"].alias("parent")).select("ord", F.coalesce("parent", "ord").alias("parent"))
+    found, _ = roots(parents)
+    return frame.join(found.withColumnRenamed("root", "cluster"), "ord")
+
+
+def best_in_clusters(frame: DataFrame) -> DataFrame:
+    """One row of each cluster (ord, cluster, score_final, score_rule and others): the best, of equal ones the earliest.
+
+    A final score of 0 or null stands back for the rule's; a null rule score counts as 0.
+    """
+    score = F.coalesce(F.nullif(F.col("score_final").cast("double"), F.lit(0.0)), F.col("score_rule").cast("double"), F.lit(0.0))
+    best = frame.groupBy("cluster").agg(F.min(F.struct((-score).alias("s"), "ord"))["ord"].alias("ord"))
+    return frame.join(best.select("ord"), "ord", "left_semi")
 
 
 def within_budget(frame: DataFrame, needs: str, order: str, most: int) -> DataFrame:
@@ -130,3 +128,13 @@ def within_budget(frame: DataFrame, needs: str, order: str, most: int) -> DataFr
     """
     cut = frame.filter(F.col(needs)).select(order).orderBy(order).limit(most).agg(F.max(order).alias("_cut"))
     return frame.join(F.broadcast(cut)).withColumn("allowed", F.coalesce(F.col(needs) & (F.col(order) <= F.col("_cut")), F.lit(False))).drop("_cut")
+
+
+def last_scan(frame: DataFrame, link: str, needs: Column, order: str, most: int) -> DataFrame:
+    """One row, ``cut``: the order of the row that uses the ``most``-th distinct link among those that need a scan; null
+    while there are fewer. Rows up to it are scanned, rows behind it are not, even for a link seen before.
+
+    Links are told by the first row that uses each, and only the first ``most`` of these are ordered.
+    """
+    first = frame.filter(needs & (present(F.col(link)) != "")).groupBy(link).agg(F.min(order).alias("at")).orderBy("at").limit(most)
+    return first.agg(F.when(F.count(F.lit(1)) >= most, F.max("at")).alias("cut"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.text import contains_any, in_order, norm_collector, present
 from jobloom.functions.titles import backfilled
+from jobloom.operators.ranking import last_scan
+from jobloom.settling import settled
+from jobloom.sources.html import detail_text
+from jobloom.sources.portals import skipped_host
 
 
 @dataclass(frozen=True)
@@ -57,12 +61,34 @@ def listing_link(link: Column) -> Column:
     return ~present(link).rlike("\\d") | (F.contains(tail, F.lit("stellenangebote")) & ~F.contains(tail, F.lit("detail")))
 
 
-def collector_reasons(postings: DataFrame, rules: Rules, minutes: DataFrame | None = None, blocked_pages: DataFrame | None = None, dead_links: DataFrame | None = None) -> DataFrame:
+# What a page says that is gone
+GONE = ("404", "page not found", "seite nicht gefunden", "not found", "nicht gefunden", "job not found", "no longer available", "not available")
+
+
+def page_facts(pages: DataFrame, rules: Rules, most_chars: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What scans of pages (url, html, and status if given) find, each page read once: links whose text has a blocked term,
+    has a required term, or is gone (a status from 400 on, or a page that says so). Of a page's text the first
+    ``most_chars`` characters count, as the scan's setting has it; several pages of one link count together."""
+    html = F.left(present(F.col("html")), F.lit(most_chars))
+    failed = F.coalesce(F.col("status") >= 400, F.lit(False)) if "status" in pages.columns else F.lit(False)
+    read = pages.select(F.col("url").alias("link"), norm_collector(detail_text(html)).alias("text"), (failed | contains_any(F.lower(html), GONE)).alias("gone"))
+    blocked = blocked_in(F.col("text"), rules.blocked) if rules.blocked else F.lit(False)
+    required = required_in(F.col("text"), rules.required) if rules.required else F.lit(False)
+    facts = settled(read.select("link", blocked.alias("blocked"), required.alias("required"), "gone"))
+    return facts.filter("blocked").select("link"), facts.filter("required").select("link"), facts.filter("gone").select("link")
+
+
+def collector_reasons(
+    postings: DataFrame, rules: Rules, minutes: DataFrame | None = None, blocked_pages: DataFrame | None = None, dead_links: DataFrame | None = None,
+    rescued_pages: DataFrame | None = None, most_blocked: int | None = None, most_rescued: int | None = None, dead_sources: tuple[str, ...] | None = None,
+) -> DataFrame:
     """Postings (ord, title, raw_title, company, location, link, source) with back-filled fields and ``reason``.
 
     ``minutes`` (place, minutes) are travel times, ``blocked_pages`` and ``dead_links`` (link) what scans of pages
-    found. Of postings with one key the first that nothing else drops stays. All pages given count; there is no cap.
-    Only ord and key are shuffled to find duplicates.
+    found; ``rescued_pages`` are those whose page has a required term that the posting lacks. Of postings with one key the
+    first that nothing else drops stays. ``most_blocked`` and ``most_rescued`` are budgets of distinct links: behind the
+    row that uses up one nothing is scanned for it (None: no budget); hosts that are never read cost nothing and
+    block nothing. Only links of ``dead_sources`` can be dead (None: all). Only ord and key are shuffled for duplicates.
     """
     own = backfilled(postings)
     # Three normal forms: of each place by itself, of all fields, and of the fields that blocked terms are looked for in.
@@ -70,7 +96,7 @@ def collector_reasons(postings: DataFrame, rules: Rules, minutes: DataFrame | No
     own = own.withColumns({"_spot": text("location", "title", "raw_title"), "_all": text("title", "raw_title", "company", "location", "link"), "_blob": text("title", "raw_title", "location")})
     lines = F.concat_ws("\u2028", *(present(F.col(c)) for c in ("location", "title", "raw_title")))
     own = own.withColumn("_places", F.array_join(F.transform(F.split(lines, "\u2028"), norm_collector), "\n"))
-    for name, frame in (("_blocked", blocked_pages), ("_dead", dead_links)):
+    for name, frame in (("_blocked", blocked_pages), ("_dead", dead_links), ("_rescued", rescued_pages)):
         if frame is None:
             own = own.withColumn(name, F.lit(False))
         else:
@@ -93,21 +119,34 @@ def collector_reasons(postings: DataFrame, rules: Rules, minutes: DataFrame | No
         applies = remote if travel else F.lit(True)
         steps += [(applies & ~near, "local_mismatch"), (applies & ~allowed, "allowed_mismatch")]
     if rules.required:
-        steps.append((~required_in(F.col("_all"), rules.required), "include_keywords"))
+        lacks = ~required_in(F.col("_all"), rules.required)
+        if rescued_pages is not None and most_rescued is not None:
+            reached = F.coalesce(*(F.when(hit, F.lit(True)) for hit, _ in steps), F.lit(False)) if steps else F.lit(False)
+            cut = last_scan(own, "link", lacks & ~reached, "ord", most_rescued)
+            own = own.join(F.broadcast(cut.withColumnRenamed("cut", "_rescues"))).withColumn("_rescued", F.col("_rescued") & (F.col("_rescues").isNull() | (F.col("ord") <= F.col("_rescues")))).drop("_rescues")
+        steps.append((lacks & ~(F.col("_rescued") & (present(F.col("link")) != "")), "include_keywords"))
     if rules.companies:
         steps.append((F.lower("company").isin(*rules.companies), "company_blacklist"))
     if rules.blocked:
         steps.append((blocked_in(F.col("_blob"), rules.blocked), "blocked_keywords"))
-    steps.append((F.col("_dead"), "aggregator_link"))
+    steps.append((F.col("_dead") & (F.lit(True) if dead_sources is None else F.coalesce(F.col("source").isin(*dead_sources), F.lit(False))), "aggregator_link"))
     if rules.listing_sources:
         steps.append((F.col("source").isin(*rules.listing_sources) & listing_link(F.col("link")), "category_link"))
     own = own.withColumn("_early", F.coalesce(*(F.when(hit, F.lit(name)) for hit, name in steps)))
     own = own.withColumn("_key", F.when(F.col("_early").isNull(), F.sha2(norm_key(F.col("title"), F.col("company"), F.col("link")), 256)))
+    if most_blocked is not None:
+        unread = skipped_host(F.col("link"), whole_domain=True)
+        own = settled(own.withColumn("_blocked", F.col("_blocked") & ~unread))
+        # Up to the budget's last row a run without one does the same, so its rows tell where the budget ends.
+        free = own.filter("_key is not null and not _blocked").groupBy(F.col("_key").alias("_of")).agg(F.min("ord").alias("_free"))
+        scanned = own.filter("_key is not null").join(free, own["_key"] == free["_of"], "left").filter("_free is null or ord <= _free")
+        cut = last_scan(scanned, "link", ~unread, "ord", most_blocked).withColumnRenamed("cut", "_last")
+        own = own.join(F.broadcast(cut)).withColumn("_blocked", F.col("_blocked") & (F.col("_last").isNull() | (F.col("ord") <= F.col("_last")))).drop("_last")
     first = own.filter("_key is not null and not _blocked").groupBy(F.col("_key").alias("_of")).agg(F.min("ord").alias("_first"))
     own = own.join(first, own["_key"] == first["_of"], "left")
     late = F.when(F.col("ord") > F.col("_first"), "duplicate").when(F.col("_blocked"), "detail_blocklist")
     own = own.withColumn("near_place", near & F.lit(bool(rules.search_places))).withColumn("allowed_place", allowed & F.lit(bool(rules.allowed_places)))
-    return own.withColumn("reason", F.coalesce("_early", F.when(F.col("_key").isNotNull(), late))).drop("_places", "_all", "_blob", "_spot", "_blocked", "_dead", "_early", "_key", "_of", "_first", "_minutes")
+    return own.withColumn("reason", F.coalesce("_early", F.when(F.col("_key").isNotNull(), late))).drop("_places", "_all", "_blob", "_spot", "_blocked", "_dead", "_rescued", "_early", "_key", "_of", "_first", "_minutes")
 
 
 def boosted(score: Column, location: Column, rules: Rules, allowed: Column, minutes: Column | None = None, most: int = 75, penalty: int = 5) -> Column:

@@ -55,7 +55,11 @@ def resolved(state: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (ask_id, prefix, url) with ``uid``: the only one that begins with the prefix, or, without a prefix, the
     only one whose link or canonical link is the URL; null for none or several."""
     rows = state.select("uid", F.trim(present(F.col("link"))).alias("_link"), state_canonical(F.col("link")).alias("_own"), state_canonical(F.col("canonical_url")).alias("_canon"))
-    by_prefix = asked.filter(present(F.col("prefix")) != "").join(rows.select("uid"), F.startswith("uid", "prefix")).select("ask_id", "uid")
+    wanted_prefix = asked.filter(present(F.col("prefix")) != "").select("ask_id", "prefix")
+    sizes = sorted(r["n"] for r in wanted_prefix.select(F.length("prefix").alias("n")).distinct().collect())
+    # Each uid offers its beginnings of the lengths that are asked for; the first and the last of a beginning tell whether it is the only one.
+    offered = rows.select("uid", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("n")).select(F.left("uid", F.col("n")).alias("prefix"), "uid")
+    by_prefix = wanted_prefix.join(offered.groupBy("prefix").agg(F.min("uid").alias("low"), F.max("uid").alias("high")), "prefix").select("ask_id", F.explode(F.array("low", "high")).alias("uid"))
     named = asked.filter((present(F.col("prefix")) == "") & (F.trim(present(F.col("url"))) != "")).select("ask_id", F.trim("url").alias("_url"), state_canonical(F.col("url")).alias("_target"))
     forms = rows.select("uid", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("exact"), F.col("_own").alias("form")), F.struct(F.lit(0).alias("exact"), F.col("_canon").alias("form")), F.struct(F.lit(1).alias("exact"), F.col("_link").alias("form"))))).alias("f")).select("uid", "f.*").filter("form != ''")
     wanted = named.select("ask_id", F.explode(F.array(F.struct(F.lit(0).alias("want"), F.col("_target").alias("text")), F.struct(F.lit(1).alias("want"), F.col("_url").alias("text")))).alias("w")).select("ask_id", "w.*")

@@ -74,6 +74,22 @@ def collector_reason_counts(spark, sf_dir):
     return collector_reason_chain(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Budgets of distinct links: postings that need a scan use them up in their order.
+_BUDGETED = _EARLY.replace("THEN 'include_keywords'", "AND NOT (link <> '' AND rescued AND (last_rescue IS NULL OR ord <= last_rescue)) THEN 'include_keywords'").replace(f"FROM ({_NORMAL})", "FROM n")
+_CUT = lambda rows, most: f"(SELECT CASE WHEN count(*) >= {most} THEN max(f) END FROM (SELECT min(ord) AS f FROM ({rows}) GROUP BY link ORDER BY f LIMIT {most}))"
+_LACKING = f"SELECT ord, link FROM n0 WHERE NOT ({_ANY(RULES.remote)}) AND ({_ANY(RULES.search_places)}) AND NOT (contains(na, 'ment') OR contains(na, 'und') OR len(list_intersect(string_split(na, ' '), ['of', 'de'])) > 0)"
+
+
+@query(f"""WITH n0 AS (SELECT *, link IN (SELECT url FROM pages WHERE page_id % 7 = 0) AS hit, link IN (SELECT url FROM pages WHERE page_id % 2 = 0) AS rescued FROM ({_NORMAL})),
+  n AS (SELECT *, {_CUT(_LACKING, 9)} AS last_rescue FROM n0), e AS ({_BUDGETED}), s AS (SELECT *, min(CASE WHEN early IS NULL AND NOT hit THEN ord END) OVER (PARTITION BY k) AS free FROM e),
+  c AS (SELECT {_CUT('SELECT ord, link FROM s WHERE early IS NULL AND (free IS NULL OR ord <= free)', 40)} AS last_scan),
+  h AS (SELECT e.* REPLACE (hit AND (last_scan IS NULL OR ord <= last_scan) AS hit) FROM e, c)
+  SELECT ord, coalesce(early, CASE WHEN ord > f THEN 'duplicate' WHEN hit THEN 'detail_blocklist' END) AS reason FROM (SELECT *, min(CASE WHEN early IS NULL AND NOT hit THEN ord END) OVER (PARTITION BY k) AS f FROM h)""")
+def collector_reasons_with_budgets(spark, sf_dir):
+    rescued = table(spark, sf_dir, "pages").filter("page_id % 2 = 0").select(F.col("url").alias("link"))
+    return reasons.collector_reasons(_postings(spark, sf_dir), RULES, blocked_pages=_blocked(spark, sf_dir), rescued_pages=rescued, most_blocked=40, most_rescued=9).select("ord", "reason")
+
+
 _ANCHORS = """SELECT page_id, url, unnest(hs) AS href, trim(regexp_replace(regexp_replace(unnest(ts), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, unnest(range(len(hs))) AS "at"
 FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS hs, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS ts FROM pages)"""
 

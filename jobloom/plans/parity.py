@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import text as t
 from jobloom.functions import urls as u
 from jobloom.operators import lifecycle as life
+from jobloom.operators import meeting
 from jobloom.operators import ranking as rank
 
 POSITIVE, NEGATIVE, BLOCKED = ("the", "tion", "ing", "ment"), ("clown", "disgusting"), ("idiot", "clown", "pathetic")
@@ -165,12 +166,9 @@ def include_terms_token_or_substr(spark, sf_dir):
 
 @query("SELECT c_custkey, arg_max(n_name, length(n_name)) AS place FROM customer LEFT JOIN nation ON contains('NATION_' || c_nationkey || 'x', n_name) GROUP BY c_custkey")
 def place_lookup_longest(spark, sf_dir):
-    places = table(spark, sf_dir, "nation").select("n_name")
-    cust = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("NATION_"), "c_nationkey", F.lit("x")).alias("spot"))
-    # A pair a spot and place in it; of the longest places the first by name stays.
-    hits = cust.join(places.distinct(), F.contains("spot", "n_name"))
-    best = hits.groupBy("c_custkey").agg(F.min_by("n_name", F.struct(-F.length("n_name"), "n_name")).alias("place"))
-    return cust.select("c_custkey").join(best, "c_custkey", "left")
+    texts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("NATION_"), "c_nationkey", F.lit("x")).alias("text"))
+    best = meeting.longest_contained(texts, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+    return texts.select(F.col("id").alias("c_custkey")).join(best.select(F.col("id").alias("c_custkey"), F.col("name").alias("place")), "c_custkey", "left")
 
 
 _VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -235,6 +233,35 @@ def dedupe_by_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(u.state_canonical(F.col("url")).alias("url")).agg(F.min("page_id").alias("first_page"), (F.count(F.lit(1)) - 1).alias("removed"))
 
 
+# Of several keys of a page the first with an earlier page counts; a cluster is the end of that way.
+_KEYED = "SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE (s_suppkey * 7 % 97)::VARCHAR END AS source_id, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE (s_suppkey * 13 % 61)::VARCHAR END AS url, CASE WHEN s_suppkey % 3 = 0 THEN '|' ELSE (s_suppkey * 31 % 211)::VARCHAR END AS print, s_suppkey % 17 * 5 AS score_rule, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE s_suppkey % 23 * 4 END AS score_final FROM supplier"
+_CLUSTERS = f"""WITH RECURSIVE k AS ({_KEYED}), w AS (SELECT ord, CASE WHEN source_id <> '' THEN min(ord) OVER (PARTITION BY source_id) END AS i, CASE WHEN url <> '' THEN min(ord) OVER (PARTITION BY url) END AS u, min(ord) OVER (PARTITION BY print) AS p FROM k),
+  f AS (SELECT ord, coalesce(CASE WHEN i < ord THEN i END, CASE WHEN u < ord THEN u END, CASE WHEN p < ord THEN p END, ord) AS parent FROM w),
+  r(ord, cluster) AS (SELECT ord, ord FROM f WHERE parent = ord UNION ALL SELECT f.ord, r.cluster FROM f JOIN r ON f.parent = r.ord WHERE f.parent <> f.ord)"""
+
+
+def _clustered(spark, sf_dir):
+    n = F.col("s_suppkey")
+    text = lambda off, value: F.when(off, "").otherwise(value.cast("string"))
+    own = table(spark, sf_dir, "supplier").select(
+        n.alias("ord"), text(n % 4 == 0, n * 7 % 97).alias("source_id"), text(n % 5 == 0, n * 13 % 61).alias("url"), F.when(n % 3 == 0, "|").otherwise((n * 31 % 211).cast("string")).alias("print"),
+        (n % 17 * 5).alias("score_rule"), F.when(n % 2 == 0, 0).otherwise(n % 23 * 4).alias("score_final"),
+    )
+    return rank.greedy_clusters(own)
+
+
+@query(f"{_CLUSTERS} SELECT ord, cluster FROM r")
+def greedy_cluster_of_keys(spark, sf_dir):
+    return _clustered(spark, sf_dir).select("ord", "cluster")
+
+
+@query(f"{_CLUSTERS} SELECT cluster, ord, n AS removed FROM (SELECT cluster, r.ord, count(*) OVER (PARTITION BY cluster) - 1 AS n, row_number() OVER (PARTITION BY cluster ORDER BY CASE WHEN score_final <> 0 THEN score_final ELSE score_rule END DESC, r.ord) AS place FROM r JOIN k ON k.ord = r.ord) WHERE place = 1")
+def best_of_greedy_clusters(spark, sf_dir):
+    own = _clustered(spark, sf_dir)
+    sizes = own.groupBy("cluster").agg((F.count(F.lit(1)) - 1).alias("removed"))
+    return rank.best_in_clusters(own).select("cluster", "ord").join(sizes, "cluster")
+
+
 @query()
 def dedupe_greedy_clusters(spark, sf_dir):
     own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), u.source_job_id(F.col("url")).alias("source_id"), u.dedupe_canonical(F.col("url")).alias("url"), rank.fingerprint(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")).alias("print"))
@@ -244,8 +271,10 @@ def dedupe_greedy_clusters(spark, sf_dir):
 @query("SELECT p_partkey FROM (SELECT p_partkey, p_size >= 45 AS ok, row_number() OVER (ORDER BY p_partkey) AS n, max((p_size >= 45)::INT) OVER () AS any_ok FROM part) WHERE ok OR (any_ok = 0 AND n <= 10)")
 def min_score_fallback(spark, sf_dir):
     own = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    some = own.filter("p_size >= 45")
-    return some.select("p_partkey") if some.head(1) else own.orderBy("p_partkey").limit(10).select("p_partkey")
+    some = own.filter("p_size >= 45").select("p_partkey")
+    # The first rows count only where a one-row test finds none of the others.
+    first = own.orderBy("p_partkey").limit(10).select("p_partkey").join(F.broadcast(some.limit(1).select(F.lit(1).alias("found"))), how="left_anti")
+    return some.unionByName(first)
 
 
 _STATE = "SELECT user_id::VARCHAR AS uid, CASE user_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'notified' WHEN 2 THEN 'applied' WHEN 3 THEN 'ignored' ELSE 'closed' END AS status, min(ts) AS first_seen, max(ts) AS last_seen, CASE WHEN user_id % 2 = 1 THEN max(ts) END AS last_sent, (user_id % 4)::INT AS missing_runs FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY user_id"
@@ -328,8 +357,8 @@ def sets_union_except_intersect(spark, sf_dir):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) <= 10 AS allowed FROM events")
 def rate_limit_window(spark, sf_dir):
-    recent = Window.partitionBy("user_id").orderBy(F.unix_timestamp(F.col("ts").cast("timestamp"))).rangeBetween(-3600, 0)
-    return table(spark, sf_dir, "events").select("event_id", (F.count(F.lit(1)).over(recent) <= 10).alias("allowed"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return meeting.within_rate(events, "user_id", F.col("at"), 10).select("event_id", "allowed")
 
 
 @query(f"SELECT doc_id, section, place FROM (SELECT doc_id, CASE WHEN fallback THEN 'new' ELSE 'reminder' END AS section, row_number() OVER (ORDER BY fallback DESC, rule DESC, doc_id) AS place FROM ({_REVIEW})) WHERE place <= 200")
