@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -134,8 +135,18 @@ def small_or_joined(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
+def given_back() -> None:
+    """Hands memory that this worker no longer uses back to the system: reused workers would keep it for their life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that ``column`` holds about ``most_bytes`` at most; a longer single row comes alone."""
+    """Batches cut so that ``column`` holds about ``most_bytes`` at most; a longer single row comes alone. After the last one
+    free memory is given back."""
     for batch in batches:
         start, held = 0, 0
         lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
@@ -146,3 +157,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
             held += n or 0
         if batch.num_rows > start:
             yield batch.slice(start)
+    given_back()

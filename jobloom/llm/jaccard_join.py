@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import MOST_BITS, apart, dropped, fresh, settled, shared_path, slices, small_batches, small_or_joined, tabled
+from jobloom.llm.common import MOST_BITS, apart, dropped, fresh, given_back, settled, shared_path, slices, small_batches, small_or_joined, tabled
 
 WIDTH = 5
 #: Document counts from which a shingle is of class 1, 2 and 3. They double while more shingles than an eighth of
@@ -485,6 +485,7 @@ def _entries(representatives: DataFrame, percent: int, shared: np.ndarray | None
                     columns.append(pa.array(np.concatenate([at[1:], at[:1]]).astype(np.int32), pa.int32(), mask=edge[1:] if len(own) else None))
                     columns.append(pa.array(_in(long, tokens[keep]) if long is not None else np.ones(len(own), bool)))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        given_back()
 
     return representatives.select("prefix", "id", "n", "matches", *carried).mapInArrow(spread, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import seeded_key, settled, slices, small_batches
+from jobloom.llm.common import given_back, seeded_key, settled, slices, small_batches
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 12, (2, 3, 4, 5)
 #: Bounds of the training sample: documents with the smallest keys, documents of every label besides, windows of each.
@@ -240,6 +240,7 @@ def with_language(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_
             got = predict_batch(net.value, texts[a : a + 256].tolist(), lettered[a : a + 256].tolist())
             langs += got[0]
             scores += got[1]
+        given_back()
         return pd.Series([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores, strict=True)], dtype=bool)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
