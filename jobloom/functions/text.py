@@ -1,4 +1,4 @@
-"""Text normalisation and labels of postings: Column to Column, all inside whole-stage code generation."""
+"""Text normalisation and labels of postings: Column to Column, generated code but for texts with rare characters."""
 
 from __future__ import annotations
 
@@ -43,24 +43,6 @@ def present(text: Column) -> Column:
 FOLD_LINES = "\n" + "".join(f"{c}\t{to}\n" for c, to in FOLDS.items())
 
 
-def _form(c: Column) -> Column:
-    at = F.instr(F.lit(FOLD_LINES), F.concat(F.lit("\n"), c, F.lit("\t")))
-    return F.when((c < "\x80") | (at == 0), c).otherwise(F.substring_index(F.substring(F.lit(FOLD_LINES), at + 3, F.lit(40)), "\n", 1))
-
-
-def folded(text: Column) -> Column:
-    """Without accents and combining marks, compatibility forms as the ASCII they stand for.
-
-    The text is bound once by a function over a list of one, so that plans don't hold it three times.
-    """
-
-    def plain(x: Column) -> Column:
-        rare = F.array_join(F.transform(F.split(F.regexp_replace(x, "\\p{M}+", ""), "(?s)(?!^)"), _form), "")
-        return F.when(x.rlike(RARE), rare).otherwise(F.translate(x, "".join(SIMPLE), "".join(SIMPLE.values())))
-
-    return F.get(F.transform(F.array(text), plain), F.lit(0))
-
-
 def once(value: Column, to) -> Column:
     """``to`` of a value that is worked out a single time, however often ``to`` names it: a function over a list of one."""
     return F.get(F.transform(F.array(value), to), F.lit(0))
@@ -72,6 +54,26 @@ def rewritten(text: Column, pattern: str, to) -> Column:
     return F.array_join(F.zip_with(between, F.transform(found, to), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
+def _form(c: Column) -> Column:
+    at = F.instr(F.lit(FOLD_LINES), F.concat(F.lit("\n"), c, F.lit("\t")))
+    return once(at, lambda p: F.when(p == 0, c).otherwise(F.substring_index(F.substring(F.lit(FOLD_LINES), p + 3, F.lit(40)), "\n", 1)))
+
+
+def _plain(text: Column) -> Column:
+    return F.translate(text, "".join(SIMPLE), "".join(SIMPLE.values()))
+
+
+def folded(text: Column) -> Column:
+    """Without accents and combining marks, compatibility forms as the ASCII they stand for.
+
+    Texts that are ASCII once Latin letters are translated, which their length in bytes tells, take no further step.
+    Of others only those with a rare character are taken apart, and there only around the characters beyond Latin.
+    """
+    plain = _plain(text)
+    rare = once(F.regexp_replace(text, "\\p{M}+", ""), lambda x: rewritten(_plain(x), RARE, _form))
+    return F.when(F.octet_length(plain) == F.char_length(plain), plain).when(text.rlike(RARE), rare).otherwise(plain)
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
