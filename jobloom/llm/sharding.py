@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import KEY_BITS, seeded_key, settled, whole_text
+from jobloom.llm.common import KEY_BITS, fresh, seeded_key, settled, shared_path, tabled, whole_text
 
 #: Ranges of the key for each source, and ranges of the fractional rank.
 KEY_RANGES, RANK_RANGES = 1024, 4096
@@ -26,8 +26,8 @@ def source_name(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard, and ``carried`` columns."""
     narrow = settled(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -35,6 +35,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "
             (F.octet_length(whole_text(text_col)) + 1).cast("long").alias("size"),
             F.crc32(whole_text(text_col)).alias("text_crc32"),
             seeded_key(seed, F.col(id_col)).alias("key"),
+            *carried,
         ).withColumn("part", F.shiftright("key", KEY_BITS - (KEY_RANGES - 1).bit_length()))
     )
     tie = ["key", F.col("doc_id").asc_nulls_first(), "text_crc32", "size"]
@@ -53,7 +54,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "
         .join(ahead, ["src", "part"])
         .withColumn("frac", (2 * (F.col("before") + F.col("local")) + 1).cast("double") / (2 * F.col("of_source")).cast("double"))
         .withColumn("range", F.floor(F.col("frac") * RANK_RANGES).cast("int"))
-        .select("doc_id", "src", "size", "text_crc32", "key", "frac", "range")
+        .select("doc_id", "src", "size", "text_crc32", "key", "frac", "range", *carried)
     )
 
     # RANK_RANGES rows at most, whatever the input: one task may order them.
@@ -71,16 +72,21 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "
         F.col("shard_no").cast("int").alias("shard"),
         (F.col("place") - F.expr(f"(shard_no * total + {shards - 1}) div {shards}")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *carried,
     )
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes ``docs`` as Parquet, one folder for each shard, rows in the order of their slots.
+def write_shards(docs: DataFrame, path: str, **options) -> str:
+    """Writes ``docs`` as Parquet, one folder for each shard, rows in the order of their slots; returns the name of the
+    column that names the shard: ``shard``, or another where ``docs`` has such a column.
 
-    Rows meet their shard by id, which must be unique; null ids are left out of the files' guarantee of order.
+    Rows are numbered in a table first and meet their shard by that number, so ids may repeat or be missing.
     """
-    plan = shard_rows(docs, **options).select(F.col("doc_id").alias("_plan_id"), "shard", "slot")
-    id_col = options.get("id_col", "doc_id")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_plan_id"])).drop("_plan_id")
-    joined.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-
+    spark = docs.sparkSession
+    row, slot, other = fresh(docs.columns, "row", "slot", "shard")
+    shard = "shard" if "shard" not in {c.lower() for c in docs.columns} else other
+    numbered = tabled(docs.withColumn(row, F.monotonically_increasing_id()), shared_path(spark, "shards"))
+    plan = shard_rows(numbered, carried=(row,), **options).select(row, F.col("shard").alias(shard), F.col("slot").alias(slot))
+    joined = numbered.join(plan, row).drop(row)
+    joined.repartition(shard, F.floor(F.col(slot) / 100_000)).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
+    return shard
