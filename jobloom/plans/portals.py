@@ -120,3 +120,33 @@ def uids_by_alias(spark, sf_dir):
         when(1, n.cast("string")).alias("job_id"), F.lit("").alias("title"), F.concat(F.lit("Title "), n).alias("position"), F.lit("Firm").alias("employer"), F.lit("Bern").alias("city"),
     )
     return records.identified(rows).select("o_orderkey", "uid")
+
+
+_SPOTS = "SELECT s_suppkey AS n, (s_suppkey * 7919 % 18001) / 100.0 - 90 AS lat, (s_suppkey * 104729 % 36001) / 100.0 - 180 AS lon FROM supplier UNION ALL SELECT 100000 + s_suppkey, 47 + (s_suppkey * 37 % 100) / 100.0, 8 + (s_suppkey * 61 % 100) / 100.0 FROM supplier"
+_PLACES = f"SELECT n, lat, lon, CASE n % 3 WHEN 0 THEN 'city' WHEN 1 THEN 'town' ELSE 'village' END AS kind, 'place ' || n % 40 AS name, CASE WHEN n % 4 = 0 THEN 'ort ' || n % 40 ELSE '' END AS name_de FROM ({_SPOTS})"
+
+
+@query(f"""SELECT DISTINCT c.n AS id, coalesce(nullif(p.name_de, ''), p.name) AS name FROM ({_SPOTS}) c, ({_PLACES}) p WHERE p.kind <> 'village'
+  AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - c.lon) / 2), 2)))) <= CASE WHEN c.n % 5 = 0 THEN 20 ELSE greatest(1, least(100, c.n % 150)) END""")
+def places_nearby(spark, sf_dir):
+    from jobloom.operators import nearby
+
+    n = table(spark, sf_dir, "supplier").select("s_suppkey")
+    spots = n.selectExpr("s_suppkey AS n", "cast((s_suppkey * 7919 % 18001) / 100.0 - 90 AS double) AS lat", "cast((s_suppkey * 104729 % 36001) / 100.0 - 180 AS double) AS lon").unionByName(
+        n.selectExpr("100000 + s_suppkey AS n", "cast(47 + (s_suppkey * 37 % 100) / 100.0 AS double) AS lat", "cast(8 + (s_suppkey * 61 % 100) / 100.0 AS double) AS lon")
+    )
+    places = spots.selectExpr("lat", "lon", "CASE n % 3 WHEN 0 THEN 'city' WHEN 1 THEN 'town' ELSE 'village' END AS kind", "'place ' || n % 40 AS name", "CASE WHEN n % 4 = 0 THEN 'ort ' || n % 40 ELSE '' END AS name_de")
+    centres = spots.selectExpr("n AS id", "lat", "lon", "cast(CASE WHEN n % 5 <> 0 THEN n % 150 END AS int) AS radius_km")
+    return nearby.nearby(centres, places)
+
+
+_LETTERS = "SELECT 'out/' || s_suppkey % 7 || '/2024_firma ' || s_suppkey % 30 || ' AG_' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'Titel ' || s_suppkey % 5 || ' x' END || '_' || s_suppkey || CASE WHEN s_suppkey % 11 = 0 THEN '.pdf' ELSE '.docx' END AS path, s_suppkey * 31 % 17 AS modified FROM supplier"
+
+
+@query(f"""SELECT n AS ord, path FROM (SELECT n, path, row_number() OVER (PARTITION BY n ORDER BY contains(path, 'AG_Titel ' || n % 5 || ' x') DESC, modified DESC, path DESC) AS place FROM (SELECT n_nationkey AS n FROM nation), ({_LETTERS}) WHERE contains(path, 'firma ' || n || ' AG') AND ends_with(path, '.docx')) WHERE place = 1""")
+def newest_letter(spark, sf_dir):
+    from jobloom.sources import letters
+
+    n = F.col("n_nationkey")
+    applications = table(spark, sf_dir, "nation").select(n.alias("ord"), F.concat(F.lit(" firma "), n, F.lit("  AG")).alias("company"), F.concat(F.lit("Titel "), n % 5, F.lit(" x")).alias("title"))
+    return letters.newest_letters(applications, table(spark, sf_dir, "supplier").selectExpr(*(c.strip() for c in ("concat('out/', s_suppkey % 7, '/2024_firma ', s_suppkey % 30, ' AG_', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('Titel ', s_suppkey % 5, ' x') END, '_', s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN '.pdf' ELSE '.docx' END) AS path", "s_suppkey * 31 % 17 AS modified"))))
