@@ -138,3 +138,14 @@ def last_scan(frame: DataFrame, link: str, needs: Column, order: str, most: int)
     """
     first = frame.filter(needs & (present(F.col(link)) != "")).groupBy(link).agg(F.min(order).alias("at")).orderBy("at").limit(most)
     return first.agg(F.when(F.count(F.lit(1)) >= most, F.max("at")).alias("cut"))
+
+
+def shown_score(final: Column, score: Column) -> Column:
+    """What rows are sorted by: the final score, and where it is 0 or null the score; 0 without either."""
+    return F.coalesce(F.nullif(final.cast("double"), F.lit(0.0)), score.cast("double"), F.lit(0.0))
+
+
+def raw_capped(rows: DataFrame, kept: int, order: str = "ord", times: int = 2) -> DataFrame:
+    """The rows that a run takes in before it filters: the first ``times`` as many as it may keep, by a bounded top-k; no
+    positive number is no cap."""
+    return rows.orderBy(order).limit(kept * times) if kept > 0 else rows

@@ -11,6 +11,7 @@ from jobloom.functions import text as t
 from jobloom.functions import urls as u
 from jobloom.operators import ranking, records, stages
 from jobloom.plans.parity import _FOLD_COLLECTOR, _FOLD_STATE, _STATE, _VISIBLE, _state, query, table
+from jobloom.settling import settled
 from jobloom.sources import html, portals
 
 _CASE = lambda column, values, other="''": f"CASE {column} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + f" ELSE {other} END"
@@ -352,14 +353,15 @@ _REVIEWED = f"""SELECT *, CASE WHEN NOT is_relevant AND llm < 25 THEN 'llm_rejec
   FROM (SELECT *, row_number() OVER (ORDER BY score_rule DESC, ord) AS rk FROM ({_OUTCOMES}) WHERE outcome <> 'phrase') p LEFT JOIN ({_SAID}) s ON s.ord = p.ord AND rk <= 600)"""
 
 
-def _with_reviews(spark, sf_dir):
+def _with_reviews(spark, sf_dir, filtered=None):
     labels = table(spark, sf_dir, "labels")
     flags = F.when(F.col("toxic") == 1, F.array(*(F.lit(x) for x in "abcd"))).otherwise(F.array().cast("array<string>"))
     said = labels.select(
         F.col("doc_id").alias("ord"), (F.col("quality") == 1).alias("is_relevant"), F.when(F.col("quality") == 1, 80).otherwise(F.col("doc_id") % 40).cast("int").alias("score_llm"),
         F.when(F.col("doc_id") % 2 == 0, "mid").otherwise("unknown").alias("seniority"), flags.alias("red_flags"), F.concat(F.lit("why "), "doc_id").alias("reason_short"),
     )
-    return stages.reviewed(_filtered(spark, sf_dir).filter("reason is null").drop("reason"), said, 600)
+    own = _filtered(spark, sf_dir) if filtered is None else filtered
+    return stages.reviewed(own.filter("reason is null").drop("reason"), said, 600)
 
 
 @query(f"SELECT ord, state AS way, llm AS score_llm, level AS seniority, short AS reason_short, rejected AS reason FROM ({_REVIEWED})")
@@ -377,8 +379,8 @@ _BEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, compan
 _RANKED = f"SELECT *, CASE WHEN short = 'llm_review_skipped' THEN {_SCALED} ELSE 0.6::DOUBLE * ({_SCALED}) + 0.4::DOUBLE * llm END AS final, match || CASE WHEN level <> 'unknown' THEN '|' || level ELSE '' END AS label FROM ({_BEST})"
 
 
-def _ranked(spark, sf_dir):
-    return stages.ranked(ranking.best_of(_with_reviews(spark, sf_dir).filter("reason is null"), ["title", "company"], "score_rule", "ord"))
+def _ranked(spark, sf_dir, reviewed=None):
+    return stages.ranked(ranking.best_of((_with_reviews(spark, sf_dir) if reviewed is None else reviewed).filter("reason is null"), ["title", "company"], "score_rule", "ord"))
 
 
 @query(f"SELECT ord, coalesce(nullif(location, ''), 'Ort unbekannt') AS location, CASE WHEN label = 'unknown' THEN '' ELSE label || ' | ' END || CASE WHEN level <> 'unknown' THEN level || ' | ' ELSE '' END || CASE WHEN short = 'llm_review_skipped' THEN '' ELSE short END AS match_text, round_even(final, 0)::INT AS score, score_rule, llm AS score_llm, workload, round_even(final, 6) AS score_final, row_number() OVER (ORDER BY final DESC, ord) AS place FROM ({_RANKED})")
@@ -396,9 +398,15 @@ def daily_run(spark, sf_dir):
 
 @query(f"SELECT 'normalised' AS stage, count(*) AS rows FROM documents UNION ALL SELECT 'detail', count(*) FROM ({_OUTCOMES}) WHERE outcome <> 'phrase' UNION ALL SELECT 'review', count(*) FROM ({_REVIEWED}) WHERE rejected IS NULL UNION ALL SELECT 'unique', count(*) FROM ({_BEST})")
 def stage_funnel(spark, sf_dir):
-    detail = _filtered(spark, sf_dir).filter("reason is null")
-    review = _with_reviews(spark, sf_dir).filter("reason is null")
-    return stages.funnel(("normalised", _postings(spark, sf_dir)), ("detail", detail), ("review", review), ("unique", _ranked(spark, sf_dir)))
+    return _funnel(spark, sf_dir)[0]
+
+
+def _funnel(spark, sf_dir):
+    """The funnel and the detail stage, each stage worked out once and kept as files for those behind it."""
+    filtered = settled(_filtered(spark, sf_dir))
+    reviewed = settled(_with_reviews(spark, sf_dir, filtered))
+    rows = stages.funnel(("normalised", table(spark, sf_dir, "documents").select("doc_id")), ("detail", filtered.filter("reason is null")), ("review", reviewed.filter("reason is null")), ("unique", _ranked(spark, sf_dir, reviewed)))
+    return rows, filtered
 
 
 @query("SELECT doc_id AS batch, p AS place, p <> 3 AS is_relevant, CASE p WHEN 1 THEN 100 WHEN 2 THEN 50 ELSE 0 END AS score_llm, CASE p WHEN 1 THEN 'mid' ELSE 'unknown' END AS seniority, CASE p WHEN 3 THEN 2 ELSE 0 END AS n_flags, CASE p WHEN 1 THEN repeat('r', 200) ELSE '' END AS reason_short FROM labels, (SELECT unnest([1, 2, 3]) AS p) WHERE doc_id % 2 = 0")

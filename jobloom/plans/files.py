@@ -144,7 +144,8 @@ def application_list(spark, sf_dir):
   count(*) FILTER (outcome = 'skipped_domain') AS detail_skipped_domain, count(*) FILTER (outcome = 'fetch_failed') AS detail_fetch_failed, count(*) FILTER (outcome = 'cap_reached') AS detail_cap_reached, count(*) FILTER (outcome = 'phrase') AS detail_phrase_hits, true AS email_sent, 3 AS email_new_jobs, 2 AS email_reminders, 'now' AS finished_at FROM ({daily._OUTCOMES})""")
 def pipeline_summary(spark, sf_dir):
     mail = table(spark, sf_dir, "region").limit(1).select(F.lit(True).alias("sent"), F.lit(3).alias("new"), F.lit(2).alias("reminders"))
-    return files.run_summary(daily.stage_funnel(spark, sf_dir), daily.detail_filter_stats(spark, sf_dir), mail, F.lit("now"))
+    funnel, filtered = daily._funnel(spark, sf_dir)
+    return files.run_summary(funnel, stages.detail_stats(filtered), mail, F.lit("now"))
 
 
 _LI = "'<li><strong>{}:</strong> ' || {} || '</li>'"

@@ -150,3 +150,25 @@ def newest_letter(spark, sf_dir):
     n = F.col("n_nationkey")
     applications = table(spark, sf_dir, "nation").select(n.alias("ord"), F.concat(F.lit(" firma "), n, F.lit("  AG")).alias("company"), F.concat(F.lit("Titel "), n % 5, F.lit(" x")).alias("title"))
     return letters.newest_letters(applications, table(spark, sf_dir, "supplier").selectExpr(*(c.strip() for c in ("concat('out/', s_suppkey % 7, '/2024_firma ', s_suppkey % 30, ' AG_', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('Titel ', s_suppkey % 5, ' x') END, '_', s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN '.pdf' ELSE '.docx' END) AS path", "s_suppkey * 31 % 17 AS modified"))))
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY coalesce(nullif((p_size % 4 * 10)::DOUBLE, 0), p_size) DESC, p_partkey) AS place FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 200)""")
+def raw_cap_sorted(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from jobloom.operators import ranking
+
+    own = ranking.raw_capped(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 100, "p_partkey")
+    return own.select("p_partkey", F.row_number().over(Window.orderBy(F.desc(ranking.shown_score(F.col("p_size") % 4 * 10, F.col("p_size"))), "p_partkey")).alias("place"))
+
+
+_STATE_TEXT = "'{\"u' || user_id || '\": {\"title\": \"T ' || user_id || '\", \"score\": ' || user_id % 9 || ', \"missing_runs\": ' || user_id % 3 || '}}'"
+
+
+@query("SELECT 'u' || user_id AS uid, 'T ' || user_id AS title, (user_id % 9)::VARCHAR AS score, (user_id % 3)::INT AS missing_runs, '' AS status FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0) UNION ALL SELECT 'v' || user_id, 'new', '', NULL, 'applied' FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 4 = 1)")
+def state_file_forms(spark, sf_dir):
+    from jobloom.sources import state
+
+    listed = "'[{\"job_uid\": \"v' || user_id || '\", \"title\": \"old\"}, 3, {\"job_uid\": \"v' || user_id || '\", \"title\": \"new\", \"status\": \"applied\"}]'"
+    texts = table(spark, sf_dir, "events").select("user_id").distinct().selectExpr(f"CASE user_id % 4 WHEN 1 THEN {listed} WHEN 3 THEN '{{broken' ELSE {_STATE_TEXT} END AS value")
+    return state.state_file(texts).select("uid", "title", "score", "missing_runs", "status")
