@@ -25,6 +25,15 @@ def test_places_at_poles_and_date_line(spark):
     assert {(r["id"], r["name"]) for r in got.collect()} == want and len(want) > 50
 
 
+def test_copies_make_no_pairs(spark):
+    """Centres and places that stand in few spots many times; small radii look at small cubes."""
+    at = ("47 + cast(id % 3 as double) / 100 AS lat", "8 + cast(id % 2 as double) / 100 AS lon")
+    centres = spark.range(3000).selectExpr("id", *at, "cast(20 + id % 2 as int) AS radius_km").unionByName(spark.range(1).selectExpr("id + 5000 AS id", "47D AS lat", "9D AS lon", "1 AS radius_km"))
+    places = spark.range(3000).selectExpr(*at, "'city' AS kind", "concat('n', id % 6) AS name", "'' AS name_de").unionByName(spark.range(1).selectExpr("47D AS lat", "9.5D AS lon", "'city' AS kind", "'far' AS name", "'' AS name_de"))
+    assert nearby.candidates(nearby._asked(centres), places).count() == 6 * 6
+    assert sorted(r["count"] for r in nearby.nearby(centres, places).groupBy("id").count().collect()) == [6] * 3000
+
+
 def test_newest_letter_on_disk(spark, tmp_path):
     for i, name in enumerate(["2024_Firma_Techniker.docx", "Firma_2023.docx", "Firma_Techniker_neu.docx", "Firma_zuletzt.docx", "Techniker_Firma.docx", "Firma_Techniker.pdf", "Andere_Firm.docx"]):
         (tmp_path / name).write_bytes(b"x")
