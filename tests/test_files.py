@@ -170,3 +170,10 @@ def test_daily_run_labels_of_skipped_reviews(spark, tmp_path):
     spark.createDataFrame([(i, i % 2, 0) for i in range(0, 1500, 3)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
     ids = [130 * k + 129 for k in range(1000)] + list(range(125))
     assert same_as_sql(spark, tmp_path, "daily_run", "documents", [(i,) for i in ids], "doc_id long", others=("labels",))
+
+
+def test_fingerprints_of_far_keys(spark, tmp_path):
+    """Keys so far apart that they outweigh a hundredth of the price in the SQL's score."""
+    parts = [(1, "blue pen", "B#1", 10.0), (20_002, "pen blue", "B#1", 10.01), (40_003, "blue pen", "B#1", 10.05), (7, "red pen", "B#2", 3.0), (8, "red pen", "B#2", 3.0), (700_009, "red pen", "B#2", 3.5)]
+    assert same_as_sql(spark, tmp_path, "dedupe_by_fingerprint", "part", parts, "p_partkey long, p_name string, p_brand string, p_retailprice double")
+    assert same_as_sql(spark, tmp_path / "far", "dedupe_by_fingerprint", "part", [(1, "blue pen", "B#1", 10.0), (20_002, "pen blue", "B#1", 10.01)], "p_partkey long, p_name string, p_brand string, p_retailprice double")
