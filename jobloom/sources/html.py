@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.functions.text import once, present
 from jobloom.functions.urls import bare_link
 from jobloom.sources import markup
-from jobloom.sources.markup import unescaped
+from jobloom.sources.markup import cut_kept, unescaped
 from jobloom.sources.portals import detail_link, plain_detail_link
 
 ORIGIN = "^([A-Za-z][A-Za-z0-9+.-]*:)//[^/?#]*"
@@ -155,16 +155,18 @@ def _posting_text(item: Column) -> Column:
     return F.concat_ws(" ", *(_text_member(item, f"$.{name}") for name in LD_TEXTS), _text_member(item, "$.hiringOrganization.name"), *places)
 
 
-def detail_text(html: Column) -> Column:
+def detail_text(html: Column, cut: bool = False) -> Column:
     """What a detail page says of its posting: the texts of JSON-LD postings, else of its main parts, else of the page.
 
-    Empty for null and empty pages; scripts that are no JSON count as none.
+    Empty for null and empty pages; scripts that are no JSON count as none. With ``cut``, references that a tag cuts off
+    stay as they are.
     """
     page = present(html)
     scripts = F.transform(F.regexp_extract_all(F.when(F.contains(F.lower(page), F.lit("ld+json")), page), F.lit(SCRIPT), 1), lambda s: F.try_parse_json(F.trim(s)))
     postings = F.filter(F.flatten(F.transform(F.filter(scripts, lambda v: v.isNotNull()), _unfolded)), _is_posting)
     structured = F.array_join(F.filter(F.transform(postings, _posting_text), lambda x: x != ""), " ")
     bare = F.regexp_replace(F.regexp_replace(page, "(?is)<(script|style)[^>]*>.*?</\\1>", " "), NOISE, " ")
+    bare = cut_kept(bare) if cut else bare
     parts = F.regexp_extract_all(bare, F.lit(MAIN), 2)
     shown = unescaped(F.regexp_replace(F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(bare), "(?s)<[^>]+>", " "))
     return F.coalesce(F.when(F.trim(structured) != "", structured), shown)

@@ -177,3 +177,8 @@ def test_fingerprints_of_far_keys(spark, tmp_path):
     parts = [(1, "blue pen", "B#1", 10.0), (20_002, "pen blue", "B#1", 10.01), (40_003, "blue pen", "B#1", 10.05), (7, "red pen", "B#2", 3.0), (8, "red pen", "B#2", 3.0), (700_009, "red pen", "B#2", 3.5)]
     assert same_as_sql(spark, tmp_path, "dedupe_by_fingerprint", "part", parts, "p_partkey long, p_name string, p_brand string, p_retailprice double")
     assert same_as_sql(spark, tmp_path / "far", "dedupe_by_fingerprint", "part", [(1, "blue pen", "B#1", 10.0), (20_002, "pen blue", "B#1", 10.01)], "p_partkey long, p_name string, p_brand string, p_retailprice double")
+
+
+def test_detail_texts_as_in_the_sql(spark, tmp_path):
+    pages = [(4 * i + k, f"<html><title>{h}</title><body><p>{h}</p>{tag.format(h)}</body></html>") for i, h in enumerate(HEADS) for k, tag in ((2, ""), (3, "<article><h1>{0}</h1></article>"))]
+    assert same_as_sql(spark, tmp_path, "detail_text_choice", "pages", pages, "page_id long, html string")
