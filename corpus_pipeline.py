@@ -21,8 +21,9 @@ WORDS_KEPT = 60_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A letter test: null texts and texts without a letter go, all others stay whatever the network's score."""
-    return language_id.with_language(docs)
+    """Null texts and texts without a letter go; lang becomes the network's language of each other text, whatever label it
+    came with, and decides which sequences a text may be packed in."""
+    return language_id.with_language(docs, renewed=True)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their sequences and offsets."""
-    return packing.pack(docs, vocabulary_path(BYTE_VOCABULARY), most_kept=WORDS_KEPT)
+    """Pieces of at most 1024 tokens with their sequences and offsets; a sequence holds texts of one language."""
+    return packing.pack(docs, vocabulary_path(BYTE_VOCABULARY), most_kept=WORDS_KEPT, group_col="lang")
 
 
 STAGES = [

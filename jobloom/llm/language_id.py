@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import given_back, seeded_key, settled, slices, small_batches
+from jobloom.llm.common import fresh, given_back, seeded_key, settled, slices, small_batches
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 12, (2, 3, 4, 5)
 #: Bounds of the training sample: documents with the smallest keys, documents of every label besides, windows of each.
@@ -219,29 +219,34 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
 
 
-def with_language(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def with_language(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", renewed: bool = False) -> DataFrame:
     """The rows of ``docs`` whose text has a language, all columns kept; ``und`` and lower scores go.
 
     With no labelled row to learn from every text with a letter stays. At the default ``least_score`` that is the
-    outcome of the network too, which names a language for each such text.
+    outcome of the network too, which names a language for each such text. With ``renewed`` the column of languages holds
+    what was predicted (``und`` with no row to learn from), whatever stood there.
 
     The decision runs on the rows themselves, so no join by id is needed and repeated rows are decided one by one.
     """
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("string")
     def accepted(texts, lettered):
+        """The language; null for texts that go."""
         import pandas as pd
 
         if net.value is None:
-            return lettered.astype(bool)
+            return pd.Series([UNKNOWN if ok else None for ok in lettered], dtype=object)
         langs, scores = [], []
         for a in range(0, len(texts), 256):
             got = predict_batch(net.value, texts[a : a + 256].tolist(), lettered[a : a + 256].tolist())
             langs += got[0]
             scores += got[1]
         given_back()
-        return pd.Series([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores, strict=True)], dtype=bool)
+        return pd.Series([x if x != UNKNOWN and s >= least_score else None for x, s in zip(langs, scores, strict=True)], dtype=object)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.filter(accepted(text, text.rlike("\\p{L}")))
+    (name,) = fresh(docs.columns, "found")
+    # Not deterministic to the planner, which else works it out for the filter and for the column.
+    found = docs.withColumn(name, accepted.asNondeterministic()(text, text.rlike("\\p{L}"))).filter(F.col(name).isNotNull())
+    return (found.withColumn(lang_col, F.col(name)) if renewed else found).drop(name)

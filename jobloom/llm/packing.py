@@ -16,6 +16,9 @@ What isn't settled so goes to best-fit in falling order, each length in the tigh
 Edge cases: a null or empty text is the end id alone, one token; a repeated row is packed as often as it comes (rows
 equal in id and text are interchangeable); a null id is packed like any other. A text longer than the capacity is
 cut into full pieces, of which the first may be shorter. An empty table gives an empty result.
+
+With a column of groups each sequence holds pieces of one group: the counts of each are packed by themselves, so the
+driver holds ``capacity`` numbers a group, and at most one sequence a group is less full for it. Null is a group.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,14 +167,15 @@ def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, in
     return sorted((fixed + best_fit_falling(remain, capacity)).items(), reverse=True)
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_kept: int = MOST_KEPT) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian u32).
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_kept: int = MOST_KEPT, group_col: str | None = None) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian u32) and lane, the
+    group as text.
 
     ``most_kept`` bounds what a worker keeps of encoded words; it changes memory and time, never ids.
     """
     small_batches(docs)
     end = struct.pack("<I", end_id)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", lane string" * (group_col is not None)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ByteEncoder, vocabulary, most_kept)
@@ -189,35 +193,41 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
                     at = to
             columns = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 4 + with_ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], [c.split()[0] for c in schema.split(", ")])
+            taken = [c.take(pa.array(rows, pa.int64())) for i, c in enumerate(batch.columns) if i != 1]
+            yield pa.RecordBatch.from_arrays([taken[0], *(pa.array(c, t) for c, t in zip(columns, types, strict=False)), *taken[1:]], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(cut, schema)
+    # A group's name begins with a sign, so that null is none of the others.
+    lane = [] if group_col is None else [F.coalesce(F.concat(F.lit("g"), F.col(group_col).cast("string")), F.lit("")).alias("lane")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), *lane).mapInArrow(cut, schema)
 
 
 def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to pieces."""
+    """Adds sequence_id and offset to pieces, lane by lane if they have one."""
+    lane = ["lane"] if "lane" in cut.columns else []
+    keys = [*lane, "length"]
     spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANGES)).cast("int")
     rows = settled(cut.withColumn("range", spread))
-    sums = settled(rows.groupBy("length", "range").agg(F.count(F.lit(1)).alias("n")))
-    # At most ``capacity`` rows, whatever the input.
-    counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-
-    slots, sequence, used = [], 0, Counter()
-    for pattern, bins in pack_counts(counts, capacity):
-        at = 0
-        for length, each in pattern:
-            slots.append((length, used[length], each, sequence, at))
-            used[length] += bins * each
-            at += length * each
-        sequence += bins
-    by_length: dict[int, tuple[np.ndarray, ...]] = {}
-    for length in used:
-        own = sorted(s[1:] for s in slots if s[0] == length)
-        by_length[length] = tuple(np.array(c, dtype=np.int64) for c in zip(*own, strict=True))
-
-    ahead = sums.select("length", "range", (F.sum("n").over(Window.partitionBy("length").orderBy("range")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(inside) - 1).join(ahead, ["length", "range"]).withColumn("rank", F.col("rank") + F.col("before")).drop("range", "before")
+    sums = settled(rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n")))
+    # At most ``capacity`` rows a lane, whatever the input.
+    counts: dict[str | None, dict[int, int]] = {}
+    for r in sums.groupBy(*keys).agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["lane"] if lane else None, {})[r["length"]] = r["n"]
+
+    slots, sequence = defaultdict(list), 0
+    for name in sorted(counts, key=lambda x: x or ""):
+        used: Counter[int] = Counter()
+        for pattern, bins in pack_counts(counts[name], capacity):
+            at = 0
+            for length, each in pattern:
+                slots[name, length].append((used[length], each, sequence, at))
+                used[length] += bins * each
+                at += length * each
+            sequence += bins
+    by_length = {key: tuple(np.array(c, dtype=np.int64) for c in zip(*sorted(own), strict=True)) for key, own in slots.items()}
+
+    ahead = sums.select(*keys, "range", (F.sum("n").over(Window.partitionBy(*keys).orderBy("range")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy(*keys, "range").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = rows.withColumn("rank", F.row_number().over(inside) - 1).join(ahead, [*keys, "range"]).withColumn("rank", F.col("rank") + F.col("before")).drop("range", "before")
     sent = cut.sparkSession.sparkContext.broadcast(by_length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +236,16 @@ def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
             length = np.asarray(batch.column("length"))
             rank = np.asarray(batch.column("rank"))
             sequence_id, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for value in np.unique(length).tolist():
-                own = length == value
-                first, each, bins_from, at = places[value]
-                k = np.searchsorted(first, rank[own], side="right") - 1
-                inner = rank[own] - first[k]
-                sequence_id[own] = bins_from[k] + inner // each[k]
-                offset[own] = at[k] + inner % each[k] * value
+            lanes = np.array(batch.column("lane").to_pylist() if lane else [None] * len(rank), dtype=object)
+            for name in set(lanes.tolist()):
+                of_lane = lanes == name
+                for value in np.unique(length[of_lane]).tolist():
+                    own = of_lane & (length == value)
+                    first, each, bins_from, at = places[name, value]
+                    k = np.searchsorted(first, rank[own], side="right") - 1
+                    inner = rank[own] - first[k]
+                    sequence_id[own] = bins_from[k] + inner // each[k]
+                    offset[own] = at[k] + inner % each[k] * value
             kept = batch.drop_columns(["rank"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence_id), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
 
@@ -241,10 +254,10 @@ def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.select(*[f.name for f in kept], "rank").mapInArrow(find, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_kept: int = MOST_KEPT) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_kept: int = MOST_KEPT, group_col: str | None = None) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids); a sequence holds one group."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
-    return place(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids, most_kept), capacity).select(*names)
+    return place(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids, most_kept, group_col), capacity).select(*names)
 
 
 def sequences(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, **columns) -> DataFrame:
